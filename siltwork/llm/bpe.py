@@ -36,7 +36,10 @@ MAGIC = 0x4C455831
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-_SPLIT = regex.compile(WORD_PATTERN.replace(r"\s", "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPLIT = regex.compile(WORD_PATTERN.replace(r"\s", _SPACE))
+_RUNS = regex.compile(f"[^{_SPACE}]+")
+_SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() takes them for white space, the pattern does not
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -195,7 +198,8 @@ class Encoder:
         self.memo: dict[str, tuple[bytes, str]] = {}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.merger.special)) + ")") if self.merger.special else None
 
-    def words(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
+        """Special tokens and lower-cased runs without white space, in order."""
         if self.parts is None or "<|" not in text:
             return self._plain(text)
         out = []
@@ -207,7 +211,8 @@ class Encoder:
     def _plain(text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return _SPLIT.findall(text.lower())
+        text = text.lower()
+        return text.split() if _SEPARATORS.search(text) is None else _RUNS.findall(text)
 
     def learn(self, lists: list[list[str]]) -> None:
         new = set().union(*lists)
@@ -215,20 +220,20 @@ class Encoder:
             self.memo.clear()
             for token, i in self.merger.special.items():
                 self.memo[token] = (np.array([i], "<u4").tobytes(), token)
-        new = [w for w in new if w not in self.memo]
-        known = self.lexicon.lookup([w.encode("utf-8", "surrogatepass") for w in new]) if self.lexicon else [None] * len(new)
+        split = {p: [p] if p in self.merger.special else _SPLIT.findall(p) for p in new if p not in self.memo}
+        words = [w for w in set().union(*split.values()) if w not in self.merger.special]
+        known = self.lexicon.lookup([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
+        ids = {w: self.merger.ids(w) if k is None else k for w, k in zip(words, known)}
+        ids |= {token: [i] for token, i in self.merger.special.items()}
         names = self.merger.names
-        for word, ids in zip(new, known):
-            if word in self.merger.special:
-                ids = [self.merger.special[word]]
-            elif ids is None:
-                ids = self.merger.ids(word)
-            self.memo[word] = (np.array(ids, "<u4").tobytes(), " ".join([names[i] for i in ids]))
+        for piece, parts in split.items():
+            all_ids = [i for w in parts for i in ids[w]]
+            self.memo[piece] = (np.array(all_ids, "<u4").tobytes(), " ".join([names[i] for i in all_ids]))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        lists = [self.words(t) for t in texts]
+        lists = [self.pieces(t) for t in texts]
         self.learn(lists)
-        found = [[self.memo[w] for w in words] for words in lists]
+        found = [[self.memo[p] for p in pieces] for pieces in lists]
         return [b"".join([f[0] for f in fs]) for fs in found], [" ".join([f[1] for f in fs]) for fs in found]
 
 

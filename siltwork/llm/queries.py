@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltwork.llm.bpe import op4_bpe
+from siltwork.llm.chat_format import OP3_SQL, op3_chat
+from siltwork.llm.packing import op7_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op7_packing": op7_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat": OP3_SQL,
+}
