@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltwork.llm.bpe import op4_bpe
 from siltwork.llm.chat_format import OP3_SQL, op3_chat
+from siltwork.llm.html_extract import op5_html
 from siltwork.llm.packing import op7_packing
 from siltwork.llm.quality import op6_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op5_html": op5_html,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
 }
