@@ -8,7 +8,7 @@ the number of features, never on the rows, reach the driver.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.llm.shared import ensure_checkpoint_dir, partition_sums
+
 SAMPLE_ROWS = 20_000
 FEATURES = 256
 KERNEL_WIDTH = 4.0
@@ -93,27 +95,6 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("statistics").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, STATISTICS)
 
 
-def partition_sums(rows: DataFrame, shape: tuple[int, int], part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum over all rows of ``part``: summed inside each partition, then row by row of the matrix."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            if batch.num_rows:
-                total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[0])), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "values"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        whole = np.sum([v for v in table.column("values").to_pylist()], axis=0)
-        return pa.table({"i": table.column("i")[:1].combine_chunks(), "values": pa.array([whole], pa.list_(pa.float64()))})
-
-    out = rows.mapInArrow(sums, "i long, values array<double>").groupBy("i").applyInArrow(merge, "i long, values array<double>").collect()
-    result = np.zeros(shape)
-    for r in out:
-        result[r["i"]] = r["values"]
-    return result
-
-
 @dataclass
 class Model:
     """A fitted scorer; all its arrays have sizes fixed by the parameters."""
@@ -215,8 +196,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; labels of held-out rows are never read into the fit."""
-    from siltwork.llm.shared import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")

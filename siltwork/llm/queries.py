@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltwork.llm.ann import op10_nearest
 from siltwork.llm.bpe import op4_bpe
 from siltwork.llm.chat_format import OP3_SQL, op3_chat
+from siltwork.llm.embed_dedup import op9_embed_dedup
 from siltwork.llm.html_extract import op5_html
 from siltwork.llm.packing import op7_packing
 from siltwork.llm.quality import op6_quality
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html": op5_html,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op9_embed_dedup": op9_embed_dedup,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLES: dict[str, str] = {

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -13,3 +17,99 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltwork-"))
+
+
+def partition_sums(rows: DataFrame, shape: tuple[int, int], part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of ``part``: summed inside each partition, then row by row of the matrix."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += part(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[0])), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "values"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole = np.sum([v for v in table.column("values").to_pylist()], axis=0)
+        return pa.table({"i": table.column("i")[:1].combine_chunks(), "values": pa.array([whole], pa.list_(pa.float64()))})
+
+    out = rows.mapInArrow(sums, "i long, values array<double>").groupBy("i").applyInArrow(merge, "i long, values array<double>").collect()
+    result = np.zeros(shape)
+    for r in out:
+        result[r["i"]] = r["values"]
+    return result
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest reachable node) of an edge list ``u``, ``v`` of longs.
+
+    Alternates large-star and small-star steps until nothing changes; each step is a
+    pre-aggregated minimum and an equi-join, so a hub is no single task's group. Lineage is
+    cut at the checkpoint folder. Nodes without an edge to another node are not returned.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    before, after = None, mark(now)
+    while before != after:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = small.where("u != v").distinct().checkpoint()
+        before, after = after, mark(now)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest connected index of each of n nodes; ``label`` carries on earlier work."""
+    label = np.arange(n) if label is None else label
+    while len(u):
+        a, b = label[u], label[v]
+        keep = a != b
+        u, v, a, b = u[keep], v[keep], a[keep], b[keep]
+        if not len(u):
+            break
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            hop = label[label]
+            if (hop == label).all():
+                break
+            label = hop
+    return label
+
+
+def usable_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """``id`` and ``vector`` (array<double>) of the vectors that can be compared.
+
+    Left out: null ids and vectors, null, NaN or infinite components, zero vectors and
+    vectors of another length than the most common one. Of a repeated id the vector that
+    sorts first counts.
+    """
+    given = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = given.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(~bad & F.exists("vector", lambda x: x != 0))
+    usual = fine.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1)
+    sized = fine.join(F.broadcast(usual), F.size("vector") == F.col("size"), "left_semi")
+    return sized.groupBy("id").agg(F.min("vector").alias("vector"))
+
+
+def matrix(batch: pa.RecordBatch, column: str = "vector") -> np.ndarray:
+    """A column of equally long, non-null arrays as a matrix of doubles."""
+    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(batch.num_rows, -1 if batch.num_rows else 0)
+
+
+def pair_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row inner products, added in component order, so equal rows give equal doubles."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
