@@ -11,11 +11,13 @@ from siltwork.llm.bpe import op4_bpe
 from siltwork.llm.chat_format import OP3_SQL, op3_chat
 from siltwork.llm.embed_dedup import op9_embed_dedup
 from siltwork.llm.html_extract import op5_html
+from siltwork.llm.ngram_join import op1_ngram_join
 from siltwork.llm.packing import op7_packing
 from siltwork.llm.quality import op6_quality
 from siltwork.llm.substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
