@@ -7,7 +7,7 @@ sums, then mixed. Keys travel as their low 48 bits; the bucket comes from the hi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ LOW = np.uint64((1 << 48) - 1)
 CHUNK_BYTES = 2_000_000
 FLUSH_KEYS = 2_000_000
 LEAST_BUCKETS = 24
-PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary"
+PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"
 
 _RANDOM = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _RANDOM.copy()
@@ -90,11 +90,12 @@ def windows(values: np.ndarray, width: int) -> np.ndarray:
     return runs_hash(prefix(values), start, start + width)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES, read: Callable[[bytes], bytes] = bytes) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of slices of about so many bytes; null is the empty text."""
     values, texts, first, size = batch.column(column).cast(pa.binary()), [], 0, 0
     for i in range(batch.num_rows):
-        text = values[i].as_py() or b""
+        value = values[i].as_py()
+        text = read(value) if value else b""
         texts.append(text)
         size += len(text)
         if size >= most:
@@ -108,18 +109,31 @@ def bucket_count(spark: SparkSession) -> int:
     return max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def short(values: np.ndarray) -> bytes:
+    """The low 48 bits of each value: all low 32 bits, then all others."""
+    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((values & LOW) >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 class Packer:
-    """Collects keys of documents and packs them by bucket."""
+    """Collects keys of documents, each with another 48-bit value if wanted, and packs them by bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.size = buckets, 0
         self.keys: list[np.ndarray] = []
+        self.more: list[np.ndarray] = []
         self.docs: list[int] = []
         self.extra: list[int] = []
 
-    def add(self, doc: int, keys: np.ndarray, extra: int = 0) -> Iterator[pa.RecordBatch]:
+    def add(self, doc: int, keys: np.ndarray, extra: int = 0, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if len(keys):
             self.keys.append(keys)
+            if more is not None:
+                self.more.append(more)
             self.docs.append(doc)
             self.extra.append(extra)
             self.size += len(keys)
@@ -134,32 +148,33 @@ class Packer:
         docs, extra = np.array(self.docs, np.int64), np.array(self.extra, np.int32)
         bucket = ((keys >> np.uint64(48)) * np.uint64(self.buckets) >> np.uint64(16)).astype(np.uint16 if self.buckets <= 65536 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        keys, owner, bucket = keys[order] & LOW, owner[order], bucket[order]
-        low, high = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), (keys >> np.uint64(32)).astype("<u2")
+        keys, owner, bucket = keys[order], owner[order], bucket[order]
+        more = np.concatenate(self.more)[order] if self.more else None
         cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1) if len(bucket) else [])
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for a, b in zip(cut[:-1], cut[1:]):
             begins = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
             who = owner[a:b][begins]
-            for column, value in zip(rows, (int(bucket[a]), docs[who].tobytes(), np.diff(begins, append=b - a).astype(np.int32).tobytes(), extra[who].tobytes(), low[a:b].tobytes() + high[a:b].tobytes())):
+            for column, value in zip(rows, (int(bucket[a]), docs[who].tobytes(), np.diff(begins, append=b - a).astype(np.int32).tobytes(), extra[who].tobytes(), short(keys[a:b]), b"" if more is None else short(more[a:b]))):
                 column.append(value)
-        self.keys, self.docs, self.extra, self.size = [], [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "docs", "counts", "extra", "keys"])
+        self.keys, self.more, self.docs, self.extra, self.size = [], [], [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "docs", "counts", "extra", "keys", "more"])
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per document run: docs, extra; per key: key (48 bits), index of its run."""
-    docs, counts, extra, keys = [], [], [], []
+def unpack(table: pa.Table, more: bool = False) -> tuple[np.ndarray, ...]:
+    """Per document run: docs, extra; per key: key (48 bits), index of its run, and the other value if wanted."""
+    docs, counts, extra, keys, values = [], [], [], [], []
     for batch in table.to_batches():
         for r in range(batch.num_rows):
             docs.append(np.frombuffer(batch.column("docs")[r].as_py(), np.int64))
             counts.append(np.frombuffer(batch.column("counts")[r].as_py(), np.int32))
             extra.append(np.frombuffer(batch.column("extra")[r].as_py(), np.int32))
-            raw = batch.column("keys")[r].as_py()
-            n = len(raw) // 6
-            keys.append(np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
+            keys.append(long(batch.column("keys")[r].as_py()))
+            if more:
+                values.append(long(batch.column("more")[r].as_py()))
     counts = np.concatenate(counts)
-    return np.concatenate(docs), np.concatenate(extra), np.concatenate(keys), np.repeat(np.arange(len(counts)), counts)
+    found = (np.concatenate(docs), np.concatenate(extra), np.concatenate(keys), np.repeat(np.arange(len(counts)), counts))
+    return (*found, np.concatenate(values)) if more else found
 
 
 def by_bucket(packed: DataFrame, buckets: int):

@@ -14,6 +14,7 @@ from siltwork.llm.html_extract import op5_html
 from siltwork.llm.ngram_join import op1_ngram_join
 from siltwork.llm.packing import op7_packing
 from siltwork.llm.quality import op6_quality
+from siltwork.llm.suffix_dedup import op8_suffix_dedup
 from siltwork.llm.substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html": op5_html,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_nearest": op10_nearest,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +114,12 @@ def pair_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for j in range(a.shape[1]):
         out += a[:, j] * b[:, j]
     return out
+
+
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes, for texts that are stored between steps."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
