@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, hash_words, joined, replies, sorted_runs, text_chunks, unpack, windows
-from siltwork.llm.shared import ensure_checkpoint_dir
+from siltwork.llm.shared import ensure_checkpoint_dir, expand, squeeze
 
 WINDOW = 35
 #: A perfect difference cover of the residues modulo 21.
@@ -96,13 +96,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     hit = places[np.isin(windows(hashes[at[i] : at[i + 1]], width)[places] & LOW, known)]
                     near = np.unique(np.clip(hit[:, None] - np.arange(PERIOD), 0, n - window))
                     candidates.append(near.astype("<u4").tobytes() if len(near) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(candidates, pa.binary())], names=["doc", "text", "n_words", "candidates"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(map(squeeze, texts), pa.binary()), pa.array(sizes, pa.int64()), pa.array(candidates, pa.binary())], names=["doc", "text", "n_words", "candidates"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
         for batch in batches:
             ids, spots = batch.column("doc").to_pylist(), batch.column("candidates").to_pylist()
-            for start, texts in text_chunks(batch):
+            for start, texts in text_chunks(batch, read=expand):
                 hashes, at = hash_words(texts)
                 for i in range(len(texts)):
                     keys = windows(hashes[at[i] : at[i + 1]], window)[np.frombuffer(spots[start + i], "<u4")]
@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch in batches:
             spots, parts = batch.column("candidates").to_pylist(), batch.column("repeats").to_pylist()
             removed, kept = [], []
-            for start, texts in text_chunks(batch):
+            for start, texts in text_chunks(batch, read=expand):
                 hashes, at = hash_words(texts)
                 for i, body in enumerate(texts):
                     words, known = body.split(), joined(parts[start + i], np.uint64)
@@ -133,9 +133,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     lookup = F.coalesce(F.col("doc").cast("long"), F.lit(NULL_DOC))
     anchored = _collected(given.mapInArrow(first, PACKED), buckets, "anchors").withColumnRenamed("doc", "__doc")
     extended = given.join(anchored, lookup == F.col("__doc"), "left").select("doc", "text", "anchors")
-    stored = extended.mapInArrow(extend, f"doc {kind}, text string, n_words long, candidates binary").checkpoint()
-    repeated = _collected(stored.where("candidates IS NOT NULL").mapInArrow(second, PACKED), buckets, "repeats").withColumnRenamed("doc", "__doc")
-    final = stored.join(repeated, lookup == F.col("__doc"), "left").select("doc", "text", "n_words", "candidates", "repeats")
+    stored = extended.mapInArrow(extend, f"doc {kind}, text binary, n_words long, candidates binary").checkpoint()
+    open_texts = stored.where("candidates IS NOT NULL")
+    repeated = _collected(open_texts.mapInArrow(second, PACKED), buckets, "repeats").withColumnRenamed("doc", "__doc")
+    closed = stored.where("candidates IS NULL").withColumn("repeats", F.lit(None).cast("array<binary>"))
+    final = open_texts.join(repeated, lookup == F.col("__doc"), "left").select("doc", "text", "n_words", "candidates", "repeats").unionByName(closed)
     return final.mapInArrow(cut, f"doc {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("doc", key)
 
 
