@@ -71,19 +71,29 @@ class SuffixQueue:
             self._spill()
 
     def _spill(self) -> None:
-        for c, parts in enumerate(self.parts):
-            small = [p for p in parts if not isinstance(p, np.memmap)]
-            if sum(map(len, small)) * len(self.parts) > self.spill // 4:
-                whole = np.concatenate(parts)
-                file = np.memmap(self.scratch.path(), whole.dtype, "w+", shape=len(whole))
-                file[:] = whole
-                self.parts[c] = [file]
-        self.held = 0
+        """Writes the longest waiting characters to files until a quarter of the allowance is held."""
+        waiting = sorted(((sum(len(p) for p in parts if not isinstance(p, np.memmap)), c) for c, parts in enumerate(self.parts)), reverse=True)
+        for size, c in waiting:
+            if self.held <= self.spill // 4 or not size:
+                break
+            loose = [p for p in self.parts[c] if not isinstance(p, np.memmap)]
+            file = np.memmap(self.scratch.path(), loose[0].dtype, "w+", shape=size)
+            np.concatenate(loose, out=file)
+            self.parts[c] = [p for p in self.parts[c] if isinstance(p, np.memmap)] + [file]
+            self.held -= size
 
     def take(self, c: int) -> np.ndarray | None:
-        """All places now waiting under a character, or None."""
+        """All places now waiting under a character, or None; files that are read out go."""
         parts, self.parts[c] = self.parts[c], []
-        return np.concatenate(parts) if parts else None
+        if not parts:
+            return None
+        whole = np.concatenate(parts)
+        for p in parts:
+            if isinstance(p, np.memmap):
+                os.unlink(p.filename)
+            else:
+                self.held -= len(p)
+        return whole
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
