@@ -7,8 +7,9 @@
 3. Groups that share a prefix shingle form a run. Each run's pivot is paired with the run's
    other groups of fitting size; group pairs are expanded to members and verified exactly.
 4. Runs whose members are not yet known to be one component are compared completely, in
-   blocks of bounded size. Known components, sizes and a bitmap bound skip pairs there, and
-   only a spanning forest of the links leaves a task.
+   blocks of bounded size, by bitmaps that bound the overlap from above. Of the pairs that
+   pass, a spanning forest leaves a task and is verified exactly. A run comes again, and
+   sends more, as long as one of its pairs was rejected.
 
 So hot shingles and large groups of copies never become pairs of rows, and no link between
 two different sets is lost.
@@ -28,7 +29,7 @@ from siltwork.llm.shared import connected_components, ensure_checkpoint_dir
 
 SHINGLE = 5
 BLOCK_SETS = 4096
-BITMAP_WORDS = 32
+LEAST_BITS = 256
 SEEN_SETS = 500_000
 
 
@@ -119,36 +120,91 @@ def _shared(a: bytes, b: bytes) -> int:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fine = [similar(_shared(x, y), m, n) for x, y, m, n in zip(*[batch.column(c).to_pylist() for c in ("codes", "codes2", "n", "n2")])]
-        yield batch.select(["u", "v"]).filter(pa.array(fine, pa.bool_()))
-
-
-def _compare_run(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links among the sets of a run that joins known components."""
-    sets, n, label = (table.column(c).to_numpy() for c in ("set", "n", "label"))
-    codes = table.column("codes").to_pylist()
-    order = np.argsort(n, kind="stable")
-    sets, n, codes = sets[order], n[order].astype(np.int64), [codes[i] for i in order]
-    label = np.unique(label[order], return_inverse=True)[1]
-    kept = np.array([len(c) // 8 for c in codes])
-    bits = np.zeros((len(sets), BITMAP_WORDS), np.uint64)
-    for i, c in enumerate(codes):
-        code = mix(np.frombuffer(c, np.uint64))
-        np.bitwise_xor.at(bits[i], (code % np.uint64(BITMAP_WORDS)).astype(np.int64), np.uint64(1) << (code >> np.uint64(58)))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(fine, pa.bool_())], names=["u", "v", "linked"])
+
+
+def _checked(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """u, v, linked: the exact decision about each pair."""
+    left = shared.select(F.col("set").alias("u"), "n", "codes")
+    right = shared.select(F.col("set").alias("v"), F.col("n").alias("n2"), F.col("codes").alias("codes2"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "n", "n2", "codes", "codes2")
+    return both.mapInArrow(_verify, "u long, v long, linked boolean").checkpoint()
+
+
+def bit_width(n: int) -> int:
+    """Bits of a set's bitmap: a power of two of four times its size or more."""
+    return max(LEAST_BITS, 1 << (4 * n - 1).bit_length())
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set, per bit the parity of its shared shingles there, and how many it has."""
+    for batch in batches:
+        bits, counts = [], []
+        for n, codes in zip(batch.column("n").to_pylist(), batch.column("codes").to_pylist()):
+            code, width = mix(np.frombuffer(codes, np.uint64)), bit_width(n)
+            parity = np.bincount((code & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+            bits.append(np.packbits(parity.astype(np.uint8), bitorder="little").tobytes())
+            counts.append(len(code))
+        yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("n"), pa.array(counts, pa.int32()), pa.array(bits, pa.binary())], names=["set", "n", "held", "bits"])
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of fewer bits: parities of bits that then coincide."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """Pairs of a run that may link and would join components: a spanning forest of them and,
+    in later rounds, further ones: per set, a number that grows fourfold with the round."""
+    run, i_, j_ = (table.column(c)[0].as_py() for c in ("run", "i", "j"))
+    spare = 4 ** table.column("round")[0].as_py() - 1
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")
+    sets, n, held = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("set", "n", "held"))
+    label = np.unique(table.column("label").to_numpy()[order], return_inverse=True)[1]
+    bitmaps, linked, rejected = ([table.column(c)[int(k)].as_py() for k in order] for c in ("bits", "linked", "rejected"))
+    place = {int(x): k for k, x in enumerate(sets)}
+
+    def join(a: int, b: int) -> None:
+        if label[a] != label[b]:
+            label[label == label[b]] = label[a]
+
+    for k, partners in enumerate(linked):
+        for x in partners or ():
+            if x in place:
+                join(k, place[x])
+    known = label.copy()
+    words = np.array([len(b) // 8 for b in bitmaps])
+    level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for w in np.unique(words).tolist():  # a partner has the same width or, being larger, twice that
+        at = np.flatnonzero((words == w) | (words == 2 * w))
+        level[w] = (at, np.stack([_fold(np.frombuffer(bitmaps[k], np.uint64), w) for k in at]))
     u, v = [], []
-    for i in range(len(sets) - 1):
-        end = np.searchsorted(n, 5 * n[i] // 4, side="right")
-        other = np.arange(i + 1, end)
-        other = other[label[other] != label[i]]
-        if not len(other):
+    for k in range(len(sets) - 1):
+        at, bits = level[int(words[k])]
+        mine = int(np.searchsorted(at, k))
+        end = int(np.searchsorted(at, np.searchsorted(n, 5 * n[k] // 4, side="right")))
+        other = at[mine + 1 : end]
+        differs = np.flatnonzero(known[other] != known[k]) if spare else np.flatnonzero(label[other] != label[k])
+        if not len(differs):
             continue
-        differ = np.bitwise_count(bits[other] ^ bits[i]).sum(1).astype(np.int64) + (n[i] - kept[i]) + (n[other] - kept[other])
-        total = n[other] + n[i]
-        for j in other[9 * (total - differ) >= 8 * total].tolist():
-            if label[i] != label[j] and similar(_shared(codes[i], codes[j]), int(n[i]), int(n[j])):
-                label[label == label[j]] = label[i]
-                u.append(sets[i])
-                v.append(sets[j])
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        other = other[differs]
+        differ = np.bitwise_count(bits[mine + 1 : end][differs] ^ bits[mine]).sum(1).astype(np.int64) + (n[k] - held[k]) + (n[other] - held[other])
+        total = n[other] + n[k]
+        may = other[9 * (total - differ) >= 8 * total]
+        no, left = set(rejected[k] or ()), spare
+        for p in may.tolist():
+            if int(sets[p]) in no:
+                continue
+            if label[k] != label[p]:
+                join(k, p)
+            elif left:
+                left -= 1
+            else:
+                continue
+            u.append(int(sets[k]))
+            v.append(int(sets[p]))
+    size = len(u)
+    return pa.table({"run": pa.array([run] * size, pa.int64()), "i": pa.array([i_] * size, pa.int32()), "j": pa.array([j_] * size, pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _links(shared: DataFrame) -> DataFrame:
@@ -158,12 +214,11 @@ def _links(shared: DataFrame) -> DataFrame:
     pivots = postings.groupBy("code").agg(F.min(F.struct("grp", "rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     run_pairs = postings.join(pivots, "code").where("grp != pivot.grp AND 5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
     group_pairs = run_pairs.select(F.col("pivot.rep").alias("u"), "grp").unionByName(groups.select(F.col("rep").alias("u"), "grp")).distinct()
-    pairs = group_pairs.join(shared.select("grp", F.col("set").alias("v"), F.col("n").alias("n2"), F.col("codes").alias("codes2")), "grp").where("u != v")
-    left = shared.select(F.col("set").alias("u"), "n", "codes")
-    star = pairs.join(left, "u").select("u", "v", "n", "n2", "codes", "codes2").mapInArrow(_verify, "u long, v long").checkpoint()
+    pairs = group_pairs.join(shared.select("grp", F.col("set").alias("v")), "grp").where("u != v").select("u", "v")
+    links = _checked(pairs, shared).where("linked").select("u", "v")
 
-    labels = star.groupBy(F.col("v").alias("set")).agg(F.min("u").alias("label"))
-    labelled = shared.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    labels = links.groupBy(F.col("v").alias("set")).agg(F.min("u").alias("label"))
+    labelled = shared.select("set", "n", "grp", "prefix").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     members = labelled.select("set", "label", F.explode(F.array_append("prefix", F.col("grp"))).alias("run"))
     runs = members.groupBy("run").agg(
         F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("set")).alias("x"), F.min("set").alias("a"), F.max("set").alias("b")
@@ -172,11 +227,28 @@ def _links(shared: DataFrame) -> DataFrame:
     open_runs = runs.where("c > 2 AND low != high").groupBy("c", "x", "a", "b").agg(F.min("run").alias("run"))
     blocks = open_runs.select("run", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks"))
     dealt = members.join(blocks, "run").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("run", "set", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("run", "set", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"))
-    full = dealt.join(labelled.select("set", "n", "label", "codes"), "set")
-    rest = full.groupBy("run", "i", "j").applyInArrow(_compare_run, "u long, v long")
-    return star.unionByName(rest)
+    dealt = dealt.select("run", "set", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("run", "set", "label", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j")).checkpoint()
+    bitmaps = shared.select("set", "n", "codes").mapInArrow(_bitmaps, "set long, n int, held int, bits binary")
+
+    decided, turn = None, 0
+    while True:
+        full = dealt.join(bitmaps, "set")
+        if decided is None:
+            known = full.withColumns({c: F.lit(None).cast("array<long>") for c in ("linked", "rejected")})
+        else:
+            both = decided.unionByName(decided.select(F.col("v").alias("u"), F.col("u").alias("v"), "linked"))
+            lists = both.groupBy(F.col("u").alias("set")).agg(F.collect_list(F.when(F.col("linked"), F.col("v"))).alias("linked"), F.collect_list(F.when(~F.col("linked"), F.col("v"))).alias("rejected"))
+            known = full.join(lists, "set", "left")
+        found = known.withColumn("round", F.lit(turn)).groupBy("run", "i", "j").applyInArrow(_forest, "run long, i int, j int, u long, v long").checkpoint()
+        checked = _checked(found.select("u", "v").distinct(), shared)
+        links = links.unionByName(checked.where("linked").select("u", "v"))
+        refused = checked.where("NOT linked").select("u", "v")
+        again = found.join(refused, ["u", "v"], "left_semi").select("run", "i", "j").distinct()
+        if again.isEmpty():
+            return links
+        decided = checked if decided is None else decided.unionByName(checked)
+        dealt, turn = dealt.join(again, ["run", "i", "j"], "left_semi").checkpoint(), turn + 1
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
