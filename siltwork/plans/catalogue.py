@@ -1,33 +1,10 @@
-"""Queries over the driver tables, each with its SQL oracle where one exists."""
+"""All queries of the engine, each with its SQL oracle where one exists."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siltwork.plans import relational, texts
+from siltwork.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "gate_per_source"
 
-FLAGSHIP = "source_overview"
-
-
-def source_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, characters and mean length of each source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.count("text").alias("n_texts"),
-        F.sum(F.length("text").cast("long")).alias("n_chars"),
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "source_overview": source_overview,
-}
-
-ORACLES: dict[str, str] = {
-    "source_overview": """
-        SELECT source, count(*) AS n_docs, count(text) AS n_texts,
-               CAST(sum(length(text)) AS BIGINT) AS n_chars
-        FROM documents GROUP BY source
-    """,
-}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "relational", "texts"]
