@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -116,6 +117,23 @@ def pair_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are stored and no longer named."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def squeezed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text: the texts compressed, so that joins and stores carry less; null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [squeeze(t.as_py() or b"") for t in batch.column(text).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(packed, pa.binary())], names=[key, text])
+
+    return rows.select(key, text).mapInArrow(run, rows.select(key, F.col(text).cast("binary").alias(text)).schema)
+
+
 def squeeze(data: bytes) -> bytes:
     """Compressed bytes, for texts that are stored between steps."""
     return zstandard.ZstdCompressor(level=1).compress(data)

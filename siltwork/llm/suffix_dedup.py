@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, byte_prefix, joined, runs_hash, text_chunks, unpack
-from siltwork.llm.shared import ensure_checkpoint_dir, expand, squeeze
+from siltwork.llm.shared import ensure_checkpoint_dir, expand, release, squeezed
 from siltwork.llm.suffix_sort import Scratch, common_prefixes, suffix_order
 
 WINDOW = 50
 INNER = 16
+SHARDS_PER_BUCKET = 4
 FLUSH_BYTES = 8_000_000
 SHARDS = "bucket int, docs binary, starts binary, sizes binary, bytes binary"
 REPLY = "doc long, whole binary, part binary"
@@ -87,7 +88,7 @@ def _status(table: pa.Table) -> pa.Table:
 
 
 def sort_shard(table: pa.Table, window: int = WINDOW) -> pa.Table:
-    """Windows of a shard that start in an earlier document too: doc, places (packed)."""
+    """Windows of a shard that start in an earlier document too: doc, places (packed first and last)."""
     docs, starts, sizes, parts = [], [], [], []
     for batch in table.to_batches():
         for r in range(batch.num_rows):
@@ -117,11 +118,14 @@ def sort_shard(table: pa.Table, window: int = WINDOW) -> pa.Table:
     group = np.flatnonzero(~same)
     first = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.r_[group, len(doc)])) if len(doc) else doc
     doc, place = doc[doc > first], place[doc > first]
-    order = np.argsort(doc, kind="stable")
+    order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
+    begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
+    first, last, doc = place[begins], place[np.r_[begins[1:], len(place)] - 1] if len(begins) else begins, doc[begins]
     cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     ends = np.r_[cut[1:], len(doc)] if len(cut) else cut
-    return pa.table({"doc": pa.array(doc[cut], pa.int64()), "places": pa.array([place[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends)], pa.binary())})
+    runs = np.stack([first, last], axis=1).astype("<u4")
+    return pa.table({"doc": pa.array(doc[cut], pa.int64()), "places": pa.array([runs[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())})
 
 
 def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -152,7 +156,7 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         """Marks what goes as a whole, and lists the regions still to be compared."""
         for batch in batches:
             whole, part = batch.column("whole").to_pylist(), batch.column("part").to_pylist()
-            for start, texts in text_chunks(batch):
+            for start, texts in text_chunks(batch, read=expand):
                 gone, asked = [], []
                 for i, body in enumerate(texts):
                     sure, open_ = joined(whole[start + i], np.uint64), joined(part[start + i], np.uint64)
@@ -162,11 +166,11 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                         continue
                     first, last, keys, contents = regions(body, window)
                     hit, ask = np.isin(contents & LOW, sure), np.isin(contents & LOW, open_)
-                    bucket = ((keys >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+                    bucket = ((keys >> np.uint64(48)) * np.uint64(SHARDS_PER_BUCKET * buckets) >> np.uint64(16)).astype(np.int64)
                     gone.append(np.stack([first[hit], last[hit]]).astype("<u4").tobytes())
                     asked.append(np.stack([first[ask], last[ask], bucket[ask]]).astype("<u4").tobytes() if ask.any() else None)
                 n_bytes = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), n_bytes, pa.array(map(squeeze, texts), pa.binary()), pa.array(gone, pa.binary()), pa.array(asked, pa.binary())], names=["doc", "n_bytes", "text", "gone", "asked"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), n_bytes, batch.column("text").slice(start, len(texts)), pa.array(gone, pa.binary()), pa.array(asked, pa.binary())], names=["doc", "n_bytes", "text", "gone", "asked"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -205,15 +209,15 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 removed, spans, kept = [], [], []
                 for i, body in enumerate(texts):
                     first, last = np.frombuffer(gone[start + i] or b"", "<u4").astype(np.int64).reshape(2, -1)
-                    place = joined(parts[start + i], "<u4").astype(np.int64)
-                    if not len(first) and not len(place):
+                    more = joined(parts[start + i], "<u4").astype(np.int64).reshape(-1, 2)
+                    if not len(first) and not len(more):
                         removed.append(0)
                         spans.append(0)
                         kept.append(body)
                         continue
                     edge = np.zeros(len(body) + 1, np.int32)
-                    np.add.at(edge, np.r_[first, place], 1)
-                    np.add.at(edge, np.r_[last, place] + window, -1)
+                    np.add.at(edge, np.r_[first, more[:, 0]], 1)
+                    np.add.at(edge, np.r_[last, more[:, 1]] + window, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     removed.append(int(covered.sum()))
                     spans.append(int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum()))
@@ -221,11 +225,15 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 rows = batch.select(["doc", "n_bytes"]).slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
+    spark, shards = docs.sparkSession, SHARDS_PER_BUCKET * buckets
     announced = given.where("doc IS NOT NULL").mapInArrow(announce, PACKED)
-    status = by_bucket(announced, buckets).applyInArrow(_status, REPLY).groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part"))
-    stored = given.join(status, "doc", "left").select("doc", "text", "whole", "part").mapInArrow(settle, "doc long, n_bytes long, text binary, gone binary, asked binary").checkpoint()
+    status = by_bucket(announced, buckets).applyInArrow(_status, REPLY).groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part")).checkpoint()
+    del announced
+    release(spark)
+    stored = squeezed(given, "doc", "text").join(status, "doc", "left").select("doc", "text", "whole", "part").mapInArrow(settle, "doc long, n_bytes long, text binary, gone binary, asked binary").checkpoint()
+    release(spark)
     open_texts = stored.where("asked IS NOT NULL")
-    sorted_shards = by_bucket(open_texts.mapInArrow(deal, SHARDS), buckets).applyInArrow(lambda t: sort_shard(t, window), "doc long, places binary")
+    sorted_shards = by_bucket(open_texts.mapInArrow(deal, SHARDS), shards).applyInArrow(lambda t: sort_shard(t, window), "doc long, places binary")
     places = sorted_shards.groupBy("doc").agg(F.collect_list("places").alias("places"))
     final = open_texts.join(places, "doc", "left").select("doc", "n_bytes", "text", "gone", "places")
     final = final.unionByName(stored.where("asked IS NULL").select("doc", "n_bytes", "text", "gone", F.lit(None).cast("array<binary>").alias("places")))

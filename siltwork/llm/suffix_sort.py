@@ -21,6 +21,7 @@ import numpy as np
 
 MEMORY_BYTES = 256_000_000
 SPILL_ITEMS = 4_000_000
+COMPARE_ROWS = 1_000_000
 
 
 class Scratch:
@@ -212,11 +213,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     same = np.zeros(len(order), bool)
     if len(order) < 2:
         return same
-    padded = np.concatenate([text.astype(np.uint16), np.zeros(depth, np.uint16)]).astype(np.uint64)
-    four = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
-    live, before, after = np.arange(1, len(order)), order[:-1], order[1:]
-    for k in [*range(0, depth - 4, 4), depth - 4]:
-        equal = four[after + k] == four[before + k]
-        live, before, after = live[equal], before[equal], after[equal]
-    same[live] = True
+    padded = np.concatenate([text.astype(np.uint16), np.zeros(depth, np.uint16)])
+    four = padded[:-3].astype(np.uint64)
+    for k in (1, 2, 3):
+        four |= padded[k : len(padded) - 3 + k].astype(np.uint64) << np.uint64(16 * k)
+    for start in range(1, len(order), COMPARE_ROWS):
+        live = np.arange(start, min(start + COMPARE_ROWS, len(order)))
+        before, after = order[live - 1], order[live]
+        for k in [*range(0, depth - 4, 4), depth - 4]:
+            equal = four[after + k] == four[before + k]
+            live, before, after = live[equal], before[equal], after[equal]
+        same[live] = True
     return same
