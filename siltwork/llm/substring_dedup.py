@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, hash_words, joined, replies, sorted_runs, text_chunks, unpack, windows
-from siltwork.llm.shared import ensure_checkpoint_dir, expand, squeeze
+from siltwork.llm.shared import ensure_checkpoint_dir, expand, release, squeezed
 
 WINDOW = 35
 #: A perfect difference cover of the residues modulo 21.
@@ -82,7 +82,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         """Texts without a repeated anchor are done; the others list their candidate windows."""
         for batch in batches:
             ids, parts = batch.column("doc"), batch.column("anchors").to_pylist()
-            for start, texts in text_chunks(batch):
+            for start, texts in text_chunks(batch, read=expand):
                 hashes, at = hash_words(texts)
                 sizes, candidates = [], []
                 for i in range(len(texts)):
@@ -96,7 +96,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     hit = places[np.isin(windows(hashes[at[i] : at[i + 1]], width)[places] & LOW, known)]
                     near = np.unique(np.clip(hit[:, None] - np.arange(PERIOD), 0, n - window))
                     candidates.append(near.astype("<u4").tobytes() if len(near) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(map(squeeze, texts), pa.binary()), pa.array(sizes, pa.int64()), pa.array(candidates, pa.binary())], names=["doc", "text", "n_words", "candidates"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), batch.column("text").slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(candidates, pa.binary())], names=["doc", "text", "n_words", "candidates"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
@@ -131,9 +131,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     kind = docs.schema[key].dataType.simpleString()
     lookup = F.coalesce(F.col("doc").cast("long"), F.lit(NULL_DOC))
-    anchored = _collected(given.mapInArrow(first, PACKED), buckets, "anchors").withColumnRenamed("doc", "__doc")
-    extended = given.join(anchored, lookup == F.col("__doc"), "left").select("doc", "text", "anchors")
+    anchored = _collected(given.mapInArrow(first, PACKED), buckets, "anchors").withColumnRenamed("doc", "__doc").checkpoint()
+    release(docs.sparkSession)
+    extended = squeezed(given, "doc", "text").join(anchored, lookup == F.col("__doc"), "left").select("doc", "text", "anchors")
     stored = extended.mapInArrow(extend, f"doc {kind}, text binary, n_words long, candidates binary").checkpoint()
+    release(docs.sparkSession)
     open_texts = stored.where("candidates IS NOT NULL")
     repeated = _collected(open_texts.mapInArrow(second, PACKED), buckets, "repeats").withColumnRenamed("doc", "__doc")
     closed = stored.where("candidates IS NULL").withColumn("repeats", F.lit(None).cast("array<binary>"))
