@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm.postings import PACKED, Packer, bucket_count, by_bucket, hash_words, mix, runs_hash, prefix, sorted_runs, text_chunks, unpack, windows
-from siltwork.llm.shared import connected_components, ensure_checkpoint_dir
+from siltwork.llm.shared import connected_components, ensure_checkpoint_dir, release
 
 SHINGLE = 5
 BLOCK_SETS = 4096
@@ -288,6 +288,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     replies = by_bucket(given.mapInArrow(post, PACKED), buckets).applyInArrow(_repeated, "set long, n int, codes binary, counts binary")
     whole = replies.groupBy("set").agg(F.min("n").alias("n"), F.collect_list("codes").alias("codes"), F.collect_list("counts").alias("counts"))
     shared = whole.mapInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary").checkpoint()
+    del replies, whole
+    release(spark)
     components = connected_components(_links(shared))
 
     members = given.mapInArrow(measure, "doc long, n_shingles long, set long").checkpoint()
