@@ -47,8 +47,8 @@ def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, (SELECT bool_or(contains(lower(text), t)) FROM unnest(['trash','clown']) u(t)) AS excluded,
-           len(list_filter(['trash','clown','worthless','loser','!!','***'], x -> contains(lower(text), x))) AS hits,
-           array_to_string(list_filter(['trash','clown','worthless','loser','!!','***'], x -> contains(lower(text), x)), ',') AS terms FROM documents
+           len(list_filter(['trash','clown','worthless','loser','!!','***'], lambda x: contains(lower(text), x))) AS hits,
+           array_to_string(list_filter(['trash','clown','worthless','loser','!!','***'], lambda x: contains(lower(text), x)), ',') AS terms FROM documents
 """)
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of a list that a text holds, and whether a thesis excludes it."""
@@ -134,7 +134,7 @@ def lead_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT doc_id, length(kept) AS n_chars, sha256(kept) AS kept_sha256 FROM (
         SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN cut IS NULL THEN text ELSE substr(text, 1, cut - 1) END, '^\\s+', ''), '\\s+$', '') AS kept FROM (
-            SELECT doc_id, text, list_min(list_filter([strpos(lower(text), chr(10) || 'the'), strpos(lower(text), chr(10) || 'de '), strpos(lower(text), ' license')], x -> x > 1)) AS cut FROM documents))
+            SELECT doc_id, text, list_min(list_filter([strpos(lower(text), chr(10) || 'the'), strpos(lower(text), chr(10) || 'de '), strpos(lower(text), ' license')], lambda x: x > 1)) AS cut FROM documents))
 """)
 def inbound_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts above the earliest marker."""
@@ -143,12 +143,12 @@ def inbound_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN reverse(substr(text, 1, 25)) WHEN doc_id % 7 = 0 THEN '  ' ELSE upper(substr(text, 3, 25)) END AS quote FROM documents)
+    WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN reverse(substr(text, 1, 25)) WHEN doc_id % 7 = 0 THEN '  ' ELSE replace(substr(text, 3, 25), ' ', '  ') END AS quote FROM documents)
     SELECT doc_id, trim(quote) <> '' AND contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(quote), '\\s+', ' ', 'g'))) AS grounded FROM q
 """)
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a quote stands in its text, white space and case aside."""
-    quote = F.when(F.col("doc_id") % 3 == 0, F.reverse(F.substring("text", 1, 25))).when(F.col("doc_id") % 7 == 0, F.lit("  ")).otherwise(F.upper(F.substring("text", 3, 25)))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.reverse(F.substring("text", 1, 25))).when(F.col("doc_id") % 7 == 0, F.lit("  ")).otherwise(F.replace(F.substring("text", 3, 25), F.lit(" "), F.lit("  ")))
     return table(spark, sf_dir, "documents").select("doc_id", T.quote_in(quote, F.col("text")).alias("grounded"))
 
 
@@ -188,7 +188,7 @@ def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> length(x) > 2)) AS token FROM documents WHERE text IS NOT NULL),
+    WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS token FROM documents WHERE text IS NOT NULL),
     df AS (SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY token)
     SELECT token, df, tf, round(ln((SELECT count(*) FROM documents) / df::DOUBLE), 9) AS idf FROM df
 """)
@@ -201,10 +201,10 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH topic AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> length(x) > 2)) AS words FROM benchmark),
+    WITH topic AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS words FROM benchmark),
     tw AS (SELECT item_id, unnest(words) AS token FROM topic), n AS (SELECT count(*) AS n FROM topic),
     idf AS (SELECT token, ln(n.n / count(*)::DOUBLE) AS idf FROM tw, n GROUP BY token, n.n),
-    d AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> length(x) > 2)) AS token FROM documents) GROUP BY 1, 2),
+    d AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS token FROM documents) GROUP BY 1, 2),
     dn AS (SELECT doc_id, sqrt(sum(pow(tf * coalesce(idf, 1.0), 2))) AS norm FROM d LEFT JOIN idf USING (token) GROUP BY doc_id),
     tn AS (SELECT item_id, sqrt(sum(pow(idf, 2))) AS norm FROM tw JOIN idf USING (token) GROUP BY item_id),
     x AS (SELECT doc_id, item_id, sum(tf * idf * idf) AS dot FROM d JOIN tw USING (token) JOIN idf USING (token) GROUP BY doc_id, item_id)
