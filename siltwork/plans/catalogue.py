@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltwork.plans import relational, texts
+from siltwork.plans import ranking, relational, texts
 from siltwork.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "gate_per_source"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "relational", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "ranking", "relational", "texts"]
