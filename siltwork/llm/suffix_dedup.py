@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, byte_prefix, joined, runs_hash, text_chunks, unpack
+from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, byte_prefix, joined, mix, runs_hash, text_chunks, unpack
 from siltwork.llm.shared import ensure_checkpoint_dir, expand, release, squeezed
 from siltwork.llm.suffix_sort import Scratch, common_prefixes, suffix_order
 
@@ -40,7 +40,10 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each region, its minimizer and a hash of its bytes."""
+    """First and last window of each region, its minimizer and a hash of its bytes.
+
+    A minimizer is the least of many hashes, so it is mixed again to fall evenly into buckets.
+    """
     if len(text) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = byte_prefix(text)
@@ -48,7 +51,7 @@ def regions(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     least = sliding_least(runs_hash(sums, at, at + INNER), window - INNER + 1)
     first = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
     last = np.r_[first[1:], len(least)] - 1
-    return first, last, least[first], runs_hash(sums, first, last + window)
+    return first, last, mix(least[first]), runs_hash(sums, first, last + window)
 
 
 def _status(table: pa.Table) -> pa.Table:
