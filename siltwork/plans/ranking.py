@@ -33,7 +33,7 @@ def signal_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {VERDICTS_SQL}, p AS (SELECT doc_id, unnest([is_building * 0.25, thesis_fit * 0.30, founder_quality * 0.25, timing * 0.15, reachable * 0.05, too_late * -0.30]) AS c,
         unnest(['is_building','thesis_fit','founder_quality','timing','reachable','too_late']) AS signal FROM v)
-    SELECT doc_id, signal, round(c, 9) AS contribution, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(c), 9) DESC, signal) AS place FROM p
+    SELECT doc_id, signal, CASE WHEN round(c, 9) = 0 THEN 0.0 ELSE round(c, 9) END::DOUBLE AS contribution, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(c), 9) DESC, signal) AS place FROM p
 """)
 def signal_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each signal adds, the largest share first."""
@@ -128,8 +128,8 @@ def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SWEEP_SQL = f"""
-    {JUDGED_SQL}, t AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(5, 96) r(i)), n AS (SELECT sum(good) AS positives FROM j),
-    w AS (SELECT threshold, count(*) AS kept, CAST(sum(good) AS BIGINT) AS hits FROM t JOIN j ON similarity >= threshold GROUP BY threshold),
+    {JUDGED_SQL}, steps AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(5, 96) r(i)), n AS (SELECT sum(good) AS positives FROM j),
+    w AS (SELECT threshold, count(*) AS kept, CAST(sum(good) AS BIGINT) AS hits FROM steps JOIN j ON similarity >= threshold GROUP BY threshold),
     f AS (SELECT threshold, kept, hits / kept::DOUBLE AS precision, hits / positives::DOUBLE AS recall FROM w, n),
     b AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, CASE WHEN precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0.0 END AS score FROM f)"""
 
