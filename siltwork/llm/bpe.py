@@ -11,9 +11,11 @@ The lexicon only saves time: whatever words it holds, the ids are the same.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
+import struct
 import tempfile
 import unicodedata
 from collections import Counter
@@ -31,6 +33,10 @@ PARTITION_WORDS = 32768
 MEMO_WORDS = 300_000
 CHUNK_CHARS = 4_000_000
 MAGIC = 0x4C455831
+#: A merge as one number: its rank above its new id.
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 
 #: The split pattern and end-of-word mark of the vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -40,7 +46,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(WORD_PATTERN.replace(r"\s", _SPACE))
 _RUNS = regex.compile(f"[^{_SPACE}]+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() takes them for white space, the pattern does not
-_LETTERS = regex.compile(r"\p{L}+")
+#: Breaks UTF-8 words at ASCII characters that are not letters, in one pass.
+_BREAKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def byte_alphabet() -> list[str]:
@@ -64,6 +71,7 @@ class Merger:
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.rank[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.code = {pair: rank << ID_BITS | new for pair, (rank, new) in self.rank.items()}
         self.names = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
@@ -74,16 +82,17 @@ class Merger:
         return self._short(ids) if len(ids) <= 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(ids, ids[1:])):
-                found = rank.get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        """One merge after the other, the lowest rank first, of equal ones the leftmost."""
+        code, none = self.code.get, NO_MERGE
+        codes = [code(pair, none) for pair in zip(ids, ids[1:])]
+        while codes and (best := min(codes)) != none:
+            at, new = codes.index(best), best & ID_MASK
+            ids[at : at + 2] = [new]
+            del codes[at]
+            if at:
+                codes[at - 1] = code((ids[at - 1], new), none)
+            if at < len(codes):
+                codes[at] = code((new, ids[at + 1]), none)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
@@ -220,7 +229,7 @@ class Encoder:
             self.memo.clear()
             for token, i in self.merger.special.items():
                 self.memo[token] = (np.array([i], "<u4").tobytes(), token)
-        split = {p: [p] if p in self.merger.special else _SPLIT.findall(p) for p in new if p not in self.memo}
+        split = {p: [p] if p in self.merger.special or p.isascii() and p.isalpha() else _SPLIT.findall(p) for p in new if p not in self.memo}
         words = [w for w in set().union(*split.values()) if w not in self.merger.special]
         known = self.lexicon.lookup([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
         ids = {w: self.merger.ids(w) if k is None else k for w, k in zip(words, known)}
@@ -228,13 +237,17 @@ class Encoder:
         names = self.merger.names
         for piece, parts in split.items():
             all_ids = [i for w in parts for i in ids[w]]
-            self.memo[piece] = (np.array(all_ids, "<u4").tobytes(), " ".join([names[i] for i in all_ids]))
+            self.memo[piece] = (struct.pack(f"<{len(all_ids)}I", *all_ids), " ".join([names[i] for i in all_ids]))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         lists = [self.pieces(t) for t in texts]
         self.learn(lists)
-        found = [[self.memo[p] for p in pieces] for pieces in lists]
-        return [b"".join([f[0] for f in fs]) for fs in found], [" ".join([f[1] for f in fs]) for fs in found]
+        packed, shown = [], []
+        for pieces in lists:
+            found = list(map(self.memo.__getitem__, pieces))
+            packed.append(b"".join([f[0] for f in found]))
+            shown.append(" ".join([f[1] for f in found]))
+        return packed, shown
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -252,17 +265,20 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Itera
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent letter runs of all texts, lower-cased; at most ``most`` reach the driver."""
+    """The most frequent words of all texts, lower-cased; at most ``most`` reach the driver.
+
+    Words are cut at ASCII characters other than letters; what else they hold costs only time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                seen.update(_LETTERS.findall(" ".join(texts).lower()))
+                seen.update(" ".join(texts).lower().encode("utf-8", "replace").translate(_BREAKS).split())
                 if len(seen) > 8 * PARTITION_WORDS:
                     seen = Counter(dict(seen.most_common(4 * PARTITION_WORDS)))
         top = seen.most_common(PARTITION_WORDS)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([c for _, c in top], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w, _ in top], pa.string()), "n": pa.array([c for _, c in top], pa.int64())})
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
@@ -298,6 +314,8 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, text: str = "t
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         encoder = Encoder(spec, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        gc.collect()
+        gc.freeze()  # the tables stay; the collector need not walk them again and again
         for batch in batches:
             for part, texts in chunks(batch, "__text"):
                 packed, shown = encoder.encode(texts)
