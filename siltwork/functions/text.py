@@ -26,7 +26,8 @@ HOSTING_SUFFIXES = (
     ".myshopify.com", ".wordpress.com", ".blogspot.com", ".medium.com", ".streamlit.app", ".onrender.com", ".fly.dev", ".workers.dev", ".replit.app",
 )
 MAIL_CUTS = ("\n-----original message-----", "\n--- forwarded message ---", "\n---------- forwarded message ----------", "\nsent from my ", "\nunsubscribe", "\nconfidentiality notice")
-NAME_NOISE = r"\b(inc|llc|ltd|gmbh|bv|ab|oy|corp|co|the|a|an)\b\.?"
+#: Words end at what is no letter, number or underscore of any script, so that "ça" stays whole.
+NAME_NOISE = r"(?<![\p{L}\p{N}_])(inc|llc|ltd|gmbh|bv|ab|oy|corp|co|the|a|an)(?![\p{L}\p{N}_])\.?"
 #: What redaction replaces.
 EMAIL, PHONE, HANDLE = r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", r"[+(]?\d[\d\s().-]{6,}\d", r"[@~]\w[\w.-]*"
 URL = r"https?://[^\s<>\"')]+"

@@ -181,8 +181,8 @@ def readme_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN length(text) <= 21 THEN text ELSE left(text, 9) || '...' || right(text, 9) END AS short FROM documents WHERE regexp_matches(substr(text, 1, 40), '^[ -~\\s]*$')
 """)
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs, names for comparison and shortened forms of the plain titles."""
-    docs = table(spark, sf_dir, "documents").where(F.substring("text", 1, 40).rlike(r"^[ -~\s]*$"))
+    """Slugs, names for comparison and shortened forms of all titles; the SQL knows the plain ones only."""
+    docs = table(spark, sf_dir, "documents")
     head = F.substring("text", 1, 40)
     return docs.select("doc_id", T.slug(head).alias("slug"), T.normal_name(head).alias("name"), T.truncate_middle(F.col("text"), 21).alias("short"))
 
