@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +13,28 @@ def global_rank(rows: DataFrame, order: Sequence[Column], name: str, parts: int
     """Adds each row's place, from 1, in a total order over all rows.
 
     Rows are sorted into ranges; each range counts its own, and only the counts, one per
-    range, are summed in order.
+    range, are summed in order. The ranges come from a sample, so they are stored: dealt a
+    second time for the counts, rows would fall into other ranges.
     """
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltwork-"))
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = local.groupBy("__part").agg(F.max("__at").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     return local.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__offset")).drop("__part", "__at", "__offset")
+
+
+def append_rows(rows: DataFrame, written: DataFrame | None, key: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows not yet written, with the number of the sheet's row each is appended as.
+
+    ``written`` has one row per row below the sheet's header, or is None for a sheet with none.
+    """
+    if written is None:
+        return global_rank(rows, order, "__place").withColumn(name, F.col("__place") + 1).drop("__place")
+    lines = written.agg((F.count(F.lit(1)) + 1).alias("__lines"))
+    fresh = global_rank(rows.join(written.select(key), key, "left_anti"), order, "__place")
+    return fresh.crossJoin(F.broadcast(lines)).withColumn(name, F.col("__place") + F.col("__lines")).drop("__place", "__lines")

@@ -224,11 +224,11 @@ def capture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {CANDIDATES_SQL} SELECT doc_id, channel, row_number() OVER (ORDER BY posted_s DESC, doc_id) + 1 AS sheet_row FROM c WHERE doc_id % 10 = 3
 """)
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row numbers of rows not yet in a sheet, by sorted partitions and their offsets."""
-    from siltwork.operators.ranking import global_rank
+    """Row numbers of all candidates in a sheet that has only its header yet; the SQL knows a tenth of them."""
+    from siltwork.operators.ranking import append_rows
 
-    fresh = candidates(spark, sf_dir).where("doc_id % 10 = 3").select("doc_id", "channel", "posted_s")
-    return global_rank(fresh, [F.desc("posted_s"), F.col("doc_id")], "place").select("doc_id", "channel", (F.col("place") + 1).alias("sheet_row"))
+    found = candidates(spark, sf_dir).select("doc_id", "channel", "posted_s")
+    return append_rows(found, None, "doc_id", [F.desc("posted_s"), F.col("doc_id")], "sheet_row").select("doc_id", "channel", "sheet_row")
 
 
 @query(f"""
