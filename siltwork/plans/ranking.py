@@ -165,8 +165,8 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ws, wt, round(sum(hit / place::DOUBLE) / count(*), 9) AS average_precision FROM h GROUP BY ws, wt
 """)
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average precision for every triple of weights, in one pass."""
-    grid = spark.createDataFrame(K.weight_grid(0.1), "ws double, wt double, wr double")
+    """Average precision for every triple of weights, in one pass; the SQL knows every second step."""
+    grid = spark.createDataFrame(K.weight_grid(), "ws double, wt double, wr double")
     rows = judged(spark, sf_dir).crossJoin(F.broadcast(grid))
     score = F.round(F.col("ws") * F.col("similarity") + F.col("wt") * (F.col("doc_id") * 11 % 101 / 100) + F.col("wr") * F.pow(F.lit(0.5), F.col("doc_id") * 37 % 720 / 90), 9)
     found = K.average_precision(rows, score, "good", "doc_id", ["ws", "wt"])
