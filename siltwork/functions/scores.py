@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -70,16 +71,20 @@ def corroboration(sources: Column) -> Column:
 
 
 def expected_max_normal(n: int) -> float:
-    """Mean of the largest of n standard normal draws, by Simpson's rule."""
-    if n <= 1:
-        return 0.0
-    panels, bound, total = 4000, 9.0, 0.0
-    step = 2 * bound / panels
-    for i in range(panels + 1):
-        x = -bound + i * step
-        density = n * math.exp(-x * x / 2) / math.sqrt(2 * math.pi) * (0.5 * math.erfc(-x / math.sqrt(2))) ** (n - 1)
-        total += (1 if i in (0, panels) else 4 if i % 2 else 2) * x * density
-    return total * step / 3
+    """Mean of the largest of n standard normal draws: the integral of 1 - F(x)^n - F(-x)^n.
+
+    A mean is the integral of the upper tail over x > 0 less that of the lower one. The
+    trapezoid rule is exact here to rounding, as the integrand and its slopes vanish at 12
+    and its odd slopes at 0 are taken in by Richardson's step.
+    """
+    normal = statistics.NormalDist()
+
+    def area(panels: int) -> float:
+        xs = [12.0 * i / panels for i in range(panels + 1)]
+        tails = [1.0 - normal.cdf(x) ** n - normal.cdf(-x) ** n for x in xs]
+        return 12.0 / panels * (math.fsum(tails) - (tails[0] + tails[-1]) / 2)
+
+    return (4 * area(4096) - area(2048)) / 3 if n > 1 else 0.0
 
 
 def curse_penalty(audience: int, rho: float = 0.0, sigma_e: float = SIGMA_E, sigma_v: float = SIGMA_V) -> float:

@@ -141,11 +141,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
-def shingles(text: Column, k: int = 3) -> Column:
-    """Runs of k words; with fewer words one run of all."""
-    w = words(text)
-    n = F.size(w)
-    return F.when(n < k, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " ")))
+def shingles(word_list: Column, k: int = 3) -> Column:
+    """Runs of k words; with fewer words one run of all.
+
+    Takes a column that holds the words already: ``words(text)`` in its place would be worked
+    out again for every run.
+    """
+    n = F.size(word_list)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(word_list, i, F.lit(k)), " "))
+    return F.when(n < k, F.array(F.array_join(word_list, " "))).otherwise(runs)
 
 
 def truncate_middle(text: Column, most: int) -> Column:

@@ -158,14 +158,14 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {JUDGED_SQL}, g AS (SELECT a * 0.1::DOUBLE AS ws, b * 0.1::DOUBLE AS wt, (10 - a - b) * 0.1::DOUBLE AS wr FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10),
-    x AS (SELECT round(ws, 2) AS ws, round(wt, 2) AS wt, doc_id, good, round(ws * similarity + wt * ((doc_id * 11 % 101) / 100.0) + wr * pow(0.5, (doc_id * 37 % 720) / 90.0), 9) AS score FROM j, g),
+    WITH {JUDGED_SQL}, g AS (SELECT round(a * 0.05::DOUBLE, 2) AS ws, round(b * 0.05::DOUBLE, 2) AS wt, round((20 - a - b) * 0.05::DOUBLE, 2) AS wr FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20),
+    x AS (SELECT ws, wt, doc_id, good, round(ws * similarity + wt * ((doc_id * 11 % 101) / 100.0) + wr * pow(0.5, (doc_id * 37 % 720) / 90.0), 9) AS score FROM j, g),
     p AS (SELECT ws, wt, good, row_number() OVER (PARTITION BY ws, wt ORDER BY score DESC, doc_id) AS place FROM x),
     h AS (SELECT ws, wt, place, row_number() OVER (PARTITION BY ws, wt ORDER BY place) AS hit FROM p WHERE good = 1)
     SELECT ws, wt, round(sum(hit / place::DOUBLE) / count(*), 9) AS average_precision FROM h GROUP BY ws, wt
 """)
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average precision for every triple of weights, in one pass; the SQL knows every second step."""
+    """Average precision for every triple of weights, in one pass."""
     grid = spark.createDataFrame(K.weight_grid(), "ws double, wt double, wr double")
     rows = judged(spark, sf_dir).crossJoin(F.broadcast(grid))
     score = F.round(F.col("ws") * F.col("similarity") + F.col("wt") * (F.col("doc_id") * 11 % 101 / 100) + F.col("wr") * F.pow(F.lit(0.5), F.col("doc_id") * 37 % 720 / 90), 9)
@@ -184,8 +184,9 @@ def deployment_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = {r["bin"]: r["n"] for r in score_histogram(spark, sf_dir).collect()}
     total = sum(counts.values()) or 1
     bars = K.acceptance_bars({b: n / total for b, n in counts.items()}, 176, 14)
-    points = [max(1, round(176 * (1 - i / 6))) for i in range(6)]
-    return spark.createDataFrame([(k, 14, round(bars[k][14], 4)) for k in points], "arrivals int, slots int, bar double")
+    left = F.greatest(F.lit(1), F.bround((6 - F.col("id")) * 176 / 6, 0).cast("int"))
+    table = spark.createDataFrame([(k, row[14]) for k, row in enumerate(bars)], "arrivals int, worth double")
+    return spark.range(6).select(left.alias("arrivals")).join(F.broadcast(table), "arrivals").select("arrivals", F.lit(14).alias("slots"), F.round("worth", 4).alias("bar"))
 
 
 @query("""

@@ -221,10 +221,10 @@ def capture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {CANDIDATES_SQL} SELECT doc_id, channel, row_number() OVER (ORDER BY posted_s DESC, doc_id) + 1 AS sheet_row FROM c WHERE doc_id % 10 = 3
+    WITH {CANDIDATES_SQL} SELECT doc_id, channel, row_number() OVER (ORDER BY posted_s DESC, doc_id) + 1 AS sheet_row FROM c
 """)
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row numbers of all candidates in a sheet that has only its header yet; the SQL knows a tenth of them."""
+    """Row numbers of all candidates in a sheet that has only its header yet."""
     from siltwork.operators.ranking import append_rows
 
     found = candidates(spark, sf_dir).select("doc_id", "channel", "posted_s")

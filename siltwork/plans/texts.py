@@ -177,11 +177,12 @@ def readme_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-           regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '\\b(inc|llc|ltd|gmbh|bv|ab|oy|corp|co|the|a|an)\\b\\.?', '', 'g'), '[^a-z0-9]+', '', 'g') AS name,
-           CASE WHEN length(text) <= 21 THEN text ELSE left(text, 9) || '...' || right(text, 9) END AS short FROM documents WHERE regexp_matches(substr(text, 1, 40), '^[ -~\\s]*$')
+           regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'),
+               '(^|[^\\p{L}\\p{N}_])(inc|llc|ltd|gmbh|bv|ab|oy|corp|co|the|a|an)([^\\p{L}\\p{N}_]|$)', '', 'g'), '[^a-z0-9]+', '', 'g') AS name,
+           CASE WHEN length(text) <= 21 THEN text ELSE left(text, 9) || '...' || right(text, 9) END AS short FROM documents
 """)
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs, names for comparison and shortened forms of all titles; the SQL knows the plain ones only."""
+    """Slugs, names for comparison and shortened forms of all titles."""
     docs = table(spark, sf_dir, "documents")
     head = F.substring("text", 1, 40)
     return docs.select("doc_id", T.slug(head).alias("slug"), T.normal_name(head).alias("name"), T.truncate_middle(F.col("text"), 21).alias("short"))
