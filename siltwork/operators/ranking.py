@@ -5,10 +5,20 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses spark.checkpoint.dir of the session; on one machine, where none is named, a folder of its own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltwork-"))
+
+
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
     """Adds each row's place, from 1, in a total order over all rows.
 
@@ -16,9 +26,7 @@ def global_rank(rows: DataFrame, order: Sequence[Column], name: str, parts: int
     range, are summed in order. The ranges come from a sample, so they are stored: dealt a
     second time for the counts, rows would fall into other ranges.
     """
-    context = rows.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltwork-"))
+    ensure_checkpoint_dir(rows.sparkSession)
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
