@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import PACKED, Packer, bucket_count, by_bucket, hash_words, mix, runs_hash, prefix, sorted_runs, text_chunks, unpack, windows
-from siltwork.llm.shared import connected_components, ensure_checkpoint_dir, release
+from siltwork.llm.postings import PACKED, Packer, buckets_for, by_bucket, hash_words, long, mix, prefix, runs_hash, short, sorted_runs, text_chunks, unpack, windows
+from siltwork.llm.shared import Steps, connected_components
 
 SHINGLE = 5
 BLOCK_SETS = 4096
@@ -60,8 +60,8 @@ def shingle_sets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of each set its shingles in this bucket that other sets hold too, with their counts."""
-    bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
+    """Of each set its shingles in this bucket that other sets hold too, with the magnitudes of their counts."""
+    bucket = table.column("bucket")[0].as_py()
     sets, sizes, keys, run = unpack(table)
     order, begins = sorted_runs(keys)
     length = np.diff(begins)
@@ -79,14 +79,15 @@ def _repeated(table: pa.Table) -> pa.Table:
     else:
         count = np.zeros(0, np.int64)
     order = np.argsort(owner, kind="stable")
-    key, owner, size, count = key[order] | bucket, owner[order], size[order], count[order].astype("<u4")
+    key, owner, size, count = key[order], owner[order], size[order], np.frexp(count[order])[1].astype(np.uint8)
     begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     ends = np.r_[begins[1:], len(owner)] if len(begins) else begins
     return pa.table(
         {
             "set": pa.array(owner[begins], pa.int64()),
             "n": pa.array(size[begins], pa.int32()),
-            "codes": pa.array([key[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
+            "bucket": pa.array([bucket] * len(begins), pa.int32()),
+            "codes": pa.array([short(key[a:b]) for a, b in zip(begins, ends)], pa.binary()),
             "counts": pa.array([count[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
         }
     )
@@ -96,8 +97,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets whose prefix holds a shared shingle: group, prefix, and all shared shingles sorted."""
     for batch in batches:
         rows: list[tuple] = []
-        for name, n, codes, counts in zip(*[batch.column(c).to_pylist() for c in ("set", "n", "codes", "counts")]):
-            code, count = np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(counts), "<u4")
+        for name, n, parts in zip(*[batch.column(c).to_pylist() for c in ("set", "n", "parts")]):
+            code = np.concatenate([long(p["codes"]) ^ (np.uint64(p["bucket"]) << np.uint64(48)) for p in parts])
+            count = np.frombuffer(b"".join(p["counts"] for p in parts), np.uint8)
             first = int(prefix_length(n)) - (n - len(code))
             if first <= 0:
                 continue
@@ -123,12 +125,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(fine, pa.bool_())], names=["u", "v", "linked"])
 
 
-def _checked(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, shared: DataFrame, steps: Steps, name: str) -> DataFrame:
     """u, v, linked: the exact decision about each pair."""
     left = shared.select(F.col("set").alias("u"), "n", "codes")
     right = shared.select(F.col("set").alias("v"), F.col("n").alias("n2"), F.col("codes").alias("codes2"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "n", "n2", "codes", "codes2")
-    return both.mapInArrow(_verify, "u long, v long, linked boolean").checkpoint()
+    return steps.keep(both.mapInArrow(_verify, "u long, v long, linked boolean"), name)
 
 
 def bit_width(n: int) -> int:
@@ -207,7 +209,7 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"run": pa.array([run] * size, pa.int64()), "i": pa.array([i_] * size, pa.int32()), "j": pa.array([j_] * size, pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _links(shared: DataFrame) -> DataFrame:
+def _links(shared: DataFrame, steps: Steps) -> DataFrame:
     """u, v: links between sets that connect all that are linked."""
     groups = shared.groupBy("grp").agg(F.min("set").alias("rep"), F.min("n").alias("n"), F.min_by("prefix", "set").alias("prefix"))
     postings = groups.select("grp", "rep", "n", F.explode("prefix").alias("code"))
@@ -215,7 +217,7 @@ def _links(shared: DataFrame) -> DataFrame:
     run_pairs = postings.join(pivots, "code").where("grp != pivot.grp AND 5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
     group_pairs = run_pairs.select(F.col("pivot.rep").alias("u"), "grp").unionByName(groups.select(F.col("rep").alias("u"), "grp")).distinct()
     pairs = group_pairs.join(shared.select("grp", F.col("set").alias("v")), "grp").where("u != v").select("u", "v")
-    links = _checked(pairs, shared).where("linked").select("u", "v")
+    links = _checked(pairs, shared, steps, "pairs").where("linked").select("u", "v")
 
     labels = links.groupBy(F.col("v").alias("set")).agg(F.min("u").alias("label"))
     labelled = shared.select("set", "n", "grp", "prefix").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
@@ -228,7 +230,8 @@ def _links(shared: DataFrame) -> DataFrame:
     blocks = open_runs.select("run", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks"))
     dealt = members.join(blocks, "run").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = dealt.select("run", "set", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("run", "set", "label", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j")).checkpoint()
+    dealt = dealt.select("run", "set", "label", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"))
+    dealt = steps.keep(dealt, "dealt")
     bitmaps = shared.select("set", "n", "codes").mapInArrow(_bitmaps, "set long, n int, held int, bits binary")
 
     decided, turn = None, 0
@@ -240,15 +243,16 @@ def _links(shared: DataFrame) -> DataFrame:
             both = decided.unionByName(decided.select(F.col("v").alias("u"), F.col("u").alias("v"), "linked"))
             lists = both.groupBy(F.col("u").alias("set")).agg(F.collect_list(F.when(F.col("linked"), F.col("v"))).alias("linked"), F.collect_list(F.when(~F.col("linked"), F.col("v"))).alias("rejected"))
             known = full.join(lists, "set", "left")
-        found = known.withColumn("round", F.lit(turn)).groupBy("run", "i", "j").applyInArrow(_forest, "run long, i int, j int, u long, v long").checkpoint()
-        checked = _checked(found.select("u", "v").distinct(), shared)
+        found = known.withColumn("round", F.lit(turn)).groupBy("run", "i", "j").applyInArrow(_forest, "run long, i int, j int, u long, v long")
+        found = steps.keep(found, f"found{turn}")
+        checked = _checked(found.select("u", "v").distinct(), shared, steps, f"checked{turn}")
         links = links.unionByName(checked.where("linked").select("u", "v"))
         refused = checked.where("NOT linked").select("u", "v")
         again = found.join(refused, ["u", "v"], "left_semi").select("run", "i", "j").distinct()
         if again.isEmpty():
             return links
         decided = checked if decided is None else decided.unionByName(checked)
-        dealt, turn = dealt.join(again, ["run", "i", "j"], "left_semi").checkpoint(), turn + 1
+        dealt, turn = steps.keep(dealt.join(again, ["run", "i", "j"], "left_semi"), f"dealt{turn}"), turn + 1
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,10 +265,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     columns are ignored. An empty table gives an empty result. Sets are compared by 64-bit
     hashes of shingles, of which shuffled ones keep 48 bits and their bucket.
     """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    buckets = bucket_count(spark)
+    steps = Steps(docs.sparkSession)
     given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    buckets = buckets_for(given)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,14 +288,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
                     seen.clear()
         yield from packer.flush()
 
-    replies = by_bucket(given.mapInArrow(post, PACKED), buckets).applyInArrow(_repeated, "set long, n int, codes binary, counts binary")
-    whole = replies.groupBy("set").agg(F.min("n").alias("n"), F.collect_list("codes").alias("codes"), F.collect_list("counts").alias("counts"))
-    shared = whole.mapInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary").checkpoint()
-    del replies, whole
-    release(spark)
-    components = connected_components(_links(shared))
+    replies = by_bucket(given.mapInArrow(post, PACKED), len(buckets)).applyInArrow(_repeated, "set long, n int, bucket int, codes binary, counts binary")
+    whole = replies.groupBy("set").agg(F.min("n").alias("n"), F.collect_list(F.struct("bucket", "codes", "counts")).alias("parts"))
+    shared = steps.keep(whole.mapInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary"), "shared")
+    components = connected_components(_links(shared, steps))
+    steps.drop("shared", "dealt")
 
-    members = given.mapInArrow(measure, "doc long, n_shingles long, set long").checkpoint()
+    members = steps.keep(given.mapInArrow(measure, "doc long, n_shingles long, set long"), "members")
     firsts = members.where("set IS NOT NULL").groupBy("set").agg(F.min("doc").alias("first"))
     placed = firsts.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -11,13 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 48) - 1)
 CHUNK_BYTES = 2_000_000
 FLUSH_KEYS = 2_000_000
 LEAST_BUCKETS = 24
+BUCKET_BYTES = 8_000_000
 PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"
 
 _RANDOM = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,8 +107,18 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         yield first, texts
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets_for(texts: DataFrame, text: str = "text") -> np.ndarray:
+    """The numbers of the buckets, as many as the bytes of all texts ask for.
+
+    A bucket is one task's group, so their count grows with the input and each stays of one
+    size. The numbers are such that each falls into a partition of its own.
+    """
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    n = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    number = F.col("id").cast("int")
+    found = spark.range(40 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("part")).agg(F.min(number).alias("number")).collect()
+    return np.array(sorted(r["number"] for r in found), np.int32)
 
 
 def short(values: np.ndarray) -> bytes:
@@ -119,10 +131,15 @@ def long(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of so many buckets each key falls into, by its high bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 65536 else np.uint32)
+
+
 class Packer:
     """Collects keys of documents, each with another 48-bit value if wanted, and packs them by bucket."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: np.ndarray):
         self.buckets, self.size = buckets, 0
         self.keys: list[np.ndarray] = []
         self.more: list[np.ndarray] = []
@@ -146,7 +163,7 @@ class Packer:
         keys = np.concatenate(self.keys)
         owner = np.repeat(np.arange(len(self.docs)), [len(k) for k in self.keys])
         docs, extra = np.array(self.docs, np.int64), np.array(self.extra, np.int32)
-        bucket = ((keys >> np.uint64(48)) * np.uint64(self.buckets) >> np.uint64(16)).astype(np.uint16 if self.buckets <= 65536 else np.uint32)
+        bucket = bucket_of(keys, len(self.buckets))
         order = np.argsort(bucket, kind="stable")
         keys, owner, bucket = keys[order], owner[order], bucket[order]
         more = np.concatenate(self.more)[order] if self.more else None
@@ -155,7 +172,7 @@ class Packer:
         for a, b in zip(cut[:-1], cut[1:]):
             begins = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
             who = owner[a:b][begins]
-            for column, value in zip(rows, (int(bucket[a]), docs[who].tobytes(), np.diff(begins, append=b - a).astype(np.int32).tobytes(), extra[who].tobytes(), short(keys[a:b]), b"" if more is None else short(more[a:b]))):
+            for column, value in zip(rows, (int(self.buckets[bucket[a]]), docs[who].tobytes(), np.diff(begins, append=b - a).astype(np.int32).tobytes(), extra[who].tobytes(), short(keys[a:b]), b"" if more is None else short(more[a:b]))):
                 column.append(value)
         self.keys, self.more, self.docs, self.extra, self.size = [], [], [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "docs", "counts", "extra", "keys", "more"])
@@ -178,6 +195,7 @@ def unpack(table: pa.Table, more: bool = False) -> tuple[np.ndarray, ...]:
 
 
 def by_bucket(packed: DataFrame, buckets: int):
+    """Groups of the buckets, one to a task."""
     return packed.repartition(buckets, "bucket").groupBy("bucket")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,13 +14,47 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir of the session; sets a folder only where none is named."""
+    """Uses spark.checkpoint.dir of the session; on one machine, where none is named, a folder of its own."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltwork-"))
 
 
+class Steps:
+    """Tables that an operator writes between its steps, in the shared folder of checkpoints.
+
+    A written step has no lineage, and Spark deletes the shuffle files behind it when it is
+    written. ``drop`` deletes steps that no later one reads; what a result still reads stays.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/steps-{uuid.uuid4().hex}"
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            rows.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEAN)
+            else:
+                self.spark.conf.set(self.CLEAN, before)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partition_sums(rows: DataFrame, shape: tuple[int, int], part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """The sum over all rows of ``part``: summed inside each partition, then row by row of the matrix."""
 
@@ -49,13 +83,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pre-aggregated minimum and an equi-join, so a hub is no single task's group. Lineage is
     cut at the checkpoint folder. Nodes without an edge to another node are not returned.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
+    steps = Steps(edges.sparkSession)
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    before, after = None, mark(now)
+    now = steps.keep(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "0")
+    before, after, turn = None, mark(now), 0
     while before != after:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -64,7 +98,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = small.where("u != v").distinct().checkpoint()
+        turn += 1
+        now = steps.keep(small.where("u != v").distinct(), str(turn))
+        steps.drop(str(turn - 1))
         before, after = after, mark(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -117,12 +153,6 @@ def pair_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are stored and no longer named."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def squeezed(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, text: the texts compressed, so that joins and stores carry less; null is empty."""
 

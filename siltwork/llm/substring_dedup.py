@@ -3,8 +3,12 @@
 Positions whose residue modulo the period lies in a difference cover are anchors. For any
 distance between two places, some offset below the period puts an anchor at both, so two
 equal windows share an equal, shorter anchor window that starts at the same offset inside
-both. Only anchor windows are hashed and shuffled; documents with a repeated anchor then
-extend it: the full windows around it, and only these, are compared.
+both. Only anchor windows are hashed and shuffled at first; texts with a repeated anchor then
+extend it to the full windows around it.
+
+Hashes only propose. Of full windows with one hash, each is matched with one of them, its
+model; neighbouring matches with one model text make a claim, which carries its words to that
+text, where they are compared. Windows whose words differ are matched anew among themselves.
 """
 
 from __future__ import annotations
@@ -13,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, hash_words, joined, replies, sorted_runs, text_chunks, unpack, windows
-from siltwork.llm.shared import ensure_checkpoint_dir, expand, release, squeezed
+from siltwork.llm.postings import LOW, PACKED, Packer, bucket_of, buckets_for, by_bucket, hash_words, joined, mix, replies, sorted_runs, text_chunks, unpack, windows
+from siltwork.llm.shared import Steps, expand, squeeze
 
 WINDOW = 35
 #: A perfect difference cover of the residues modulo 21.
@@ -35,7 +40,7 @@ def anchors(words: int, window: int = WINDOW) -> np.ndarray:
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """Keys that stand at two places or more, returned to their documents."""
+    """Keys that stand at two places or more, returned to their texts."""
     docs, _, keys, run = unpack(table)
     order, begins = sorted_runs(keys)
     often = np.repeat(np.diff(begins) > 1, np.diff(begins))
@@ -45,109 +50,258 @@ def _repeats(table: pa.Table) -> pa.Table:
     return replies(pairs[0], pairs[1].astype(np.uint64))
 
 
-def _collected(packed: DataFrame, buckets: int, name: str) -> DataFrame:
-    found = by_bucket(packed, buckets).applyInArrow(_repeats, "doc long, keys binary")
-    return found.groupBy("doc").agg(F.collect_list("keys").alias(name))
+MATCHES = "row long, places binary, models binary, at binary"
+
+
+class Matcher:
+    """Packs windows by bucket; of those with one key in a task only the first goes to the bucket.
+
+    The others are matched with that first one at once, so a very common window sends one row
+    per task and not one per text. Their matches travel through a bucket of their text's.
+    """
+
+    def __init__(self, buckets: np.ndarray, most: int = 2_000_000):
+        self.buckets, self.most, self.size = buckets, most, 0
+        self.rows: list[int] = []
+        self.places: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+
+    def add(self, row: int, places: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        self.places.append(places)
+        self.keys.append(keys)
+        self.size += len(keys)
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, place = np.concatenate(self.keys), np.concatenate(self.places).astype(np.uint64)
+        row = np.repeat(np.array(self.rows, np.int64), [len(k) for k in self.keys])
+        self.rows, self.places, self.keys, self.size = [], [], [], 0
+        order, begins = sorted_runs(keys)
+        first = order[np.repeat(begins[:-1], np.diff(begins))]
+        rest = order != first
+        member, model = order[rest], first[rest]
+        first = np.sort(order[begins[:-1]])
+        packer, cut = Packer(self.buckets), np.flatnonzero(np.diff(row[first], prepend=row[first[:1]] - 1, append=row[first[-1:]] + 1))
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield from packer.add(int(row[first[a]]), keys[first[a:b]], more=place[first[a:b]])
+        yield from packer.flush()
+        if len(member):
+            member, model = member[np.argsort(member)], model[np.argsort(member)]
+            bucket = bucket_of(mix(row[member].astype(np.uint64)), len(self.buckets))
+            order = np.argsort(bucket, kind="stable")
+            member, model, bucket = member[order], model[order], bucket[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            parts = [(int(self.buckets[bucket[a]]), row[member[a:b]].tobytes(), b"", place[member[a:b]].astype("<u4").tobytes(), row[model[a:b]].tobytes(), place[model[a:b]].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+            columns = list(zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "docs", "counts", "extra", "keys", "more"])
+
+
+def _matched(table: pa.Table) -> pa.Table:
+    """Each window with the first one of its key, and the matches made before: by row."""
+    packed = table.filter(pc.greater(pc.binary_length(table.column("counts")), 0))
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]]
+    for batch in table.filter(pc.equal(pc.binary_length(table.column("counts")), 0)).to_batches():
+        for name, values, kind in zip(("docs", "extra", "keys", "more"), found, (np.int64, "<u4", np.int64, "<u4")):
+            values += [np.frombuffer(v.as_py(), kind) for v in batch.column(name)]
+    if packed.num_rows:
+        rows, _, keys, run, place = unpack(packed, more=True)
+        row, place = rows[run], place.astype("<u4")
+        order = np.lexsort((place, row, keys))
+        begins = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        first = order[np.repeat(begins, np.diff(np.r_[begins, len(order)]))]
+        rest = order != first
+        for values, more in zip(found, (row[order[rest]], place[order[rest]], row[first[rest]], place[first[rest]])):
+            values.append(more)
+    row, place, model, at = (np.concatenate(v) for v in found)
+    order = np.lexsort((place, row))
+    row, place, model, at = row[order], place[order], model[order], at[order]
+    begins = np.flatnonzero(np.diff(row, prepend=row[:1] - 1)) if len(row) else np.zeros(0, np.int64)
+    ends = np.r_[begins[1:], len(row)] if len(begins) else begins
+    columns = [pa.array([v[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for v in (place, model, at)]
+    return pa.table([pa.array(row[begins], pa.int64()), *columns], names=["row", "places", "models", "at"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Claims: runs of windows whose models are a run of one text, with their words."""
+    for batch in batches:
+        out: list[tuple] = []
+        held = 0
+        for row, text, matches in zip(*[batch.column(c) for c in ("row", "text", "matches")]):
+            parts = matches.as_py()
+            place, at = (np.frombuffer(b"".join(p[c] for p in parts), "<u4").astype(np.int64) for c in ("places", "at"))
+            model = np.frombuffer(b"".join(p["models"] for p in parts), np.int64)
+            order = np.argsort(place, kind="stable")
+            place, model, at = place[order], model[order], at[order]
+            begins = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(at) != 1) | (np.diff(model) != 0)])
+            words = expand(text.as_py()).split()
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(place)]):
+                start, size = int(place[a]), b - a
+                body = b" ".join(words[start : start + size + window - 1])
+                out.append((row.as_py(), start, size, int(model[a]), int(at[a]), body))
+                held += len(body)
+                if held > 16_000_000:
+                    yield _claims(out)
+                    out, held = [], 0
+        yield _claims(out)
+
+
+CLAIMS = "row long, start int, size int, model long, at int, words binary"
+VERDICTS = "row long, start int, size int, same boolean"
+
+
+def _claims(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "start", "size", "model", "at", "words"])
+
 
+def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First place and length of each run of true values."""
+    edge = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+    yield from zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist())
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+
+def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Which claimed windows have their model's words: for both texts; and which have not."""
+    last, words = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for row, start, size, model, at, claimed, text in zip(*[batch.column(c) for c in ("row", "start", "size", "model", "at", "words", "text")]):
+            row, start, size, model, at, claimed = (v.as_py() for v in (row, start, size, model, at, claimed))
+            if model != last:
+                last, words = model, expand(text.as_py()).split()
+            other = words[at : at + size + window - 1]
+            if b" ".join(other) == claimed:
+                out += [(row, start, size, True), (model, at, size, True)]
+                continue
+            differ = np.array([x != y for x, y in zip(claimed.split(), other)])
+            wrong = np.r_[0, np.cumsum(differ)]
+            same = wrong[window:] == wrong[:-window]
+            for a, n in _runs(same):
+                out += [(row, start + a, n, True), (model, at + a, n, True)]
+            out += [(row, start + a, n, False) for a, n in _runs(~same)]
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["row", "start", "size", "same"])
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hash_bits: int = 64) -> DataFrame:
     """key, n_words, n_removed, kept_text: each whole text without the words of repeated windows.
 
     Words are runs without ASCII white space, kept unchanged and joined by one space. A window
     is ``window`` consecutive words of one text; it is repeated if its words also start
     anywhere else in the input, the same text included. Null and empty texts have no words;
-    texts shorter than a window stay whole. Ids must be integers; rows of one id are separate
-    texts that count as copies of each other, and a null id is a document of its own. Other
-    columns are ignored. An empty table gives an empty result.
+    texts shorter than a window stay whole. Rows of one id are separate texts that count as
+    copies of each other, and so are rows without one. Other columns are ignored. An empty
+    table gives an empty result. ``hash_bits`` sets how much of a hash is used; the result is
+    the same for any number, as words are compared before a window goes.
     """
     if window < PERIOD + 4:
         raise ValueError(f"a window needs {PERIOD + 4} words at least")
-    ensure_checkpoint_dir(docs.sparkSession)
-    buckets, width = bucket_count(docs.sparkSession), window - PERIOD + 1
-    given = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    steps, width = Steps(docs.sparkSession), window - PERIOD + 1
+    given = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    buckets = buckets_for(given)
+    used = np.uint64((1 << 64) - (1 << 64 - hash_bits))
+
+    def keys_of(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+        found = windows(hashes, size)
+        return (mix(found + np.uint64(seed)) if seed else found) & used
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_chunks(batch):
+                _, at = hash_words(texts)
+                packed = pa.array([squeeze(t) for t in texts], pa.binary())
+                rows = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), pa.array(np.diff(at), pa.int64()), packed], names=["row", "doc", "n_words", "text"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
         for batch in batches:
-            ids = batch.column("doc").to_pylist()
-            for start, texts in text_chunks(batch):
+            rows = batch.column("row").to_pylist()
+            for start, texts in text_chunks(batch, read=expand):
                 hashes, at = hash_words(texts)
                 for i in range(len(texts)):
-                    if at[i + 1] - at[i] >= window:
-                        keys = windows(hashes[at[i] : at[i + 1]], width)[anchors(at[i + 1] - at[i], window)]
-                        yield from packer.add(_number(ids[start + i]), keys)
+                    keys = keys_of(hashes[at[i] : at[i + 1]], width)[anchors(at[i + 1] - at[i], window)]
+                    yield from packer.add(rows[start + i], keys)
         yield from packer.flush()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without a repeated anchor are done; the others list their candidate windows."""
+        """The windows around repeated anchors of each text."""
         for batch in batches:
-            ids, parts = batch.column("doc"), batch.column("anchors").to_pylist()
+            parts = batch.column("anchors").to_pylist()
             for start, texts in text_chunks(batch, read=expand):
                 hashes, at = hash_words(texts)
-                sizes, candidates = [], []
+                candidates = []
                 for i in range(len(texts)):
                     n = int(at[i + 1] - at[i])
-                    sizes.append(n)
-                    known = joined(parts[start + i], np.uint64)
-                    if not len(known) or n < window:
-                        candidates.append(None)
-                        continue
                     places = anchors(n, window)
-                    hit = places[np.isin(windows(hashes[at[i] : at[i + 1]], width)[places] & LOW, known)]
+                    hit = places[np.isin(keys_of(hashes[at[i] : at[i + 1]], width)[places] & LOW, joined(parts[start + i], np.uint64))]
                     near = np.unique(np.clip(hit[:, None] - np.arange(PERIOD), 0, n - window))
                     candidates.append(near.astype("<u4").tobytes() if len(near) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), batch.column("text").slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(candidates, pa.binary())], names=["doc", "text", "n_words", "candidates"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("row", "text")] + [pa.array(candidates, pa.binary())], names=["row", "text", "candidates"])
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+    def second(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(buckets)
         for batch in batches:
-            ids, spots = batch.column("doc").to_pylist(), batch.column("candidates").to_pylist()
+            rows, spots = batch.column("row").to_pylist(), batch.column("candidates").to_pylist()
             for start, texts in text_chunks(batch, read=expand):
                 hashes, at = hash_words(texts)
                 for i in range(len(texts)):
-                    keys = windows(hashes[at[i] : at[i + 1]], window)[np.frombuffer(spots[start + i], "<u4")]
-                    yield from packer.add(_number(ids[start + i]), keys)
-        yield from packer.flush()
+                    places = np.frombuffer(spots[start + i], "<u4")
+                    yield from matcher.add(rows[start + i], places, keys_of(hashes[at[i] : at[i + 1]], window, seed)[places])
+        yield from matcher.flush()
+
+    def spots(runs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs:
+            listed = [np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["size"]) for r in runs_])).astype("<u4").tobytes() for runs_ in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(listed, pa.binary())], names=["row", "text", "candidates"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots, parts = batch.column("candidates").to_pylist(), batch.column("repeats").to_pylist()
-            removed, kept = [], []
             for start, texts in text_chunks(batch, read=expand):
-                hashes, at = hash_words(texts)
-                for i, body in enumerate(texts):
-                    words, known = body.split(), joined(parts[start + i], np.uint64)
-                    if spots[start + i] and len(known):
-                        places = np.frombuffer(spots[start + i], "<u4").astype(np.int64)
-                        hit = places[np.isin(windows(hashes[at[i] : at[i + 1]], window)[places] & LOW, known)]
-                        edge = np.zeros(len(words) + 1, np.int32)
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + window, -1)
-                        keep = np.cumsum(edge[:-1]) == 0
-                        words = [w for w, k in zip(words, keep.tolist()) if k]
-                    removed.append(int(at[i + 1] - at[i]) - len(words))
-                    kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    lookup = F.coalesce(F.col("doc").cast("long"), F.lit(NULL_DOC))
-    anchored = _collected(given.mapInArrow(first, PACKED), buckets, "anchors").withColumnRenamed("doc", "__doc").checkpoint()
-    release(docs.sparkSession)
-    extended = squeezed(given, "doc", "text").join(anchored, lookup == F.col("__doc"), "left").select("doc", "text", "anchors")
-    stored = extended.mapInArrow(extend, f"doc {kind}, text binary, n_words long, candidates binary").checkpoint()
-    release(docs.sparkSession)
-    open_texts = stored.where("candidates IS NOT NULL")
-    repeated = _collected(open_texts.mapInArrow(second, PACKED), buckets, "repeats").withColumnRenamed("doc", "__doc")
-    closed = stored.where("candidates IS NULL").withColumn("repeats", F.lit(None).cast("array<binary>"))
-    final = open_texts.join(repeated, lookup == F.col("__doc"), "left").select("doc", "text", "n_words", "candidates", "repeats").unionByName(closed)
-    return final.mapInArrow(cut, f"doc {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("doc", key)
+                rows = batch.slice(start, len(texts))
+                removed, kept = [], []
+                for body, runs in zip(texts, rows.column("runs").to_pylist()):
+                    words = body.split()
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    for r in runs or ():
+                        edge[r["start"]] += 1
+                        edge[r["start"] + r["size"] + window - 1] -= 1
+                    keep = np.cumsum(edge[:-1]) == 0
+                    removed.append(int((~keep).sum()))
+                    kept.append(b" ".join(w for w, k in zip(words, keep.tolist()) if k) if removed[-1] else b" ".join(words))
+                yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
 
-
-NULL_DOC = -(1 << 63)
-
-
-def _number(doc: int | None) -> int:
-    return NULL_DOC if doc is None else doc
+    kind, n = docs.schema[key].dataType.simpleString(), len(buckets)
+    texts = steps.keep(given.mapInArrow(store, f"row long, doc {kind}, n_words long, text binary"), "texts")
+    long_enough = texts.where(F.col("n_words") >= window).select("row", "text")
+    repeated = by_bucket(long_enough.mapInArrow(first, PACKED), n).applyInArrow(_repeats, "doc long, keys binary")
+    anchored = repeated.groupBy(F.col("doc").alias("row")).agg(F.collect_list("keys").alias("anchors"))
+    opened = long_enough.join(anchored, "row").mapInArrow(extend, "row long, text binary, candidates binary").where("candidates IS NOT NULL")
+    opened = steps.keep(opened, "open0")
+    verdicts, turn = None, 0
+    while True:
+        matched = by_bucket(opened.mapInArrow(lambda b, seed=turn: second(b, seed), PACKED), n).applyInArrow(_matched, MATCHES)
+        listed = matched.groupBy("row").agg(F.collect_list(F.struct("places", "models", "at")).alias("matches"))
+        claims = opened.select("row", "text").join(listed, "row").mapInArrow(lambda b: _pieces(b, window), CLAIMS)
+        models = opened.select(F.col("row").alias("model"), "text")
+        found = steps.keep(claims.join(models, "model").mapInArrow(lambda b: _compared(b, window), VERDICTS).distinct(), f"verdicts{turn}")
+        verdicts = found if verdicts is None else verdicts.unionByName(found)
+        wrong = found.where("NOT same")
+        if wrong.isEmpty():
+            break
+        turn += 1
+        again = wrong.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+        opened = steps.keep(opened.select("row", "text").join(again, "row").mapInArrow(spots, "row long, text binary, candidates binary"), f"open{turn}")
+        steps.drop(f"open{turn - 1}")
+    steps.drop(f"open{turn}")
+    runs = verdicts.where("same").groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    final = texts.join(runs, "row", "left").select("doc", "n_words", "text", "runs")
+    return final.mapInArrow(cut, f"doc {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("doc", key)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

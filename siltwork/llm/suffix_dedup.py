@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import LOW, PACKED, Packer, bucket_count, by_bucket, byte_prefix, joined, mix, runs_hash, text_chunks, unpack
-from siltwork.llm.shared import ensure_checkpoint_dir, expand, release, squeezed
+from siltwork.llm.postings import LOW, PACKED, Packer, bucket_of, buckets_for, by_bucket, byte_prefix, joined, mix, runs_hash, text_chunks, unpack
+from siltwork.llm.shared import Steps, expand, squeezed
 from siltwork.llm.suffix_sort import Scratch, common_prefixes, suffix_order
 
 WINDOW = 50
 INNER = 16
-SHARDS_PER_BUCKET = 4
 FLUSH_BYTES = 8_000_000
 SHARDS = "bucket int, docs binary, starts binary, sizes binary, bytes binary"
 REPLY = "doc long, whole binary, part binary"
@@ -140,9 +139,9 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     takes nothing from others. ``kept`` can break a character, so it is binary. Other columns
     are ignored. An empty table gives an empty result.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    buckets = bucket_count(docs.sparkSession)
+    steps = Steps(docs.sparkSession)
     given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    buckets = buckets_for(given)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
@@ -169,7 +168,7 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                         continue
                     first, last, keys, contents = regions(body, window)
                     hit, ask = np.isin(contents & LOW, sure), np.isin(contents & LOW, open_)
-                    bucket = ((keys >> np.uint64(48)) * np.uint64(SHARDS_PER_BUCKET * buckets) >> np.uint64(16)).astype(np.int64)
+                    bucket = buckets[bucket_of(keys, len(buckets))].astype(np.int64)
                     gone.append(np.stack([first[hit], last[hit]]).astype("<u4").tobytes())
                     asked.append(np.stack([first[ask], last[ask], bucket[ask]]).astype("<u4").tobytes() if ask.any() else None)
                 n_bytes = pa.array([len(t) for t in texts], pa.int64())
@@ -228,15 +227,14 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 rows = batch.select(["doc", "n_bytes"]).slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spark, shards = docs.sparkSession, SHARDS_PER_BUCKET * buckets
     announced = given.where("doc IS NOT NULL").mapInArrow(announce, PACKED)
-    status = by_bucket(announced, buckets).applyInArrow(_status, REPLY).groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part")).checkpoint()
-    del announced
-    release(spark)
-    stored = squeezed(given, "doc", "text").join(status, "doc", "left").select("doc", "text", "whole", "part").mapInArrow(settle, "doc long, n_bytes long, text binary, gone binary, asked binary").checkpoint()
-    release(spark)
+    status = by_bucket(announced, len(buckets)).applyInArrow(_status, REPLY).groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part"))
+    status = steps.keep(status, "status")
+    settled = squeezed(given, "doc", "text").join(status, "doc", "left").select("doc", "text", "whole", "part").mapInArrow(settle, "doc long, n_bytes long, text binary, gone binary, asked binary")
+    stored = steps.keep(settled, "stored")
+    steps.drop("status")
     open_texts = stored.where("asked IS NOT NULL")
-    sorted_shards = by_bucket(open_texts.mapInArrow(deal, SHARDS), shards).applyInArrow(lambda t: sort_shard(t, window), "doc long, places binary")
+    sorted_shards = by_bucket(open_texts.mapInArrow(deal, SHARDS), len(buckets)).applyInArrow(lambda t: sort_shard(t, window), "doc long, places binary")
     places = sorted_shards.groupBy("doc").agg(F.collect_list("places").alias("places"))
     final = open_texts.join(places, "doc", "left").select("doc", "n_bytes", "text", "gone", "places")
     final = final.unionByName(stored.where("asked IS NULL").select("doc", "n_bytes", "text", "gone", F.lit(None).cast("array<binary>").alias("places")))

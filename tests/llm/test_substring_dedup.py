@@ -40,5 +40,15 @@ def test_matches_all_windows(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_weak_hashes_only_cost_time(spark):
+    """With hashes of nine bits most windows that are matched differ; words decide, over several rounds."""
+    r = random.Random(4)
+    passages = [[f"w{r.randrange(40)}" for _ in range(45)] for _ in range(3)]
+    rows = [(i, " ".join([f"w{r.randrange(40)}" for _ in range(30)] + r.choice(passages)[r.randrange(12) :])) for i in range(24)]
+    rows += [(50, rows[3][1]), (51, rows[4][1] + " tail"), (51, None)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hash_bits=9)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
