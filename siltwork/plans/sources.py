@@ -55,8 +55,8 @@ def newsletter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH p AS (SELECT user_id AS node, day(ts) - 1 AS page, list(event_id ORDER BY event_id) AS posts FROM events GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY page) - 1 AS no, bool_and(len(posts) >= 2) OVER (PARTITION BY node ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS full_before FROM p),
-    k AS (SELECT node, page, unnest(posts) AS post, generate_subscripts(posts, 1) - 1 AS at FROM r WHERE page = no AND coalesce(full_before, true))
-    SELECT CAST(node AS BIGINT) AS node, page, at, post FROM k WHERE page * 2 + at < 7
+    k AS (SELECT node, page, unnest(posts) AS post, generate_subscripts(posts, 1) - 1 AS place FROM r WHERE page = no AND coalesce(full_before, true))
+    SELECT CAST(node AS BIGINT) AS node, page, place AS "at", post FROM k WHERE page * 2 + place < 7
 """)
 def archive_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered pages read up to the first short one, and seven posts in all."""
