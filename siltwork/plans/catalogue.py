@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltwork.plans import graph, profiles, ranking, relational, sources, texts
+from siltwork.plans import dossiers, graph, profiles, ranking, relational, sources, texts
 from siltwork.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "gate_per_source"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "graph", "profiles", "ranking", "relational", "sources", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "dossiers", "graph", "profiles", "ranking", "relational", "sources", "texts"]
