@@ -1,10 +1,12 @@
-"""Text expressions: filters, redaction, names, hosts, quotes. All are JVM-side columns."""
+"""Text expressions: filters, redaction, names, hosts, quotes; and vectors as bytes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that mark adverts for jobs, questions, promotions and builders.
@@ -185,3 +187,25 @@ def readme_quality(text: Column) -> Column:
         + F.least(F.regexp_count(text, F.lit(r"\[[^\]]+\]\([^)]+\)")) * 1.5, F.lit(10.0))
     )
     return F.coalesce(F.floor(F.least(points + topics, F.lit(100.0)) + 0.5), F.lit(0)).cast("long")
+
+
+def packed(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key and the vector as bytes of little-endian 32-bit floats; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None if v is None else v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() for v in (x if x.is_valid else None for x in batch.column(vector))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary())], names=[key, vector])
+
+    return rows.select(key, vector).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {vector} binary")
+
+
+def unpacked(rows: DataFrame, key: str, blob: str) -> DataFrame:
+    """key and the vector that bytes of 32-bit floats hold; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None if b is None else np.frombuffer(b, "<f4") for b in batch.column(blob).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float32()))], names=[key, blob])
+
+    return rows.select(key, blob).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {blob} array<float>")

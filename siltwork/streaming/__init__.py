@@ -1 +1 @@
-"""Streaming of the evaluation engine."""
+"""Streams."""
