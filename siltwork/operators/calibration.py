@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltwork.operators.ranking import global_rank
+from siltwork.operators.ranking import global_rank, rank_within
 
 
 def f_beta(precision: Column, recall: Column, beta: float) -> Column:
@@ -40,13 +40,8 @@ def fit_threshold(table: DataFrame) -> DataFrame:
 def average_precision(rows: DataFrame, score: Column, good: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean precision at the places of good rows, per key; a fixed order breaks ties."""
     ordered = rows.withColumn("__score", score)
-    if keys:
-        placed = ordered.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__score"), tie))).where(F.col(good) == 1)
-    else:
-        placed = global_rank(ordered, [F.desc("__score"), F.col(tie)], "place").where(F.col(good) == 1)
-    w = Window.partitionBy(*keys).orderBy("place")
-    hits = placed.withColumn("hit", F.row_number().over(w))
-    return hits.groupBy(*keys).agg((F.sum(F.col("hit") / F.col("place")) / F.count(F.lit(1))).alias("average_precision"))
+    placed = rank_within(ordered, keys, [F.desc("__score"), F.col(tie)], "place", "n", (good, "hit")).where(F.col(good) == 1)
+    return placed.groupBy(*keys).agg((F.sum(F.col("hit") / F.col("place")) / F.count(F.lit(1))).alias("average_precision"))
 
 
 def weight_grid(step: float = 0.05) -> list[tuple[float, float, float]]:

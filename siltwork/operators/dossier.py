@@ -97,5 +97,5 @@ def score_theses(best: DataFrame, sources: DataFrame, weights: DataFrame) -> Dat
     totals = weights.groupBy("thesis", "ord").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("total"))
     sums = best.join(F.broadcast(weights), "signal").groupBy("entity", "thesis", "ord").agg(F.sum(F.col("score") * F.col("weight")).alias("sum"))
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide("sum", "total"), F.lit(0.0))))
-    rated = sums.join(F.broadcast(totals), ["thesis", "ord"]).join(sources, "entity").withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * S.corroboration(F.col("sources"))) - F.col("penalty")), 4))
+    rated = sums.join(F.broadcast(totals), ["thesis", "ord"]).join(sources, "entity").withColumn("score", F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * S.corroboration(F.col("sources"))) - F.col("penalty")), 9), 4))
     return rated.groupBy("entity").agg(F.max_by(F.struct("thesis", "score"), F.struct("score", -F.col("ord"))).alias("b")).select("entity", "b.*")

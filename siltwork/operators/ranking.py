@@ -46,3 +46,30 @@ def append_rows(rows: DataFrame, written: DataFrame | None, key: str, order: Seq
     lines = written.agg((F.count(F.lit(1)) + 1).alias("__lines"))
     fresh = global_rank(rows.join(written.select(key), key, "left_anti"), order, "__place")
     return fresh.crossJoin(F.broadcast(lines)).withColumn(name, F.col("__place") + F.col("__lines")).drop("__place", "__lines")
+
+
+def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str, running: tuple[str, str] | None = None, parts: int | None = None) -> DataFrame:
+    """Adds each row's place within its keys, how many rows these have, and a running sum if asked.
+
+    ``running`` names a number and the column of its sums up to the row. Rows are sorted into
+    ranges by keys and order; each range counts and sums its own rows, and these counts are
+    added up, so one key that holds a third of all rows is spread over many tasks.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(running[0]).cast("long") if running else F.lit(0)
+    ranged = rows.withColumn("__v", F.coalesce(value, F.lit(0))).repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy(*keys, "__part")
+    so_far = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({"__at": F.row_number().over(own.orderBy(*order)), "__sum": F.sum("__v").over(so_far)})
+    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__s"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__os"), F.sum("__n").over(whole).alias(total))
+    match = F.col("__part") == F.col("__p")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    placed = local.join(offsets, match).withColumn(name, F.col("__at") + F.col("__o"))
+    if running:
+        placed = placed.withColumn(running[1], F.col("__sum") + F.col("__os"))
+    return placed.drop("__v", "__part", "__at", "__sum", "__p", "__o", "__os", *[f"__k_{k}" for k in keys])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltwork.operators.ranking import rank_within
+
 
 def first_by(rows: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each key in a given total order."""
@@ -33,16 +35,14 @@ def fill_missing(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequ
 def top_share(rows: DataFrame, group: str, value: str, tie: str, share: float, floor: float) -> DataFrame:
     """The best share of each group among values from ``floor``: at least one, half to even."""
     able = rows.where(F.col(value) >= floor)
-    w = Window.partitionBy(group)
-    ranked = able.withColumn("place", F.row_number().over(w.orderBy(F.desc(value), F.col(tie)))).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = rank_within(able, [group], [F.desc(value), F.col(tie)], "place", "n")
     return ranked.where(F.col("place") <= F.greatest(F.lit(1), F.bround(F.col("n") * share, 0).cast("int"))).drop("n")
 
 
 def nearest_rank(rows: DataFrame, group: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
     """Percentiles by position int(n p / 100), the last at most, by a global sort within groups."""
     able = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*group)
-    placed = able.select(*group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
+    placed = rank_within(able.select(*group, value), group, [F.col(value)], "place", "n").withColumn("at", F.col("place") - 1)
     picks = [F.max(F.when(F.col("at") == F.least((F.col("n") * p / 100).cast("int"), F.col("n") - 1), F.col(value))).alias(f"p{p}") for p in percents]
     return placed.groupBy(*group).agg(*picks)
 

@@ -88,7 +88,7 @@ def entity_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {SIGNAL_ROWS_SQL}, w(thesis, ord, signal, weight) AS (VALUES ('first', 0, 'is_building', 0.5), ('first', 0, 'thesis_fit', 0.5), ('first', 0, 'too_late', -0.4), ('second', 1, 'founder_quality', 0.6), ('second', 1, 'timing', 0.4), ('third', 2, 'founder_quality', 0.6), ('third', 2, 'timing', 0.4)),
     cp(source, penalty) AS (VALUES ('whatsapp', 0.0933), ('inbound', 0.157)), sr AS (SELECT entity, count(DISTINCT source) AS sources, CASE WHEN count(*) FILTER (WHERE source = 'whatsapp') > 0 THEN 0.1 ELSE 0.2 END::DOUBLE AS penalty FROM ev GROUP BY entity),
     th AS (SELECT entity, thesis, ord, greatest(0.0, least(1.0, sum(score * weight) / sum(greatest(weight, 0.0)))) AS base FROM bq JOIN w USING (signal) GROUP BY ALL),
-    fi AS (SELECT entity, thesis, ord, round(greatest(0.0, least(1.0, base * CASE WHEN sources = 2 THEN 1.12 WHEN sources = 3 THEN 1.2 WHEN sources > 3 THEN 1.25 ELSE 1.0 END) - penalty)::DOUBLE, 4) AS score FROM th JOIN sr USING (entity))
+    fi AS (SELECT entity, thesis, ord, round(round(greatest(0.0, least(1.0, base * CASE WHEN sources = 2 THEN 1.12 WHEN sources = 3 THEN 1.2 WHEN sources > 3 THEN 1.25 ELSE 1.0 END) - penalty)::DOUBLE, 9), 4) AS score FROM th JOIN sr USING (entity))
     SELECT entity, max_by(thesis, (score, -ord)) AS thesis, max(score) AS score FROM fi GROUP BY entity
 """)
 def entity_best_thesis(spark: SparkSession, sf_dir: str) -> DataFrame:

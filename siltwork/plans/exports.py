@@ -11,6 +11,7 @@ from siltwork.functions import text as T
 from siltwork.operators import exports as X
 from siltwork.plans.frames import table
 from siltwork.plans.profiles import scored
+from siltwork.plans.ranking import PENALTIES_SQL
 from siltwork.plans.registry import query
 
 FIELDS = (("startup_name", "Name", False), ("website", "Website", False), ("traction", "Traction", True))
@@ -198,7 +199,15 @@ def screening_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(f"""
+    WITH {PENALTIES_SQL}, sh(channel, q) AS (VALUES ('whatsapp', 0.70), ('linkedin', 0.60), ('github', 0.50), ('hackernews', 0.45), ('reddit', 0.35), ('substack', 0.30), ('inbound', 0.25), ('other', 0.40)),
+    z0 AS (SELECT channel, CAST(q AS DOUBLE) AS q, min_by(x, abs(f - q)) AS x, min_by(f, abs(f - q)) AS f, min_by(p, abs(f - q)) AS p FROM sh, gf GROUP BY channel, q),
+    z AS (SELECT channel, q, x - (f - q) / p / (1 + x * (f - q) / p / 2) AS z FROM z0), mi AS (SELECT channel, exp(-z * z / 2) / sqrt(2 * pi()) / q AS mills FROM z),
+    ed AS (SELECT channel, (SELECT penalty_alike FROM pe WHERE channel = 'hackernews') - penalty_alike AS edge FROM pe),
+    en AS (SELECT n, 9 - sum((CASE WHEN i IN (0, 3600) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.005::DOUBLE / 3 * pow(f, n)) AS e FROM range(1, 61) r(n), gf GROUP BY n)
+    SELECT channel, round(0.125 * (mills - (SELECT mills FROM mi WHERE channel = 'github')), 6) AS penalty, round(edge, 6) AS edge,
+        CAST(CASE WHEN edge <= 0 THEN 1 ELSE (SELECT max(n) FROM en WHERE e <= edge / (0.0625 / 0.085 * 0.15)) END AS INTEGER) AS audience FROM mi JOIN ed USING (channel)
+""")
 def selection_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What being in a channel says about quality, its edge over the most public one and the audience that undoes it."""
     found = Q.selection_by_channel()

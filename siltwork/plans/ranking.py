@@ -16,6 +16,15 @@ COMBINE_SQL = "greatest(0.0, least(1.0, (is_building * 0.25 + thesis_fit * 0.30
 JUDGED_SQL = f"{SIMILARITY_SQL}, j AS (SELECT doc_id, quality AS good, s.similarity FROM labels JOIN s USING (doc_id))"
 PENALTIES = S.curse_by_channel()
 
+#: Penalties for the oracles, integrated on a grid of their own: the mean of the largest of n is 9 less the integral of F^n.
+PENALTIES_SQL = """
+ga AS (SELECT i, -9 + i * 0.005::DOUBLE AS x FROM range(3601) t(i)),
+gp AS (SELECT i, x, exp(-x * x / 2) / sqrt(2 * pi()) AS p, exp(-(x - 0.0025) * (x - 0.0025) / 2) / sqrt(2 * pi()) AS m FROM ga),
+gf AS (SELECT i, x, p, coalesce(sum(0.005 / 6 * (before + 4 * m + p)) OVER (ORDER BY i), 0) AS f FROM (SELECT *, lag(p) OVER (ORDER BY i) AS before FROM gp)),
+au(channel, n, rho) AS (VALUES ('whatsapp', 3, 0.10), ('inbound', 8, 0.20), ('linkedin', 25, 0.35), ('reddit', 60, 0.45), ('substack', 80, 0.50), ('github', 120, 0.50), ('hackernews', 200, 0.60), ('other', 100, 0.40)),
+pe AS (SELECT channel, 0.0625 / 0.085 * 0.15 * e AS penalty, 0.0625 / 0.085 * 0.15 * sqrt(1 - rho::DOUBLE) * e AS penalty_alike FROM (
+    SELECT channel, rho, 9 - sum((CASE WHEN i IN (0, 3600) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.005::DOUBLE / 3 * pow(f, n)) AS e FROM au, gf GROUP BY channel, rho))"""
+
 
 def combined():
     return S.combine({k: F.col(k) for k in S.SIGNAL_WEIGHTS})
@@ -111,10 +120,9 @@ def entity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {CANDIDATES_SQL}, {VERDICTS_SQL}, m AS (SELECT author AS entity, max(is_building) AS is_building, max(thesis_fit) AS thesis_fit, max(founder_quality) AS founder_quality, max(timing) AS timing,
+    WITH {CANDIDATES_SQL}, {VERDICTS_SQL}, {PENALTIES_SQL}, m AS (SELECT author AS entity, max(is_building) AS is_building, max(thesis_fit) AS thesis_fit, max(founder_quality) AS founder_quality, max(timing) AS timing,
         max(reachable) AS reachable, max(too_late) AS too_late, count(DISTINCT channel) AS sources, count(*) AS evidence,
-        min(CASE channel WHEN 'whatsapp' THEN {PENALTIES['whatsapp']!r} WHEN 'inbound' THEN {PENALTIES['inbound']!r} WHEN 'linkedin' THEN {PENALTIES['linkedin']!r} WHEN 'reddit' THEN {PENALTIES['reddit']!r}
-            WHEN 'substack' THEN {PENALTIES['substack']!r} WHEN 'github' THEN {PENALTIES['github']!r} WHEN 'hackernews' THEN {PENALTIES['hackernews']!r} ELSE {PENALTIES['']!r} END) AS penalty FROM c JOIN v USING (doc_id) GROUP BY author)
+        min(penalty) AS penalty FROM c JOIN v USING (doc_id) JOIN pe USING (channel) GROUP BY author)
     SELECT entity, sources, evidence, round(greatest(0.0, {COMBINE_SQL} * CASE WHEN sources = 2 THEN 1.12 WHEN sources = 3 THEN 1.2 WHEN sources > 3 THEN 1.25 ELSE 1.0 END::DOUBLE - penalty), 9) AS score FROM m
 """)
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +186,12 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.histogram(best_theses(spark, sf_dir), "similarity")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {SIMILARITY_SQL}, b AS (SELECT CAST(least(floor(greatest(0.0, least(1.0, similarity)) * 40), 39) AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY 1),
+    h AS (SELECT list({{'x': (bin + 0.5) / 40.0::DOUBLE, 'p': n / (SELECT sum(n) FROM b)::DOUBLE}}) AS h FROM b),
+    v(k, w) AS (SELECT 0, list_transform(range(15), lambda i: 0.0::DOUBLE) UNION ALL SELECT k + 1, [0.0::DOUBLE] || list_transform(range(1, 15), lambda m: list_sum(list_transform(h, lambda q: q.p * greatest(q.x + w[m], w[m + 1])))) FROM v, h WHERE k < 176)
+    SELECT CAST(k + 1 AS INTEGER) AS arrivals, 14 AS slots, round(greatest(0.0, w[15] - w[14]), 4) AS bar FROM v WHERE k + 1 IN (176, 147, 117, 88, 59, 29)
+""")
 def deployment_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acceptance bars for 176 arrivals and 14 slots over the scores' histogram."""
     counts = {r["bin"]: r["n"] for r in score_histogram(spark, sf_dir).collect()}
@@ -208,7 +221,7 @@ def calibration_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.crossJoin(top).select("n", F.round("rate", 9).alias("rate"), F.array_join(notes, "; ").alias("caveats"))
 
 
-@query()
+@query(f"WITH {PENALTIES_SQL} SELECT channel, round(penalty, 6) AS penalty, round(penalty_alike, 6) AS penalty_alike FROM pe")
 def curse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each channel's audience makes a score worth less."""
     plain, alike = S.curse_by_channel(), S.curse_by_channel(correlated=True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltwork.functions.scores import cosine, recency
+from siltwork.functions.scores import recency
+from siltwork.operators.stages import cosines
 from siltwork.operators.tables import fill_missing, first_by, nearest_rank, new_rows, purge, top_share, upsert_last
 from siltwork.plans.frames import CANDIDATES_SQL, DAY, NOW_SECONDS, SIMILARITY_SQL, candidates, table, thesis_vectors
 from siltwork.plans.registry import query
@@ -14,8 +15,9 @@ from siltwork.plans.registry import query
 def best_theses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, similarity, thesis: the best phrasing of each vector, the lowest one on ties."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    scored = vectors.crossJoin(F.broadcast(thesis_vectors(spark, sf_dir))).withColumn("cosine", F.round(cosine(F.col("embedding"), F.col("vector")), 6))
-    return scored.groupBy("doc_id").agg(F.max("cosine").alias("similarity"), F.expr("max_by(thesis, struct(cosine, -phrasing))").alias("thesis"))
+    phrasings = thesis_vectors(spark, sf_dir).select(F.col("phrasing").alias("query"), "vector")
+    scored = cosines(vectors, "doc_id", "embedding", phrasings).select("doc_id", "query", F.round("cosine", 6).alias("cosine"))
+    return scored.groupBy("doc_id").agg(F.max("cosine").alias("similarity"), F.expr("max_by(query, struct(cosine, -query)) div 2").alias("thesis"))
 
 
 @query("""

@@ -73,7 +73,16 @@ def redact_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+SENTENCES_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')"
+LEAD_SQL = "(regexp_matches(x, 'https?://\\S+') OR contains(lower(x), 'trash') OR contains(lower(x), 'clown') OR contains(lower(x), 'worthless') OR contains(lower(x), 'loser') OR contains(lower(x), '!!') OR contains(lower(x), '***'))"
+SCRUB_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[A-Za-z0-9_]([A-Za-z0-9_.+-]*)@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]*[A-Za-z0-9_]', '[email]', 'g'), '[+(]?\d[\d\s().-]{{6,}}\d', '[phone]', 'g'), '[@~][A-Za-z0-9_][A-Za-z0-9_.-]*', '[handle]', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+', ''), '\s+$', '')"
+
+
+@query(f"""
+    WITH p AS (SELECT conv_id, turn, {SENTENCES_SQL} AS parts FROM conversations), l AS (SELECT *, list_filter(parts, lambda x: {LEAD_SQL}) AS leads FROM p),
+    s AS (SELECT conv_id, turn, array_to_string(CASE WHEN len(leads) > 0 THEN leads ELSE parts[1:1] END, ' ') AS t FROM l)
+    SELECT conv_id, turn, substr(regexp_replace({SCRUB_SQL.format('t')}, '(?i)\\b(Mozilla|thorn)\\b', '[name]', 'g'), 1, 400) AS fragment FROM s
+""")
 def redact_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each turn only the sentences that carry a lead, scrubbed and cut."""
     turns = table(spark, sf_dir, "conversations")
@@ -219,7 +228,10 @@ def tfidf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic_scores(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
 
 
-@query()
+@query("""
+    SELECT event_id, printf('%08x', list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(props, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT) AS hash,
+        nullif(regexp_extract(props, '(?s)\\{.*\\}'), '') AS object FROM events
+""")
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32-bit hashes and the widest braces of events' properties."""
     return table(spark, sf_dir, "events").select("event_id", T.fnv32(F.col("props")).alias("hash"), T.json_object(F.concat(F.lit("so: "), "props", F.lit(" done"))).alias("object"))
