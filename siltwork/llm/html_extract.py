@@ -11,7 +11,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,8 +31,16 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\
 _NAME = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Read to the end tag, never shown: scripts and styles to the page's end if there is none, the others then as elements.
+RAW = frozenset("script style noscript template iframe textarea title select datalist".split())
+ENDLESS = frozenset({"script", "style"})
+#: Elements that begin and end a block of text; all others, unknown ones too, stand within a line.
+BLOCK = frozenset(
+    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead title tr ul xmp".split()
+)
+#: Drawings and formulas close their elements by a slash.
+FOREIGN = frozenset({"svg", "math"})
 #: An opening tag ends the nearest open element of its group, unless a stop stands between.
 ENDS = {
     **{t: (frozenset({"p"}), frozenset({"button"})) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -57,14 +65,35 @@ class Tree:
     texts: list[tuple[int, str, bool]]  # (element, text, whether a block begins before it)
 
 
+class Open:
+    """The open elements, and at which depth each tag stands, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, str]] = [(0, "#root")]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, element: int, tag: str) -> None:
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((element, tag))
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of some tags, or 0."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop()[1]].pop()
+
+
 def parse(page: str) -> Tree:
     tree = Tree(["#root"], [()], [None], [-1], [])
-    stack, at, fresh = [0], 0, True
+    open_, at, fresh = Open(), 0, True
+    unclosed: set[str] = set()
     while True:
         found = _TOKEN.search(page, at)
         end = found.start() if found else len(page)
         if end > at:
-            tree.texts.append((stack[-1], html.unescape(page[at:end]), fresh))
+            tree.texts.append((open_.stack[-1][0], html.unescape(page[at:end]), fresh))
             fresh = False
         if not found:
             return tree
@@ -72,22 +101,17 @@ def parse(page: str) -> Tree:
         tag = (found[2] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
             fresh = True
         if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tags[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
+            if depth := open_.deepest((tag,)):
+                open_.close(depth)
             continue
         if tag in ENDS:
             group, stops = ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tags[stack[depth]] in group:
-                    del stack[depth:]
-                    break
-                if tree.tags[stack[depth]] in stops:
-                    break
+            depth = open_.deepest(group)
+            if depth > open_.deepest(stops):
+                open_.close(depth)
         names, mark = (), None
         if "=" in found[3]:
             for key, *values in _ATTRIBUTE.findall(found[3]):
@@ -99,14 +123,16 @@ def parse(page: str) -> Tree:
         tree.tags.append(tag)
         tree.names.append(names)
         tree.marks.append(mark)
-        tree.parents.append(stack[-1])
-        if tag in RAW:
+        tree.parents.append(open_.stack[-1][0])
+        if tag in RAW and tag not in unclosed:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else len(page)
-        elif tag not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(len(tree.tags) - 1)
-        elif tag not in VOID:
-            stack.append(len(tree.tags) - 1)
+            if close or tag in ENDLESS:
+                at = close.end() if close else len(page)
+                continue
+            unclosed.add(tag)  # no end tag from here on, so none is looked for again
+        drawn = tag in FOREIGN or open_.deepest(FOREIGN)
+        if tag not in VOID and not (drawn and found[3].rstrip().endswith("/")):
+            open_.push(len(tree.tags) - 1, tag)
 
 
 def features(tree: Tree) -> list[list[str]]:
@@ -155,7 +181,7 @@ class Model:
     def marginals(self, tree: Tree) -> list[list[float]]:
         """Of each element the probability of each state, by sum-product over the tree."""
         n, unary = len(tree.tags), self.unary
-        pairs = [self.pairs[t in INLINE] for t in tree.tags]
+        pairs = [self.pairs[t not in BLOCK] for t in tree.tags]
         local = []
         for names in features(tree):
             a = b = c = 0.0
@@ -226,7 +252,7 @@ def fit(labelled: DataFrame, page: str = "html") -> Model:
                     seen.update((f, state[i]) for f in names)
                     seen["state", state[i]] += 1
                     if i:
-                        seen[f"pair {tree.tags[i] in INLINE} {state[tree.parents[i]]}", state[i]] += 1
+                        seen[f"pair {tree.tags[i] not in BLOCK} {state[tree.parents[i]]}", state[i]] += 1
         yield pa.RecordBatch.from_pydict({"feature": [f for f, _ in seen], "state": [s for _, s in seen], "n": list(seen.values())}, schema=pa.schema([("feature", pa.string()), ("state", pa.int32()), ("n", pa.int64())]))
 
     counts = labelled.select(F.col(f"`{page}`").alias("page")).mapInArrow(count, "feature string, state int, n long")

@@ -24,7 +24,7 @@ def test_marginals_match_enumeration(model):
         for i, s in enumerate(states):
             w *= math.exp(sum(model.unary[f][s] for f in feats[i] if f in model.unary))
             if i:
-                w *= model.pairs[tree.tags[i] in X.INLINE][states[tree.parents[i]]][s]
+                w *= model.pairs[tree.tags[i] not in X.BLOCK][states[tree.parents[i]]][s]
         total += w
         for i, s in enumerate(states):
             ones[i][s] += w
@@ -60,3 +60,25 @@ def test_pages(spark, model):
     assert texts[2] == texts[3] == ""
     assert texts[6] == ("word " * 50_000).strip()
     assert X.extract(spark.createDataFrame([], "page_id long, html string"), model).collect() == []
+
+
+def test_blocks_lines_and_broken_markup():
+    """What breaks a word and what does not, unclosed and self-closed elements, and deep pages."""
+
+    def blocks(page):
+        out = []
+        for _, text, fresh in X.parse(page).texts:
+            if fresh or not out:
+                out.append(text)
+            else:
+                out[-1] += text
+        return [b for b in (" ".join(b.split()) for b in out) if b]
+
+    assert blocks("foo<img>bar Hel<svg></svg>lo a<my-tag>b</my-tag>c x<script>1</script>y") == ["foobar Hello abc xy"]
+    assert blocks("<p>a<p>b<br>c<td>d") == ["a", "b", "c", "d"]
+    assert blocks("<p>1 <math><mi>x</mi><mspace/></math> 2</p>tail") == ["1 x 2", "tail"]
+    assert blocks("a<svg viewBox=x /> b<noscript>c <p>d") == ["a bc", "d"]
+    assert blocks("a<object>b</object><canvas>c") == ["abc"]
+    deep = X.parse("<div>" * 50_000 + "</b>" * 50_000 + "end")
+    assert len(deep.tags) == 50_001 and deep.texts[-1][1] == "end"
+    assert X.parse("<select>" * 20_000 + "x").texts[-1][1] == "x"

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from siltwork.llm.packing import byte_vocabulary, pack
+from siltwork.llm.packing import ByteEncoder, byte_vocabulary, pack
 
 TEXTS = ["Hello world", None, "", " two  spaces   and\n\n lines \t x", "a <|endoftext|>b<|endoftext|>", "don't 12345 ééé 😀 \x1c x  y", "long text " * 2000, "long text " * 2000, "x" * 4000, "   ", "\n a"]
 
@@ -42,3 +42,15 @@ def test_repeated_ids_and_empty_table(spark):
     pieces = pack(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), ["doc_id"], *byte_vocabulary()).collect()
     assert sorted((str(p["doc_id"]), p["length"]) for p in pieces) == [("1", 2), ("1", 2), ("None", 2)]
     assert pack(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], *byte_vocabulary()).collect() == []
+
+
+def test_ids_of_all_documents_and_clashing_columns(spark):
+    """Ids of the whole small table, and kept columns named like the pieces' own."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = ByteEncoder(*byte_vocabulary())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, "a b", "x", 5, 6)], "start long, text string, ids string, offset long, partition long")
+    got = pack(docs, ["start", "ids", "offset", "partition"], *byte_vocabulary()).collect()
+    assert [(r["kept_start"], r["ids"], r["kept_offset"], r["partition"], r["start"], r["length"], r["offset"]) for r in got] == [(1, "x", 5, 6, 0, 3, 0)]
