@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import PACKED, Packer, buckets_for, by_bucket, hash_words, long, mix, prefix, runs_hash, short, sorted_runs, text_chunks, unpack, windows
+from siltwork.llm.postings import PACKED, Packer, bucket_of, buckets_for, by_bucket, hash_words, long, mix, prefix, runs_hash, short, sorted_runs, text_chunks, unpack, windows
 from siltwork.llm.shared import Steps, connected_components
 
 SHINGLE = 5
@@ -59,8 +59,12 @@ def shingle_sets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
         yield keys, name
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of each set its shingles in this bucket that other sets hold too, with the magnitudes of their counts."""
+REPLIES = "part int, bucket int, sets binary, sizes binary, runs binary, codes binary, counts binary"
+
+
+def _repeated(table: pa.Table, buckets: np.ndarray) -> pa.Table:
+    """Of each set its shingles in this bucket that other sets hold too, with the magnitudes of
+    their counts. Sets of one part, as many parts as buckets, share a row."""
     bucket = table.column("bucket")[0].as_py()
     sets, sizes, keys, run = unpack(table)
     order, begins = sorted_runs(keys)
@@ -78,39 +82,46 @@ def _repeated(table: pa.Table) -> pa.Table:
         key, owner, size, count = key[often], owner[often], size[often], count[often]
     else:
         count = np.zeros(0, np.int64)
-    order = np.argsort(owner, kind="stable")
-    key, owner, size, count = key[order], owner[order], size[order], np.frexp(count[order])[1].astype(np.uint8)
-    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    ends = np.r_[begins[1:], len(owner)] if len(begins) else begins
-    return pa.table(
-        {
-            "set": pa.array(owner[begins], pa.int64()),
-            "n": pa.array(size[begins], pa.int32()),
-            "bucket": pa.array([bucket] * len(begins), pa.int32()),
-            "codes": pa.array([short(key[a:b]) for a, b in zip(begins, ends)], pa.binary()),
-            "counts": pa.array([count[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
-        }
-    )
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = bucket_of(mix(owner.astype(np.uint64)), len(buckets))
+    order = np.lexsort((owner, part))
+    key, owner, size, part, count = key[order], owner[order], size[order], part[order], np.frexp(count[order])[1].astype(np.uint8)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        begins = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
+        who = owner[a:b][begins]
+        rows.append((int(buckets[part[a]]), bucket, who.tobytes(), size[a:b][begins].astype("<i4").tobytes(), np.diff(np.r_[begins, b - a]).astype("<i4").tobytes(), short(key[a:b]), count[a:b].tobytes()))
+    columns = list(zip(*rows)) or [()] * 7
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["part", "bucket", "sets", "sizes", "runs", "codes", "counts"])
+
+
+def _prefixes(table: pa.Table) -> pa.Table:
     """Sets whose prefix holds a shared shingle: group, prefix, and all shared shingles sorted."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for name, n, parts in zip(*[batch.column(c).to_pylist() for c in ("set", "n", "parts")]):
-            code = np.concatenate([long(p["codes"]) ^ (np.uint64(p["bucket"]) << np.uint64(48)) for p in parts])
-            count = np.frombuffer(b"".join(p["counts"] for p in parts), np.uint8)
-            first = int(prefix_length(n)) - (n - len(code))
-            if first <= 0:
-                continue
-            order = np.lexsort((code, count))[:first]
-            group = name
-            if n == len(code):
-                group = int((mix(code[order]).sum(dtype=np.uint64) + np.uint64(n)).astype(np.int64))
-            rows.append((name, n, group, code[order].astype(np.int64), np.sort(code).tobytes()))
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["set", "n", "grp", "prefix", "codes"])
+    names, sizes, codes, counts = [], [], [], []
+    for r in table.to_pylist():
+        runs = np.frombuffer(r["runs"], "<i4")
+        names.append(np.repeat(np.frombuffer(r["sets"], np.int64), runs))
+        sizes.append(np.repeat(np.frombuffer(r["sizes"], "<i4"), runs))
+        codes.append(long(r["codes"]) ^ (np.uint64(r["bucket"]) << np.uint64(48)))
+        counts.append(np.frombuffer(r["counts"], np.uint8))
+    name, size, code, count = (np.concatenate(v) for v in (names, sizes, codes, counts))
+    rarest, by_code = np.lexsort((code, count, name)), np.lexsort((code, name))
+    name = name[by_code]
+    begins = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    rows: list[tuple] = []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(name)]):
+        n = int(size[by_code[a]])
+        first = int(prefix_length(n)) - (n - (b - a))
+        if first <= 0:
+            continue
+        leading, group = code[rarest[a : min(b, a + first)]], int(name[a])
+        if n == b - a:
+            group = int((mix(leading).sum(dtype=np.uint64) + np.uint64(n)).astype(np.int64))
+        rows.append((int(name[a]), n, group, leading.astype(np.int64), code[by_code[a:b]].tobytes()))
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["set", "n", "grp", "prefix", "codes"])
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -288,9 +299,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
                     seen.clear()
         yield from packer.flush()
 
-    replies = by_bucket(given.mapInArrow(post, PACKED), len(buckets)).applyInArrow(_repeated, "set long, n int, bucket int, codes binary, counts binary")
-    whole = replies.groupBy("set").agg(F.min("n").alias("n"), F.collect_list(F.struct("bucket", "codes", "counts")).alias("parts"))
-    shared = steps.keep(whole.mapInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary"), "shared")
+    n = len(buckets)
+    replies = by_bucket(given.mapInArrow(post, PACKED), n).applyInArrow(lambda t: _repeated(t, buckets), REPLIES)
+    whole = replies.repartition(n, "part").groupBy("part").applyInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary")
+    shared = steps.keep(whole, "shared")
     components = connected_components(_links(shared, steps))
     steps.drop("shared", "dealt")
 

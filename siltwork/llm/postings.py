@@ -19,7 +19,7 @@ LOW = np.uint64((1 << 48) - 1)
 CHUNK_BYTES = 2_000_000
 FLUSH_KEYS = 2_000_000
 LEAST_BUCKETS = 24
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 16_000_000
 PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"
 
 _RANDOM = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,7 +107,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         yield first, texts
 
 
-def buckets_for(texts: DataFrame, text: str = "text") -> np.ndarray:
+def buckets_for(texts: DataFrame, text: str = "text", each: int = BUCKET_BYTES) -> np.ndarray:
     """The numbers of the buckets, as many as the bytes of all texts ask for.
 
     A bucket is one task's group, so their count grows with the input and each stays of one
@@ -115,7 +115,7 @@ def buckets_for(texts: DataFrame, text: str = "text") -> np.ndarray:
     """
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    n = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    n = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
     number = F.col("id").cast("int")
     found = spark.range(40 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("part")).agg(F.min(number).alias("number")).collect()
     return np.array(sorted(r["number"] for r in found), np.int32)
@@ -206,15 +206,30 @@ def sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([np.flatnonzero(np.diff(ordered, prepend=ordered[:1] ^ np.uint64(1))), [len(keys)]])
 
 
-def replies(docs: np.ndarray, keys: np.ndarray) -> pa.Table:
-    """One row per document: its keys, packed."""
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    begins = np.flatnonzero(np.diff(docs, prepend=docs[:1] - 1)) if len(docs) else np.zeros(0, np.int64)
-    parts = np.split(keys, begins[1:]) if len(begins) else []
-    return pa.table({"doc": pa.array(docs[begins], pa.int64()), "keys": pa.array([p.tobytes() for p in parts], pa.binary())})
+def to_parts(buckets: np.ndarray, owner: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Values on their way back to their owners: one row per part of the owners, as many parts as buckets."""
+    part = bucket_of(mix(owner.astype(np.uint64)), len(buckets))
+    order = np.argsort(part, kind="stable")
+    part, given = part[order], {"owner": owner[order], **{name: values[order] for name, values in columns.items()}}
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    packed = {name: pa.array([values[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for name, values in given.items()}
+    return pa.table({"part": pa.array(buckets[part[cut[:-1]]], pa.int32()), **packed})
 
 
-def joined(parts: list[bytes] | None, kind: type) -> np.ndarray:
-    """All keys of a document's replies."""
-    return np.frombuffer(b"".join(parts or []), kind)
+def from_parts(table: pa.Table, **kinds) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Owners of a part, where each one's values begin (with the end), and all values in this order."""
+    read = {name: np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(name)]) for name, kind in {"owner": np.int64, **kinds}.items()}
+    owner = read.pop("owner")
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return owner[begins], np.r_[begins, len(owner)], {name: values[order] for name, values in read.items()}
+
+
+def by_part(replies: DataFrame, buckets: int):
+    """Groups of the parts, one to a task."""
+    return replies.repartition(buckets, "part").groupBy("part")
+
+
+def packed_column(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])], pa.binary())
