@@ -50,6 +50,38 @@ def weight_grid(step: float = 0.05) -> list[tuple[float, float, float]]:
     return [(round(a * step, 2), round(b * step, 2), round((n - a - b) * step, 2)) for a in range(n + 1) for b in range(n + 1 - a)]
 
 
+def best_weights(table: DataFrame, judged: int, least: int = 40) -> DataFrame:
+    """The triple of the best average precision, the first one on ties; none below so many judged rows."""
+    best = table.groupBy().agg(F.min_by(F.struct("ws", "wt", "average_precision"), F.struct((-F.round("average_precision", 9)).alias("a"), "ws", "wt")).alias("b"))
+    return best.where(F.lit(judged >= least)).select("b.ws", "b.wt", F.round(1 - F.col("b.ws") - F.col("b.wt"), 2).alias("wr"), "b.average_precision")
+
+
+def fit_caveats(labels: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
+    """positive_rate, gap, caveats of a fit: what to mind before it is believed.
+
+    ``labels`` has similarity and good, ``corpus`` the similarities of all candidates. The gap is
+    the share of the corpus's range below the lowest labelled row.
+    """
+    rates = labels.agg(F.avg(F.col("good").cast("double")).alias("positive_rate"), F.min("similarity").alias("low"))
+    span = corpus.agg(F.min("similarity").alias("lo"), F.max("similarity").alias("hi"))
+    both = rates.crossJoin(F.broadcast(span)).withColumn("gap", F.coalesce(F.try_divide(F.col("low") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)))
+    notes = F.array_compact(F.array(
+        F.when(F.col("positive_rate") > 0.8, "labels come from the top of the ranking"),
+        F.when(F.col("positive_rate") < 0.05, "very few positives"),
+        F.when(F.col("gap") > 0.25, "the low end was never labelled"),
+        F.when(F.lit(threshold) <= 0.10, "the threshold keeps almost everything"),
+    ))
+    return both.select("positive_rate", "gap", notes.alias("caveats"))
+
+
+def choose_size(curve: DataFrame, most_check: float = 0.05) -> DataFrame:
+    """The portfolio size (n) of the best odds among those that keep every cheque small enough, the
+    smallest on ties, and whether that floor or the odds decide."""
+    floor = max(1, math.ceil(1 / most_check))
+    able = curve.where(F.col("n") >= floor).agg(F.min_by(F.struct("n", "prob", "expected"), F.struct((-F.col("prob")).alias("p"), "n")).alias("b"))
+    return able.select("b.*", F.lit(floor).alias("n_floor"), F.when(F.col("b.n") == floor, "capacity").otherwise("objective").alias("binding"))
+
+
 def histogram(rows: DataFrame, score: str, bins: int = 40) -> DataFrame:
     """bin, n of scores held in 0 to 1; the top edge belongs to the last bin."""
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))

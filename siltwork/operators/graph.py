@@ -78,3 +78,22 @@ def expand(edges: DataFrame, seeds: DataFrame, most_depth: int = MAX_DEPTH) -> D
         layer = first_by(found.join(known, "node", "left_anti"), ["node"], "parent")
         known = known.unionByName(layer)
     return known
+
+
+def expand_round(nodes: DataFrame, visits: DataFrame, edges: DataFrame, most_visits: int = MAX_VISITS, most_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """One round of a run with a budget: the nodes visited, and the new nodes that they lead to.
+
+    Per source the first ``most_visits`` pending nodes are visited. ``visits`` says what each
+    would yield (source, node, seen, hits), ``edges`` where it leads (source, node, neighbour).
+    Only nodes that the gate lets expand, by their counters before the visit, and that are not
+    at the deepest level lead on.
+    """
+    w = Window.partitionBy("source").orderBy(F.col("last_visited").isNotNull(), "depth", "last_visited", "node")
+    able = nodes.where((F.col("active") == 1) & (F.col("exhausted") == 0) & (F.col("depth") <= most_depth))
+    turn = able.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most_visits).drop("place")
+    done = turn.join(visits.select("source", "node", F.col("seen").alias("new_seen"), F.col("hits").alias("new_hits")), ["source", "node"], "left").na.fill(0, ["new_seen", "new_hits"])
+    open_ = done.where(worth_expanding(F.col("kind"), F.col("seen"), F.col("hits")) & (F.col("depth") < most_depth))
+    led = open_.select("source", F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth")).join(edges.select("source", F.col("node").alias("parent"), F.col("neighbour").alias("node")), ["source", "parent"])
+    fresh = led.join(nodes.select("source", "node"), ["source", "node"], "left_anti")
+    found = fresh.groupBy("source", "node").agg(F.min("depth").alias("depth"), F.min_by("parent", F.struct("depth", "parent")).alias("parent"))
+    return done, found

@@ -119,3 +119,24 @@ def frontier_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that agree with the first of a shared band; signatures are beyond SQL."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+ROUND_SQL = f"""{NODES_SQL}, tv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_visited IS NOT NULL, depth, last_visited NULLS FIRST, node) AS place FROM n WHERE active = 1 AND exhausted = 0 AND depth <= 3) WHERE place <= 20),
+    vi AS (SELECT tv.*, coalesce(e.s, 0) AS new_seen, coalesce(e.h, 0) AS new_hits FROM tv LEFT JOIN (SELECT event_type AS source, user_id AS node, count(*) AS s, count(*) FILTER (WHERE value > 180) AS h FROM events WHERE day(ts) > 25 GROUP BY 1, 2) e USING (source, node)),
+    fd AS (SELECT vi.source, vi.depth + 1 AS depth, e.user_id + e.event_id % 40 AS node FROM vi JOIN events e ON e.event_type = vi.source AND e.user_id = vi.node WHERE vi.depth < 3 AND (vi.kind = 'seed' OR vi.seen < 20 OR vi.hits / vi.seen::DOUBLE >= 0.02)),
+    nw AS (SELECT DISTINCT source, node FROM fd WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.source = fd.source AND n.node = fd.node))"""
+
+
+@query(f"""
+    WITH {ROUND_SQL} SELECT vi.source, count(*) AS visited, CAST(sum(new_seen) AS BIGINT) AS candidates, CAST(sum(new_hits) AS BIGINT) AS hits, max(coalesce(d.n, 0)) AS discovered FROM vi LEFT JOIN (SELECT source, count(*) AS n FROM nw GROUP BY source) d USING (source) GROUP BY vi.source
+""")
+def frontier_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one round of visits within a budget yields per source."""
+    e = table(spark, sf_dir, "events")
+    source, node = F.col("event_type").alias("source"), F.col("user_id").alias("node")
+    visits = e.where("day(ts) > 25").groupBy(source, node).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("value") > 180).alias("hits"))
+    edges = e.select(source, node, (F.col("user_id") + F.col("event_id") % 40).alias("neighbour"))
+    done, found = G.expand_round(nodes(spark, sf_dir), visits, edges, most_visits=20)
+    new = found.groupBy("source").agg(F.count(F.lit(1)).alias("discovered"))
+    stats = done.groupBy("source").agg(F.count(F.lit(1)).alias("visited"), F.sum("new_seen").alias("candidates"), F.sum("new_hits").alias("hits"))
+    return stats.join(new, "source", "left").na.fill(0, ["discovered"])

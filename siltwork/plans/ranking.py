@@ -181,6 +181,30 @@ def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ws", "wt", F.round("average_precision", 9).alias("average_precision"))
 
 
+@query(f"""
+    WITH {JUDGED_SQL}, g AS (SELECT round(a * 0.05::DOUBLE, 2) AS ws, round(b * 0.05::DOUBLE, 2) AS wt, round((20 - a - b) * 0.05::DOUBLE, 2) AS wr FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20),
+    x AS (SELECT ws, wt, wr, doc_id, good, round(ws * similarity + wt * ((doc_id * 11 % 101) / 100.0) + wr * pow(0.5, (doc_id * 37 % 720) / 90.0), 9) AS score FROM j, g),
+    p AS (SELECT ws, wt, wr, good, row_number() OVER (PARTITION BY ws, wt ORDER BY score DESC, doc_id) AS place FROM x),
+    h AS (SELECT ws, wt, wr, place, row_number() OVER (PARTITION BY ws, wt ORDER BY place) AS hit FROM p WHERE good = 1),
+    m AS (SELECT ws, wt, wr, round(sum(hit / place::DOUBLE) / count(*), 9) AS average_precision FROM h GROUP BY ws, wt, wr)
+    SELECT ws, wt, wr, average_precision FROM m WHERE (SELECT count(*) FROM j) >= 40 ORDER BY average_precision DESC, ws, wt LIMIT 1
+""")
+def weight_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of the best average precision, if enough rows were judged."""
+    return K.best_weights(weight_grid(spark, sf_dir), judged(spark, sf_dir).count())
+
+
+@query(f"""
+    WITH {JUDGED_SQL} SELECT round(avg(good), 9) AS positive_rate, round((min(j.similarity) - (SELECT min(similarity) FROM s)) / ((SELECT max(similarity) FROM s) - (SELECT min(similarity) FROM s)), 9) AS gap,
+        concat_ws('; ', CASE WHEN avg(good) > 0.8 THEN 'labels come from the top of the ranking' END, CASE WHEN avg(good) < 0.05 THEN 'very few positives' END,
+        CASE WHEN (min(j.similarity) - (SELECT min(similarity) FROM s)) / ((SELECT max(similarity) FROM s) - (SELECT min(similarity) FROM s)) > 0.25 THEN 'the low end was never labelled' END, 'the threshold keeps almost everything') AS caveats FROM j
+""")
+def fit_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to mind about a fit whose threshold is 0.05."""
+    found = K.fit_caveats(judged(spark, sf_dir), best_theses(spark, sf_dir), 0.05)
+    return found.select(F.round("positive_rate", 9).alias("positive_rate"), F.round("gap", 9).alias("gap"), F.array_join("caveats", "; ").alias("caveats"))
+
+
 @query(f"WITH {SIMILARITY_SQL} SELECT CAST(least(floor(greatest(0.0, least(1.0, similarity)) * 40), 39) AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY 1")
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.histogram(best_theses(spark, sf_dir), "similarity")
@@ -246,6 +270,16 @@ def portfolio_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.portfolio_curve(spark, 200).select("n", F.round("prob", 9).alias("prob"), F.round("expected", 9).alias("expected"))
 
 
+@query("""
+    WITH r AS (SELECT i AS place, least(1.0, 0.1 * pow(i, -0.35)) AS p FROM range(1, 201) t(i)), s AS (SELECT i AS n FROM range(1, 61) t(i)),
+    q AS (SELECT n, p * pow(n::DOUBLE, -1.8) AS q FROM s JOIN r ON place <= n), t AS (SELECT n, 1 - exp(sum(ln(1 - q))) AS prob, sum(q) AS expected FROM q WHERE n >= 20 GROUP BY n)
+    SELECT n, round(prob, 9) AS prob, round(expected, 9) AS expected, 20 AS n_floor, CASE WHEN n = 20 THEN 'capacity' ELSE 'objective' END AS binding FROM t ORDER BY t.prob DESC, n LIMIT 1
+""")
+def portfolio_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size with the best odds that keeps every cheque below a twentieth."""
+    return K.choose_size(K.portfolio_curve(spark, 200)).select("n", F.round("prob", 9).alias("prob"), F.round("expected", 9).alias("expected"), "n_floor", "binding")
+
+
 @query(f"""
     WITH {SIMILARITY_SQL}, p AS (SELECT doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, doc_id) AS place FROM s)
     SELECT place, doc_id, similarity FROM p WHERE place <= 50

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as T
-from siltwork.operators.filters import RULES, reject
+from siltwork.operators.filters import RULES, reject, rejection
 from siltwork.plans.frames import CANDIDATES_SQL, DAY, NOW_SECONDS, candidates, table
 from siltwork.plans.registry import query
 
@@ -31,6 +31,18 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@query(f"""
+    WITH {CANDIDATES_SQL}, r AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t, text || [' now hiring, apply now', ' Use this COUPON', ' nothing', ' my startup'][doc_id % 4 + 1] AS x, (1789171200 - posted_s) // 86400 AS days FROM c)
+    SELECT doc_id, CASE WHEN length(regexp_replace(x, '^\\s+', '')) < 40 THEN 'too_short' WHEN doc_id % 4 = 1 THEN 'promo' WHEN doc_id % 4 = 0 THEN 'job_ad' WHEN days > 540 THEN 'too_old' END AS filter,
+        CASE WHEN length(regexp_replace(x, '^\\s+', '')) < 40 THEN length(regexp_replace(x, '^\\s+', '')) || ' chars, under 40' WHEN doc_id % 4 = 1 THEN 'promotional: COUPON' WHEN doc_id % 4 = 0 THEN 'reads as a vacancy: now hiring' WHEN days > 540 THEN days || ' days old, over 540' END AS reason FROM r
+""")
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that rejects each candidate and what it found, by the shipped English rules."""
+    tails = F.array(*map(F.lit, (" now hiring, apply now", " Use this COUPON", " nothing", " my startup")))
+    c = candidates(spark, sf_dir).withColumn("x", F.concat("text", F.element_at(tails, (F.col("doc_id") % 4 + 1).cast("int"))))
+    return c.select("doc_id", rejection(F.col("x"), F.col("posted_s"), NOW_SECONDS).alias("r")).select("doc_id", "r.filter", "r.reason")
+
+
 @query(f"""
     WITH {CANDIDATES_SQL} SELECT doc_id, age_days, round(CASE WHEN age_days < 0 THEN 1.0 ELSE pow(0.5, age_days / 90.0) END, 9) AS recency, age_days > 540 AS too_old,
            round(greatest(0.25, least(1.0, exp(-age_days / 180.0))), 9) AS decay, CASE WHEN age_days < 30 THEN 1.0 WHEN age_days < 180 THEN 0.85 WHEN age_days < 365 THEN 0.6 ELSE 0.3 END::DOUBLE AS commits
