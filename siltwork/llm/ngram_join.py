@@ -278,14 +278,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     steps = Steps(docs.sparkSession)
     given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    buckets = buckets_for(given)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_chunks(batch):
                 found = [(len(keys), name) for keys, name in shingle_sets(texts)]
                 sizes, names = [n for n, _ in found], [name if n else None for n, name in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], names=["doc", "n_shingles", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array([len(t) for t in texts], pa.int64())], names=["doc", "n_shingles", "set", "n_bytes"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(buckets), set()
@@ -299,14 +298,14 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
                     seen.clear()
         yield from packer.flush()
 
+    members = steps.keep(given.mapInArrow(measure, "doc long, n_shingles long, set long, n_bytes long"), "members")
+    buckets = buckets_for(members)
     n = len(buckets)
     replies = by_bucket(given.mapInArrow(post, PACKED), n).applyInArrow(lambda t: _repeated(t, buckets), REPLIES)
     whole = replies.repartition(n, "part").groupBy("part").applyInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary")
     shared = steps.keep(whole, "shared")
     components = connected_components(_links(shared, steps))
     steps.drop("shared", "dealt")
-
-    members = steps.keep(given.mapInArrow(measure, "doc long, n_shingles long, set long"), "members")
     firsts = members.where("set IS NOT NULL").groupBy("set").agg(F.min("doc").alias("first"))
     placed = firsts.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 48) - 1)
-CHUNK_BYTES = 2_000_000
-FLUSH_KEYS = 2_000_000
+CHUNK_BYTES = 1_000_000
+FLUSH_KEYS = 1_000_000
 LEAST_BUCKETS = 24
 BUCKET_BYTES = 16_000_000
 PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"
@@ -79,6 +79,13 @@ def hash_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(start, at)
 
 
+def word_counts(texts: list[bytes]) -> np.ndarray:
+    """How many words each text has."""
+    space = _SPACE[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    return np.diff(np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts])))
+
+
 def byte_prefix(text: bytes) -> np.ndarray:
     return prefix(_RANDOM[np.frombuffer(text, np.uint8)])
 
@@ -107,15 +114,15 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         yield first, texts
 
 
-def buckets_for(texts: DataFrame, text: str = "text", each: int = BUCKET_BYTES) -> np.ndarray:
-    """The numbers of the buckets, as many as the bytes of all texts ask for.
+def buckets_for(texts: DataFrame, size: str = "n_bytes", each: int = BUCKET_BYTES) -> np.ndarray:
+    """The numbers of the buckets, as many as the bytes of all texts (a column) ask for.
 
     A bucket is one task's group, so their count grows with the input and each stays of one
     size. The numbers are such that each falls into a partition of its own.
     """
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    n = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    total = texts.agg(F.sum(size)).first()[0] or 0
+    n = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
     number = F.col("id").cast("int")
     found = spark.range(40 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("part")).agg(F.min(number).alias("number")).collect()
     return np.array(sorted(r["number"] for r in found), np.int32)

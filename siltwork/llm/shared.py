@@ -41,7 +41,7 @@ class Steps:
         before = self.spark.conf.get(self.CLEAN, None)
         self.spark.conf.set(self.CLEAN, "true")
         try:
-            rows.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+            rows.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{self.folder}/{name}")
         finally:
             if before is None:
                 self.spark.conf.unset(self.CLEAN)

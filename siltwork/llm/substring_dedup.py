@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import LOW, PACKED, Packer, bucket_of, buckets_for, by_bucket, hash_words, joined, mix, replies, sorted_runs, text_chunks, unpack, windows
+from siltwork.llm.postings import LOW, PACKED, Packer, bucket_of, buckets_for, by_bucket, by_part, from_parts, hash_words, mix, packed_column, sorted_runs, text_chunks, to_parts, unpack, windows, word_counts
 from siltwork.llm.shared import Steps, expand, squeeze
 
 WINDOW = 35
@@ -39,15 +39,19 @@ def anchors(words: int, window: int = WINDOW) -> np.ndarray:
     return places[places + width <= words]
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Keys that stand at two places or more, returned to their texts."""
-    docs, _, keys, run = unpack(table)
+def _repeats(table: pa.Table, buckets: np.ndarray) -> pa.Table:
+    """Keys that stand at two places or more, on their way back to their texts."""
+    rows, _, keys, run = unpack(table)
     order, begins = sorted_runs(keys)
     often = np.repeat(np.diff(begins) > 1, np.diff(begins))
     places = order[often]
-    owner, keys = docs[run[places]], keys[places]
-    pairs = np.unique(np.stack([owner, keys.astype(np.int64)]), axis=1) if len(keys) else np.zeros((2, 0), np.int64)
-    return replies(pairs[0], pairs[1].astype(np.uint64))
+    pairs = np.unique(np.stack([rows[run[places]], keys[places].astype(np.int64)]), axis=1) if len(places) else np.zeros((2, 0), np.int64)
+    return to_parts(buckets, pairs[0], keys=pairs[1])
+
+
+def _anchored(table: pa.Table) -> pa.Table:
+    rows, begins, values = from_parts(table, keys=np.int64)
+    return pa.table({"row": pa.array(rows), "anchors": packed_column(values["keys"], begins)})
 
 
 MATCHES = "row long, places binary, models binary, at binary"
@@ -60,7 +64,7 @@ class Matcher:
     per task and not one per text. Their matches travel through a bucket of their text's.
     """
 
-    def __init__(self, buckets: np.ndarray, most: int = 2_000_000):
+    def __init__(self, buckets: np.ndarray, most: int = 1_000_000):
         self.buckets, self.most, self.size = buckets, most, 0
         self.rows: list[int] = []
         self.places: list[np.ndarray] = []
@@ -100,8 +104,8 @@ class Matcher:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "docs", "counts", "extra", "keys", "more"])
 
 
-def _matched(table: pa.Table) -> pa.Table:
-    """Each window with the first one of its key, and the matches made before: by row."""
+def _matched(table: pa.Table, buckets: np.ndarray) -> pa.Table:
+    """Each window with the first one of its key, and the matches made before, on their way to their texts."""
     packed = table.filter(pc.greater(pc.binary_length(table.column("counts")), 0))
     found = [[np.zeros(0, np.int64)], [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]]
     for batch in table.filter(pc.equal(pc.binary_length(table.column("counts")), 0)).to_batches():
@@ -117,12 +121,12 @@ def _matched(table: pa.Table) -> pa.Table:
         for values, more in zip(found, (row[order[rest]], place[order[rest]], row[first[rest]], place[first[rest]])):
             values.append(more)
     row, place, model, at = (np.concatenate(v) for v in found)
-    order = np.lexsort((place, row))
-    row, place, model, at = row[order], place[order], model[order], at[order]
-    begins = np.flatnonzero(np.diff(row, prepend=row[:1] - 1)) if len(row) else np.zeros(0, np.int64)
-    ends = np.r_[begins[1:], len(row)] if len(begins) else begins
-    columns = [pa.array([v[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for v in (place, model, at)]
-    return pa.table([pa.array(row[begins], pa.int64()), *columns], names=["row", "places", "models", "at"])
+    return to_parts(buckets, row, places=place, models=model, at=at)
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    rows, begins, values = from_parts(table, places="<u4", models=np.int64, at="<u4")
+    return pa.table({"row": pa.array(rows), **{name: packed_column(v, begins) for name, v in values.items()}})
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -130,10 +134,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     for batch in batches:
         out: list[tuple] = []
         held = 0
-        for row, text, matches in zip(*[batch.column(c) for c in ("row", "text", "matches")]):
-            parts = matches.as_py()
-            place, at = (np.frombuffer(b"".join(p[c] for p in parts), "<u4").astype(np.int64) for c in ("places", "at"))
-            model = np.frombuffer(b"".join(p["models"] for p in parts), np.int64)
+        for row, text, *matches in zip(*[batch.column(c) for c in ("row", "text", "places", "at", "models")]):
+            place, at, model = (np.frombuffer(m.as_py(), kind).astype(np.int64) for m, kind in zip(matches, ("<u4", "<u4", np.int64)))
             order = np.argsort(place, kind="stable")
             place, model, at = place[order], model[order], at[order]
             begins = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(at) != 1) | (np.diff(model) != 0)])
@@ -203,7 +205,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         raise ValueError(f"a window needs {PERIOD + 4} words at least")
     steps, width = Steps(docs.sparkSession), window - PERIOD + 1
     given = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    buckets = buckets_for(given)
     used = np.uint64((1 << 64) - (1 << 64 - hash_bits))
 
     def keys_of(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
@@ -213,10 +214,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_chunks(batch):
-                _, at = hash_words(texts)
                 packed = pa.array([squeeze(t) for t in texts], pa.binary())
-                rows = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), pa.array(np.diff(at), pa.int64()), packed], names=["row", "doc", "n_words", "text"])
+                rows, sizes = batch.slice(start, len(texts)), pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), sizes, pa.array(word_counts(texts), pa.int64()), packed], names=["row", "doc", "n_bytes", "n_words", "text"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 for i in range(len(texts)):
                     n = int(at[i + 1] - at[i])
                     places = anchors(n, window)
-                    hit = places[np.isin(keys_of(hashes[at[i] : at[i + 1]], width)[places] & LOW, joined(parts[start + i], np.uint64))]
+                    hit = places[np.isin(keys_of(hashes[at[i] : at[i + 1]], width)[places] & LOW, np.frombuffer(parts[start + i], np.uint64))]
                     near = np.unique(np.clip(hit[:, None] - np.arange(PERIOD), 0, n - window))
                     candidates.append(near.astype("<u4").tobytes() if len(near) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("row", "text")] + [pa.array(candidates, pa.binary())], names=["row", "text", "candidates"])
@@ -276,17 +276,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     kept.append(b" ".join(w for w, k in zip(words, keep.tolist()) if k) if removed[-1] else b" ".join(words))
                 yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
 
-    kind, n = docs.schema[key].dataType.simpleString(), len(buckets)
-    texts = steps.keep(given.mapInArrow(store, f"row long, doc {kind}, n_words long, text binary"), "texts")
+    kind = docs.schema[key].dataType.simpleString()
+    texts = steps.keep(given.mapInArrow(store, f"row long, doc {kind}, n_bytes long, n_words long, text binary"), "texts")
+    buckets = buckets_for(texts)
+    n = len(buckets)
     long_enough = texts.where(F.col("n_words") >= window).select("row", "text")
-    repeated = by_bucket(long_enough.mapInArrow(first, PACKED), n).applyInArrow(_repeats, "doc long, keys binary")
-    anchored = repeated.groupBy(F.col("doc").alias("row")).agg(F.collect_list("keys").alias("anchors"))
+    repeated = by_bucket(long_enough.mapInArrow(first, PACKED), n).applyInArrow(lambda t: _repeats(t, buckets), "part int, owner binary, keys binary")
+    anchored = by_part(repeated, n).applyInArrow(_anchored, "row long, anchors binary")
     opened = long_enough.join(anchored, "row").mapInArrow(extend, "row long, text binary, candidates binary").where("candidates IS NOT NULL")
     opened = steps.keep(opened, "open0")
     verdicts, turn = None, 0
     while True:
-        matched = by_bucket(opened.mapInArrow(lambda b, seed=turn: second(b, seed), PACKED), n).applyInArrow(_matched, MATCHES)
-        listed = matched.groupBy("row").agg(F.collect_list(F.struct("places", "models", "at")).alias("matches"))
+        matched = by_bucket(opened.mapInArrow(lambda b, seed=turn: second(b, seed), PACKED), n).applyInArrow(lambda t: _matched(t, buckets), "part int, owner binary, places binary, models binary, at binary")
+        listed = by_part(matched, n).applyInArrow(_listed, MATCHES)
         claims = opened.select("row", "text").join(listed, "row").mapInArrow(lambda b: _pieces(b, window), CLAIMS)
         models = opened.select(F.col("row").alias("model"), "text")
         found = steps.keep(claims.join(models, "model").mapInArrow(lambda b: _compared(b, window), VERDICTS).distinct(), f"verdicts{turn}")

@@ -2,10 +2,10 @@
 
 A window's shard comes from its smallest inner hash (its minimizer), so equal windows of
 different documents meet. Neighbouring windows of one minimizer form a region. First only
-hashes of regions are shuffled: a region that an earlier document has word for word goes as
-a whole, and one whose minimizer is nobody else's stays. The bytes of the others, one copy
-of each content, go to their shards, and each shard's suffixes are sorted by induction
-(``suffix_sort``); suffixes with a common prefix of a window's length are equal windows.
+minimizers are shuffled: a region whose minimizer no other document has stays. The bytes of
+the others go to their shards, where equal regions are found by comparing them, and the
+suffixes of one copy of each content are sorted by induction (``suffix_sort``); suffixes with a
+common prefix of a window's length are equal windows. Hashes only decide what is compared.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import LOW, PACKED, Packer, bucket_of, buckets_for, by_bucket, byte_prefix, joined, mix, runs_hash, text_chunks, unpack
-from siltwork.llm.shared import Steps, expand, squeezed
+from siltwork.llm.postings import LOW, PACKED, Packer, bucket_of, buckets_for, by_bucket, by_part, byte_prefix, from_parts, mix, packed_column, runs_hash, text_chunks, to_parts, unpack
+from siltwork.llm.shared import Steps, expand, squeeze
 from siltwork.llm.suffix_sort import Scratch, common_prefixes, suffix_order
 
 WINDOW = 50
 INNER = 16
+SHARD_BYTES = 4_000_000
 FLUSH_BYTES = 8_000_000
-SHARDS = "bucket int, docs binary, starts binary, sizes binary, bytes binary"
-REPLY = "doc long, whole binary, part binary"
+SHARDS = "bucket int, rows binary, docs binary, starts binary, sizes binary, bytes binary"
+PLACES = "part int, owner binary, first binary, last binary"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,67 +39,133 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def regions(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each region, its minimizer and a hash of its bytes.
+def regions(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of each region, and its minimizer.
 
     A minimizer is the least of many hashes, so it is mixed again to fall evenly into buckets.
     """
     if len(text) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    sums = byte_prefix(text)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(len(text) - INNER + 1)
-    least = sliding_least(runs_hash(sums, at, at + INNER), window - INNER + 1)
+    least = sliding_least(runs_hash(byte_prefix(text), at, at + INNER), window - INNER + 1)
     first = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-    last = np.r_[first[1:], len(least)] - 1
-    return first, last, mix(least[first]), runs_hash(sums, first, last + window)
+    return first, np.r_[first[1:], len(least)] - 1, mix(least[first])
 
 
-def _status(table: pa.Table) -> pa.Table:
-    """Regions that an earlier document has as a whole, and first copies that need comparing."""
-    docs, _, keys, run, contents = unpack(table, more=True)
+def _shared(table: pa.Table, buckets: np.ndarray) -> pa.Table:
+    """Minimizers that several documents hold, on their way back to these."""
+    rows, _, keys, run = unpack(table)
     order = np.argsort(keys, kind="stable")
     begins = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-    doc = docs[run[order]]
-    low, high = np.minimum.reduceat(doc, begins), np.maximum.reduceat(doc, begins)
+    row = rows[run[order]]
+    low, high = np.minimum.reduceat(row, begins), np.maximum.reduceat(row, begins)
     several = np.repeat(low != high, np.diff(np.r_[begins, len(order)]))
-    order, doc = order[several], doc[several]
-    key, content = keys[order], contents[order]
-    order = np.lexsort((doc, content, key))
-    key, content, doc = key[order], content[order], doc[order]
-    if len(key):
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        new = new_key | np.r_[True, content[1:] != content[:-1]]
-        group = np.cumsum(new) - 1
-        later = doc > doc[new][group]
-        kinds = np.add.reduceat(new, np.flatnonzero(new_key)) > 1
-        part = ~later & kinds[np.cumsum(new_key) - 1]
-    else:
-        later = part = np.zeros(0, bool)
-    used = later | part
-    doc, content, later = doc[used], content[used], later[used]
-    order = np.argsort(doc, kind="stable")
-    doc, content, later = doc[order], content[order], later[order]
-    begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    ends = np.r_[begins[1:], len(doc)] if len(begins) else begins
-    return pa.table(
-        {
-            "doc": pa.array(doc[begins], pa.int64()),
-            "whole": pa.array([content[a:b][later[a:b]].tobytes() for a, b in zip(begins, ends)], pa.binary()),
-            "part": pa.array([content[a:b][~later[a:b]].tobytes() for a, b in zip(begins, ends)], pa.binary()),
-        }
-    )
-
-
-def sort_shard(table: pa.Table, window: int = WINDOW) -> pa.Table:
-    """Windows of a shard that start in an earlier document too: doc, places (packed first and last)."""
-    docs, starts, sizes, parts = [], [], [], []
+    return to_parts(buckets, row[several], keys=keys[order][several].astype(np.int64))
+
+
+def _asked(table: pa.Table) -> pa.Table:
+    rows, begins, values = from_parts(table, keys=np.int64)
+    return pa.table({"row": pa.array(rows), "keys": packed_column(values["keys"], begins)})
+
+
+def _placed(table: pa.Table) -> pa.Table:
+    rows, begins, values = from_parts(table, first="<u4", last="<u4")
+    return pa.table({"row": pa.array(rows), **{name: packed_column(v, begins) for name, v in values.items()}})
+
+
+class Dealer:
+    """Packs regions' bytes by shard; of those with equal bytes in a task only the earliest go on.
+
+    A later document's region equals an earlier one's, so it goes as a whole at once. A very
+    common passage thus sends one copy per task and not one per document. What is already
+    decided travels through a shard of its document's.
+    """
+
+    def __init__(self, shards: np.ndarray, window: int):
+        self.shards, self.window, self.size = shards, window, 0
+        self.held: dict[bytes, list[tuple[int, int, int, int]]] = {}
+
+    def add(self, shard: int, row: int, doc: int, start: int, piece: bytes) -> Iterator[pa.RecordBatch]:
+        copies = self.held.get(piece)
+        if copies is None:
+            self.held[piece] = [(doc, row, start, shard)]
+            self.size += len(piece)
+        else:
+            copies.append((doc, row, start, shard))
+            self.size += 24
+        if self.size >= FLUSH_BYTES:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        rows: dict[int, list] = {}
+
+        def put(shard: int, row: int, doc: int, start: int, size: int, piece: bytes) -> None:
+            for values, value in zip(rows.setdefault(shard, [[], [], [], [], []]), (row, doc, start, size, piece)):
+                values.append(value)
+
+        for piece, copies in self.held.items():
+            earliest = min(copies)[0]
+            for doc, row, start, shard in copies:
+                if doc == earliest:
+                    put(shard, row, doc, start, len(piece), piece)
+                else:
+                    own = int(self.shards[int(bucket_of(mix(np.array([row], np.uint64)), len(self.shards))[0])])
+                    put(own, row, doc, start, -len(piece), b"")
+        columns = [pa.array(list(rows), pa.int32())]
+        for k, kind in enumerate((np.int64, np.int64, "<u4", "<i4")):
+            columns.append(pa.array([np.array(r[k], kind).tobytes() for r in rows.values()], pa.binary()))
+        columns.append(pa.array([b"".join(r[4]) for r in rows.values()], pa.binary()))
+        self.held, self.size = {}, 0
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "docs", "starts", "sizes", "bytes"])
+
+
+def first_copies(table: pa.Table) -> tuple[list[tuple], list[tuple]]:
+    """Regions to be sorted (row, doc, start, bytes), and those decided: (row, start, size).
+
+    Of equal regions the earliest document's stays to be sorted; those of later documents go.
+    """
+    seen: dict[bytes, list[tuple]] = {}
+    gone: list[tuple] = []
     for batch in table.to_batches():
         for r in range(batch.num_rows):
-            docs.append(np.frombuffer(batch.column("docs")[r].as_py(), np.int64))
-            starts.append(np.frombuffer(batch.column("starts")[r].as_py(), "<u4"))
-            sizes.append(np.frombuffer(batch.column("sizes")[r].as_py(), "<u4"))
-            parts.append(np.frombuffer(batch.column("bytes")[r].as_py(), np.uint8))
-    docs, starts, sizes = np.concatenate(docs), np.concatenate(starts).astype(np.int64), np.concatenate(sizes).astype(np.int64)
+            row, doc = (np.frombuffer(batch.column(c)[r].as_py(), np.int64).tolist() for c in ("rows", "docs"))
+            start, size = (np.frombuffer(batch.column(c)[r].as_py(), kind).tolist() for c, kind in (("starts", "<u4"), ("sizes", "<i4")))
+            body, at = batch.column("bytes")[r].as_py(), 0
+            for k, n in enumerate(size):
+                if n < 0:
+                    gone.append((row[k], start[k], -n))
+                    continue
+                seen.setdefault(body[at : at + n], []).append((doc[k], row[k], start[k]))
+                at += n
+    kept = []
+    for piece, copies in seen.items():
+        earliest = min(copies)[0]
+        for doc, row, start in copies:
+            if doc == earliest:
+                kept.append((row, doc, start, piece))
+            else:
+                gone.append((row, start, len(piece)))
+    return kept, gone
+
+
+def sort_shard(table: pa.Table, window: int, buckets: np.ndarray) -> pa.Table:
+    """Windows of a shard that start in an earlier document too: per row, first and last places of runs."""
+    kept, gone = first_copies(table)
+    decided = np.array(gone, np.int64).reshape(-1, 3)
+    rows, docs, starts = (np.array([k[i] for k in kept], np.int64) for i in range(3))
+    sizes = np.array([len(k[3]) for k in kept], np.int64)
+    row, place = _repeated_places(rows, docs, starts, sizes, [k[3] for k in kept], window) if len(np.unique(docs)) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.lexsort((place, row))
+    row, place = row[order], place[order]
+    begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
+    last = place[np.r_[begins[1:], len(place)] - 1] if len(begins) else begins
+    first, owner = np.r_[place[begins], decided[:, 1]], np.r_[row[begins], decided[:, 0]]
+    last = np.r_[last, decided[:, 1] + decided[:, 2] - window]
+    return to_parts(buckets, owner, first=first.astype("<u4"), last=last.astype("<u4"))
+
+
+def _repeated_places(rows: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, parts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of the windows that a document with a smaller id has too."""
     begins = np.cumsum(sizes + 1) - sizes - 1
     total = int(sizes.sum()) + len(sizes)
     with Scratch() as scratch:
@@ -109,25 +176,17 @@ def sort_shard(table: pa.Table, window: int = WINDOW) -> pa.Table:
         owner[:] = np.repeat(np.arange(len(sizes)), sizes + 1)
         inside = np.ones(total, bool)
         inside[begins + sizes] = False
-        text[:total][inside] = np.concatenate(parts).astype(np.uint16) + 2
+        text[:total][inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint16) + 2
         order = suffix_order(text, 258, window, scratch)[1:]
         left = begins[owner[order]] + sizes[owner[order]] - order
         order = order[left >= window]
         same = common_prefixes(text, order, window)
         source = owner[order]
-        doc, place = docs[source], starts[source] + order - begins[source]
+        doc, row, place = docs[source], rows[source], starts[source] + order - begins[source]
         del text, owner
     group = np.flatnonzero(~same)
     first = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.r_[group, len(doc)])) if len(doc) else doc
-    doc, place = doc[doc > first], place[doc > first]
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
-    first, last, doc = place[begins], place[np.r_[begins[1:], len(place)] - 1] if len(begins) else begins, doc[begins]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    ends = np.r_[cut[1:], len(doc)] if len(cut) else cut
-    runs = np.stack([first, last], axis=1).astype("<u4")
-    return pa.table({"doc": pa.array(doc[cut], pa.int64()), "places": pa.array([runs[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())})
+    return row[doc > first], place[doc > first]
 
 
 def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -140,104 +199,69 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     are ignored. An empty table gives an empty result.
     """
     steps = Steps(docs.sparkSession)
-    given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    buckets = buckets_for(given)
+    given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
 
-    def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_pylist()
             for start, texts in text_chunks(batch):
-                for i, body in enumerate(texts):
-                    _, _, keys, contents = regions(body, window)
-                    _, once = np.unique(contents, return_index=True)
-                    yield from packer.add(ids[start + i], keys[once], more=contents[once])
-        yield from packer.flush()
+                rows = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), pa.array([len(t) for t in texts], pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary())], names=["row", "doc", "n_bytes", "text"])
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks what goes as a whole, and lists the regions still to be compared."""
+    def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
         for batch in batches:
-            whole, part = batch.column("whole").to_pylist(), batch.column("part").to_pylist()
+            ids = batch.column("doc").to_pylist()
             for start, texts in text_chunks(batch, read=expand):
-                gone, asked = [], []
                 for i, body in enumerate(texts):
-                    sure, open_ = joined(whole[start + i], np.uint64), joined(part[start + i], np.uint64)
-                    if not len(sure) and not len(open_):
-                        gone.append(None)
-                        asked.append(None)
-                        continue
-                    first, last, keys, contents = regions(body, window)
-                    hit, ask = np.isin(contents & LOW, sure), np.isin(contents & LOW, open_)
-                    bucket = buckets[bucket_of(keys, len(buckets))].astype(np.int64)
-                    gone.append(np.stack([first[hit], last[hit]]).astype("<u4").tobytes())
-                    asked.append(np.stack([first[ask], last[ask], bucket[ask]]).astype("<u4").tobytes() if ask.any() else None)
-                n_bytes = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), n_bytes, batch.column("text").slice(start, len(texts)), pa.array(gone, pa.binary()), pa.array(asked, pa.binary())], names=["doc", "n_bytes", "text", "gone", "asked"])
+                    yield from packer.add(ids[start + i], np.unique(regions(body, window)[2]))
+        yield from packer.flush()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows: dict[int, list] = {}
-            for bucket, doc, start, piece in held:
-                row = rows.setdefault(bucket, [[], [], [], []])
-                for values, value in zip(row, (doc, start, len(piece), piece)):
-                    values.append(value)
-            columns = [pa.array(list(rows), pa.int32())]
-            for k, kind in enumerate((np.int64, "<u4", "<u4")):
-                columns.append(pa.array([np.array(r[k], kind).tobytes() for r in rows.values()], pa.binary()))
-            columns.append(pa.array([b"".join(r[3]) for r in rows.values()], pa.binary()))
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "docs", "starts", "sizes", "bytes"])
-
+        """The bytes of regions whose minimizer another document has too."""
+        dealer = Dealer(shards, window)
         for batch in batches:
-            ids, asked = batch.column("doc").to_pylist(), batch.column("asked").to_pylist()
+            ids, rows, parts = (batch.column(c).to_pylist() for c in ("doc", "row", "keys"))
             for start, texts in text_chunks(batch, read=expand):
                 for i, body in enumerate(texts):
-                    for a, b, bucket in np.frombuffer(asked[start + i], "<u4").reshape(3, -1).T.tolist():
-                        held.append((bucket, ids[start + i], a, body[a : b + window]))
-                        size += b + window - a
-                    if size >= FLUSH_BYTES:
-                        yield flush()
-                        size = 0
-        if held:
-            yield flush()
+                    first, last, keys = regions(body, window)
+                    ask = np.isin(keys & LOW, np.frombuffer(parts[start + i], np.uint64))
+                    shard = shards[bucket_of(keys[ask], len(shards))].tolist()
+                    for a, b, s in zip(first[ask].tolist(), last[ask].tolist(), shard):
+                        yield from dealer.add(s, rows[start + i], ids[start + i], a, body[a : b + window])
+        if dealer.held:
+            yield dealer.flush()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, parts = batch.column("gone").to_pylist(), batch.column("places").to_pylist()
             for start, texts in text_chunks(batch, read=expand):
+                rows = batch.slice(start, len(texts))
                 removed, spans, kept = [], [], []
-                for i, body in enumerate(texts):
-                    first, last = np.frombuffer(gone[start + i] or b"", "<u4").astype(np.int64).reshape(2, -1)
-                    more = joined(parts[start + i], "<u4").astype(np.int64).reshape(-1, 2)
-                    if not len(first) and not len(more):
+                for body, first, last in zip(texts, rows.column("first").to_pylist(), rows.column("last").to_pylist()):
+                    if not first:
                         removed.append(0)
                         spans.append(0)
                         kept.append(body)
                         continue
                     edge = np.zeros(len(body) + 1, np.int32)
-                    np.add.at(edge, np.r_[first, more[:, 0]], 1)
-                    np.add.at(edge, np.r_[last, more[:, 1]] + window, -1)
+                    np.add.at(edge, np.frombuffer(first, "<u4"), 1)
+                    np.add.at(edge, np.frombuffer(last, "<u4").astype(np.int64) + window, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     removed.append(int(covered.sum()))
                     spans.append(int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum()))
                     kept.append(np.frombuffer(body, np.uint8)[~covered].tobytes())
-                rows = batch.select(["doc", "n_bytes"]).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    announced = given.where("doc IS NOT NULL").mapInArrow(announce, PACKED)
-    status = by_bucket(announced, len(buckets)).applyInArrow(_status, REPLY).groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part"))
-    status = steps.keep(status, "status")
-    settled = squeezed(given, "doc", "text").join(status, "doc", "left").select("doc", "text", "whole", "part").mapInArrow(settle, "doc long, n_bytes long, text binary, gone binary, asked binary")
-    stored = steps.keep(settled, "stored")
-    steps.drop("status")
-    open_texts = stored.where("asked IS NOT NULL")
-    sorted_shards = by_bucket(open_texts.mapInArrow(deal, SHARDS), len(buckets)).applyInArrow(lambda t: sort_shard(t, window), "doc long, places binary")
-    places = sorted_shards.groupBy("doc").agg(F.collect_list("places").alias("places"))
-    final = open_texts.join(places, "doc", "left").select("doc", "n_bytes", "text", "gone", "places")
-    final = final.unionByName(stored.where("asked IS NULL").select("doc", "n_bytes", "text", "gone", F.lit(None).cast("array<binary>").alias("places")))
+                yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    texts = steps.keep(given.mapInArrow(store, "row long, doc long, n_bytes long, text binary"), "texts")
+    buckets, shards = buckets_for(texts), buckets_for(texts, each=SHARD_BYTES)
+    n = len(buckets)
+    able = texts.where(F.col("doc").isNotNull() & (F.col("n_bytes") >= window)).select("row", "doc", "text")
+    announced = by_bucket(able.mapInArrow(announce, PACKED), n).applyInArrow(lambda t: _shared(t, buckets), "part int, owner binary, keys binary")
+    asked = by_part(announced, n).applyInArrow(_asked, "row long, keys binary").withColumnRenamed("row", "doc")
+    opened = steps.keep(able.join(asked, "doc").select("row", "doc", "text", "keys"), "opened")
+    sorted_shards = by_bucket(opened.mapInArrow(deal, SHARDS), len(shards)).applyInArrow(lambda t: sort_shard(t, window, buckets), PLACES)
+    places = steps.keep(by_part(sorted_shards, n).applyInArrow(_placed, "row long, first binary, last binary"), "places")
+    steps.drop("opened")
+    final = texts.join(places, "row", "left").select("doc", "n_bytes", "text", "first", "last")
     return final.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", key)
 
 
