@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltwork.llm.shared import ensure_checkpoint_dir, matrix, pair_dot, usable_vectors
+from siltwork.llm.postings import even_numbers
+from siltwork.llm.shared import Steps, lengths_of, matrix, pair_dot, usable_vectors
 
 NEIGHBOURS = 20
 FACTOR = 1.0
@@ -118,52 +119,72 @@ class VantageTree:
         self._visit(outside, q[late])
 
 
-def _packed(rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """One row per partition: its number, ids and vectors as bytes."""
+PACKED = "number int, numbers binary, ids binary, vectors binary"
+FOUND = "query long, query_id long, vec_id long, score double"
+
+
+def _packed(rows: DataFrame, parts: int) -> DataFrame:
+    """One row per partition: its number, and its rows' numbers, ids and vectors as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, vectors = [], []
-        for batch in batches:
-            ids.append(batch.column("id").to_numpy())
-            vectors.append(matrix(batch))
-        if sum(map(len, ids)):
-            part = TaskContext.get().partitionId()
-            whole = np.concatenate([v for v in vectors if len(v)])
-            yield pa.RecordBatch.from_pydict({name: pa.array([part], pa.int64()), f"{name}_ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()), f"{name}_vectors": pa.array([whole.tobytes()], pa.binary())})
-
-    return rows.repartition(parts, F.xxhash64("id")).mapInArrow(run, f"{name} long, {name}_ids binary, {name}_vectors binary")
+        got = [b for b in batches if b.num_rows]
+        if got:
+            columns = [np.concatenate([b.column(c).to_numpy() for b in got]).tobytes() for c in ("number", "id")]
+            whole = np.concatenate([matrix(b) for b in got]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([c], pa.binary()) for c in (*columns, whole)]], names=["number", "numbers", "ids", "vectors"])
 
+    return rows.repartition(parts, F.xxhash64("id", "number")).mapInArrow(run, PACKED)
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query the k rows of largest inner product, not itself.
 
-    Vectors that cannot be compared (see ``usable_vectors``) take no part. Fewer than k
-    candidates: all of them. Ties go to the smaller id. Empty tables give an empty result.
-    Query blocks meet shards by an equi-join on the shard number; each shard returns at most
-    k rows per query, so the last ranking sees k times the shards of rows per query.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
-    base, asked = usable_vectors(rows, key, vector).checkpoint(), usable_vectors(queries, key, vector).checkpoint()
-    shards = max(LEAST_SHARDS, -(-base.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    shard, block = _packed(base, "shard", shards), _packed(asked, "block", blocks)
-    spread = block.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    pairs = shard.join(spread, "shard").repartition(min(MOST_TASKS, shards * blocks), "shard", "block")
+def _of_one_length(base: DataFrame, asked: DataFrame, n_base: int, n_asked: int, size: int, k: int, factor: float) -> DataFrame:
+    """query, query_id, vec_id, score: of each query row the best k of each shard."""
+    shards, blocks = max(LEAST_SHARDS, -(-n_base // SHARD_ROWS)), max(1, -(-n_asked // QUERY_ROWS))
+    numbers = even_numbers(base.sparkSession, shards)
+    place = F.get(F.array(*[F.lit(int(n)) for n in numbers]), F.col("number")) if shards <= MOST_TASKS else F.col("number")
+    first = _packed(base, shards).select(place.alias("shard"), F.lit(-1).alias("turn"), "numbers", "ids", "vectors")
+    every = F.array(*[F.lit(int(n)) for n in numbers]) if shards <= MOST_TASKS else F.sequence(F.lit(0), F.lit(shards - 1))
+    later = _packed(asked, blocks).select(F.explode(every).alias("shard"), F.col("number").alias("turn"), "numbers", "ids", "vectors")
+    work = first.unionByName(later).repartition(min(MOST_TASKS, shards), "shard").sortWithinPartitions("shard", "turn")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's vectors come first and make its tree; query blocks stream past it."""
+        shard, tree = None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, t: np.frombuffer(batch.column(c)[r].as_py(), t)  # noqa: B023, E731
-                ids, asked_ids = get("shard_ids", np.int64), get("block_ids", np.int64)
-                tree = VantageTree(ids, get("shard_vectors", np.float64).reshape(len(ids), -1))
-                q, found, scores = tree.search(asked_ids, get("block_vectors", np.float64).reshape(len(asked_ids), -1), k, factor)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+                ids, vectors = get("ids", np.int64), get("vectors", np.float64).reshape(-1, size)
+                now = batch.column("shard")[r].as_py()
+                if batch.column("turn")[r].as_py() < 0:
+                    shard, tree = now, VantageTree(ids, vectors)
+                elif now == shard:
+                    q, found, scores = tree.search(ids, vectors, k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(get("numbers", np.int64)[q]), pa.array(ids[q]), pa.array(found), pa.array(scores)], names=["query", "query_id", "vec_id", "score"])
+
+    return work.mapInArrow(search, FOUND)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query row the k rows of largest inner product, none of its own id.
+
+    Vectors that cannot be compared (see ``usable_vectors``) take no part, and vectors meet only
+    those of their own length. Each row of a repeated id is a query and a candidate of its own.
+    Fewer than k candidates: all of them. Ties go to the smaller id. Empty tables give an empty
+    result. Each shard's tree is built once, and the query blocks stream past it; a shard returns
+    at most k rows per query, so the last ranking sees k times the shards of rows per query.
+    """
+    steps, number = Steps(rows.sparkSession), F.monotonically_increasing_id().alias("number")
+    base = steps.keep(usable_vectors(rows, key, vector).select("id", "vector", number), "base")
+    asked = steps.keep(usable_vectors(queries, key, vector).select("id", "vector", number), "asked")
+    wanted = dict(lengths_of(asked))
+    found = rows.sparkSession.createDataFrame([], FOUND)
+    for size, n in lengths_of(base):
+        if size in wanted:
+            own = F.size("vector") == size
+            found = found.unionByName(_of_one_length(base.where(own), asked.where(own), n, wanted[size], size, k, factor))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.shared import connected_components, ensure_checkpoint_dir, local_components, matrix, partition_sums, pair_dot, usable_vectors
+from siltwork.llm.shared import Steps, connected_components, lengths_of, local_components, matrix, pair_dot, partition_sums, usable_vectors
 
 COSINE = 0.9
 GRID_AXES = 6
@@ -109,34 +109,42 @@ def join_intervals(a: Interval, b: Interval, cosine: float, epsilon: float) -> t
     return counts, ids, ids[linked], ids[label[linked]]
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """One row per vector: key, n_links, component_id, kept. Links: cosine of at least ``cosine``.
+def _near_intervals(intervals: DataFrame, epsilon: float, size: int) -> DataFrame:
+    """interval, with: pairs of intervals whose boxes lie within epsilon of each other.
 
-    Vectors that cannot be compared (see ``usable_vectors``) keep a row and link with nothing.
-    Rows of one id are one vector. A null id keeps a row with null component and kept true.
-    Empty tables give an empty result.
+    Boxes meet in cells of the leading axes: a box is listed under the cells it touches, the
+    other one under these and their neighbours. Unit vectors have few cells, so a box has a
+    bounded number; pairs come from an equi-join and not from all pairs of boxes.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+    axes = range(min(2, size))
+    boxes = intervals.select("interval", "low", "high")
+
+    def listed(rows: DataFrame, more: int, low: str, high: str) -> DataFrame:
+        for k in axes:
+            begin, end = F.floor(F.col(low)[k] / epsilon) - more, F.floor(F.col(high)[k] / epsilon) + more
+            rows = rows.withColumn(f"cell{k}", F.explode(F.sequence(begin, end)))
+        return rows
+
+    other = boxes.select(F.col("interval").alias("with"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = listed(boxes, 0, "low", "high").join(listed(other, 1, "low2", "high2"), [f"cell{k}" for k in axes])
+    gaps = F.transform(F.arrays_zip("low", "high", "low2", "high2"), lambda z: F.greatest(F.lit(0.0), z["low"] - z["high2"], z["low2"] - z["high"]))
+    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= epsilon * epsilon * (1 + 1e-9)
+    return met.where((F.col("interval") <= F.col("with")) & near).select("interval", "with").distinct()
+
+
+def _found_links(classes: DataFrame, n_classes: int, size: int, cosine: float, steps: Steps) -> DataFrame:
+    """u, v, n among vectors of one length: with u = v the links of a class to others, else edges."""
     epsilon = float(np.sqrt(2 - 2 * cosine))
-    usable = usable_vectors(rows, key, vector)
-    members = usable.select("id", "vector", F.sha2(F.to_json(F.col("vector")), 256).alias("__class")).checkpoint()
-    classes = members.groupBy("__class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector")).checkpoint()
-    size = classes.select(F.size("vector").alias("n")).first()
-    n_classes = classes.count()
-    all_ids = rows.select(F.col(f"`{key}`").cast("long").alias("id")).distinct()
-    if not n_classes:
-        return all_ids.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    axes = principal_axes(classes, size["n"])
+    axes = principal_axes(classes, size)
     parts = max(LEAST_INTERVALS, -(-n_classes // INTERVAL_ROWS))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.floor((unit(matrix(batch)) @ axes[:, :GRID_AXES]) / epsilon).astype(np.int64) if batch.num_rows else np.zeros((0, GRID_AXES), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.select(["id", "size", "vector"]).columns, *[pa.array(c) for c in cells.T]], names=["id", "size", "vector", *[f"c{i}" for i in range(cells.shape[1])]])
+            cells = np.floor((unit(matrix(batch)) @ axes[:, :GRID_AXES]) / epsilon).astype(np.int64) if batch.num_rows else np.zeros((0, len(grid)), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.select(["class", "size", "vector"]).columns, *[pa.array(c) for c in cells.T]], names=["class", "size", "vector", *grid])
 
-    grid = [f"c{i}" for i in range(min(GRID_AXES, size["n"]))]
-    celled = classes.select("id", "size", "vector").mapInArrow(to_cells, "id long, size long, vector array<double>, " + ", ".join(f"{c} long" for c in grid))
+    grid = [f"c{i}" for i in range(min(GRID_AXES, size))]
+    celled = classes.select("class", "size", "vector").mapInArrow(to_cells, "class long, size long, vector array<double>, " + ", ".join(f"{c} long" for c in grid))
 
     def to_interval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -146,17 +154,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             whole = np.concatenate([matrix(b) for b in got])
             turned = unit(whole) @ axes[:, :BOX_AXES]
             column = lambda c: np.concatenate([b.column(c).to_numpy() for b in got]).tobytes()
-            row = [TaskContext.get().partitionId(), column("id"), column("size"), whole.tobytes(), turned.min(0).tolist(), turned.max(0).tolist()]
+            row = [TaskContext.get().partitionId(), column("class"), column("size"), whole.tobytes(), turned.min(0).tolist(), turned.max(0).tolist()]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["interval", "ids", "sizes", "vectors", "low", "high"])
 
-    ordered = celled.repartitionByRange(parts, *grid, "id")
-    intervals = ordered.mapInArrow(to_interval, "interval long, ids binary, sizes binary, vectors binary, low array<double>, high array<double>").checkpoint()
-    boxes = intervals.select("interval", "low", "high")
-    other = boxes.select(F.col("interval").alias("with"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    gaps = F.transform(F.arrays_zip("low", "high", "low2", "high2"), lambda z: F.greatest(F.lit(0.0), z["low"] - z["high2"], z["low2"] - z["high"]))
-    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= epsilon * epsilon * (1 + 1e-9)
-    pairs = boxes.join(F.broadcast(other), (F.col("interval") <= F.col("with")) & near).select("interval", "with")
+    ordered = celled.repartitionByRange(parts, *grid, "class")
+    intervals = steps.keep(ordered.mapInArrow(to_interval, "interval long, ids binary, sizes binary, vectors binary, low array<double>, high array<double>"), f"intervals{size}")
+    pairs = _near_intervals(intervals, epsilon, size)
     right = intervals.select(F.col("interval").alias("with"), *[F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "vectors")])
     work = pairs.join(intervals.select("interval", "ids", "sizes", "vectors"), "interval").join(right, "with").repartition(min(MOST_TASKS, parts * (parts + 1) // 2), "interval", "with")
 
@@ -174,15 +178,33 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 linked = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[linked], u])), pa.array(np.concatenate([ids[linked], v])), pa.array(np.concatenate([counts[linked], np.zeros(len(u), np.int64)]))], names=["u", "v", "n"])
 
-    found = work.mapInArrow(run, "u long, v long, n long").checkpoint()
-    links = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+    return work.mapInArrow(run, "u long, v long, n long")
+
+
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """One row per vector: key, n_links, component_id, kept. Links: cosine of at least ``cosine``.
+
+    Vectors that cannot be compared (see ``usable_vectors``) keep a row and link with nothing;
+    vectors are compared within each length. Equal rows are one vector; different vectors of one
+    id each have a row, with their own links. A null id keeps a row with null component and kept
+    true. Empty tables give an empty result.
+    """
+    spark = rows.sparkSession
+    steps = Steps(spark)
+    name = F.sha2(F.to_json(F.col("vector")), 256).alias("__class")
+    members = steps.keep(usable_vectors(rows, key, vector).select("id", "vector", name).dropDuplicates(["id", "__class"]), "members")
+    grouped = members.groupBy("__class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"))
+    classes = steps.keep(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
+    all_ids = rows.select(F.col(f"`{key}`").cast("long").alias("id")).distinct()
+    found = spark.createDataFrame([], "u long, v long, n long")
+    for size, n in lengths_of(classes):
+        found = found.unionByName(_found_links(classes.where(F.size("vector") == size), n, size, cosine, steps))
+    found = steps.keep(found, "found")
+    links = found.where("u = v").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("u != v").select("u", "v"))
-    per_class = (
-        classes.select("__class", F.col("id").alias("rep"), "size")
-        .join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("__class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    placed = classes.select("__class", "class", "first", "size").join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    per_class = placed.join(least, "component").join(links, "class", "left").select("__class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     linked = members.select("id", "__class").join(per_class, "__class").select("id", "n_links", "component_id")
     return all_ids.join(linked, "id", "left").select(
         F.col("id").alias(key),

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
@@ -122,7 +122,11 @@ def buckets_for(texts: DataFrame, size: str = "n_bytes", each: int = BUCKET_BYTE
     """
     spark = texts.sparkSession
     total = texts.agg(F.sum(size)).first()[0] or 0
-    n = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+    return even_numbers(spark, max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each)))
+
+
+def even_numbers(spark: SparkSession, n: int) -> np.ndarray:
+    """So many integers of which each falls into a partition of its own."""
     number = F.col("id").cast("int")
     found = spark.range(40 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("part")).agg(F.min(number).alias("number")).collect()
     return np.array(sorted(r["number"] for r in found), np.int32)

@@ -125,18 +125,19 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | N
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``vector`` (array<double>) of the vectors that can be compared.
+    """``id`` and ``vector`` (array<double>) of all rows whose vectors can be compared.
 
-    Left out: null ids and vectors, null, NaN or infinite components, zero vectors and
-    vectors of another length than the most common one. Of a repeated id the vector that
-    sorts first counts.
+    Left out: null ids and vectors, null, NaN or infinite components, zero and empty vectors.
+    Vectors of any length and all rows of a repeated id stay.
     """
     given = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fine = given.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(~bad & F.exists("vector", lambda x: x != 0))
-    usual = fine.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1)
-    sized = fine.join(F.broadcast(usual), F.size("vector") == F.col("size"), "left_semi")
-    return sized.groupBy("id").agg(F.min("vector").alias("vector"))
+    return given.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(~bad & F.exists("vector", lambda x: x != 0))
+
+
+def lengths_of(usable: DataFrame) -> list[tuple[int, int]]:
+    """Lengths of vectors and how many have each; only vectors of one length are compared."""
+    return [(r["n"], r["count"]) for r in usable.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]
 
 
 def matrix(batch: pa.RecordBatch, column: str = "vector") -> np.ndarray:

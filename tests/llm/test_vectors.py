@@ -90,3 +90,12 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 3), (10, 11), (11, 12), (12, 13), (13, 10), (7, 7)] + [(100 + i, 101 + i) for i in range(60)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 13: 10} | {100 + i: 100 for i in range(61)}
+
+
+def test_lengths_and_repeated_ids(spark):
+    """Vectors meet those of their own length; different vectors of one id all count."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [0.0, 1.0]), (5, [1.0, 0.01]), (5, [0.0, 1.0]), (20, [0.5, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 3, True), (4, 2, 3, False), (5, 0, 5, True), (5, 2, 1, False), (20, 2, 3, False)]
+    found = nearest(frame(spark, rows), frame(spark, [r for r in rows if r[0] in (1, 20)]))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 2, 1.0), (1, 2, 5, 1.0), (1, 3, 5, 0.0), (1, 4, 5, 0.0), (20, 1, 4, 1.0), (20, 2, 3, 0.5)]
