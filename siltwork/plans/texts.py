@@ -256,3 +256,42 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", F.col("event_type").alias("first_type"), F.col("n").cast("long").alias("n"))
+
+
+@query("""
+    WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations), m AS (SELECT *, lower(t) AS low FROM t WHERE t <> '')
+    SELECT 'chat' || conv_id AS chat, count(*) AS messages, count(*) FILTER (WHERE conv_id % 2 = 1) AS added, count(*) FILTER (WHERE contains(low, 'the') OR contains(low, '!!') OR regexp_matches(t, 'https?://\\S+')) AS promoted, min(sha256(t)) AS least FROM m GROUP BY conv_id
+""")
+def chat_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole chat exports parsed: all messages are stored once, and those that carry a lead become candidates."""
+    from siltwork.operators.tables import new_rows
+    from siltwork.sources.chats import parse_chats
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+    line = F.concat(F.lit("[2026-09-12, 10:"), F.lpad(F.col("turn") % 60, 2, "0"), F.lit(":00] "), "role", F.lit(": "), F.coalesce("t", F.lit("")))
+    lines = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    messages = parse_chats(lines.select(F.concat(F.lit("chat"), "conv_id").alias("chat"), "raw")).withColumn("row", F.concat_ws("|", "chat", F.col("line_no").cast("string")))
+    stored = messages.where(F.substring("chat", 5, 20).cast("long") % 2 == 0)
+    new = new_rows(messages, stored.select("row"), "row", "line_no").groupBy("chat").agg(F.count(F.lit(1)).alias("added"))
+    lead = T.is_lead(F.col("text"), ("the", "!!"))
+    all_ = messages.groupBy("chat").agg(F.count(F.lit(1)).alias("messages"), F.count_if(lead).alias("promoted"), F.min(F.sha2("text", 256)).alias("least"))
+    return all_.join(new, "chat", "left").select("chat", "messages", F.coalesce("added", F.lit(0)).alias("added"), "promoted", "least")
+
+
+@query("""
+    WITH k(topic, words) AS (VALUES ('agents', ['agent', 'automation', 'workflow']), ('industry', ['manufacturing', 'supply', 'logistics']), ('health', ['health', 'clinical', 'patient']), ('finance', ['payments', 'compliance', 'ledger'])),
+    d AS (SELECT doc_id, lower(substr(text, 1, 30) || [' agent workflow agent', ' supply chain', ' patient ledger', ''][doc_id % 4 + 1]) AS t FROM documents),
+    tok AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: length(x) > 2)) AS token FROM d) GROUP BY ALL),
+    tw AS (SELECT topic, unnest(words) AS token FROM k), n AS (SELECT doc_id, sqrt(sum(pow(tf * CASE WHEN token IN (SELECT token FROM tw) THEN ln(4.0::DOUBLE) ELSE 1.0 END, 2))) AS norm FROM tok GROUP BY doc_id),
+    x AS (SELECT doc_id, topic, sum(tf * ln(4.0::DOUBLE) * ln(4.0::DOUBLE)) AS dot FROM tok JOIN tw USING (token) GROUP BY ALL)
+    SELECT doc_id, topic, CAST(floor(round(100 * dot / (norm * sqrt(3.0::DOUBLE) * ln(4.0::DOUBLE)), 6) + 0.5) AS BIGINT) AS score FROM x JOIN n USING (doc_id) WHERE floor(round(100 * dot / (norm * sqrt(3.0::DOUBLE) * ln(4.0::DOUBLE)), 6) + 0.5) > 5
+""")
+def topic_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts against the built-in table of topics."""
+    from siltwork.operators.similarity import topic_scores
+    from siltwork.sources.files import topics
+
+    tails = F.array(*map(F.lit, (" agent workflow agent", " supply chain", " patient ledger", "")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 30), F.element_at(tails, (F.col("doc_id") % 4 + 1).cast("int"))).alias("text"))
+    known = spark.createDataFrame([(name, " ".join(words)) for name, _, words in topics()], "topic string, text string")
+    return topic_scores(docs, "doc_id", known, "topic")
