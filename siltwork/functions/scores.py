@@ -129,4 +129,4 @@ def evsi(p: Column, power: float = REVIEW_POWER, panels: int = PANELS) -> Column
 
 def launch_strength(votes: Column, comments: Column, makers: Column, tagline: Column) -> Column:
     points = F.least(votes, F.lit(1000)) * 0.055 + F.least(comments, F.lit(200)) * 0.16 + F.when(makers > 0, 8).otherwise(0) + F.when(F.length(tagline) > 20, 6).otherwise(0)
-    return F.floor(F.least(F.lit(100.0), points) + 0.5).cast("long")
+    return F.floor(F.round(F.least(F.lit(100.0), points), 9) + 0.5).cast("long")

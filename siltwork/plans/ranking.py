@@ -293,7 +293,7 @@ def topk_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, CAST(floor(least(100.0, least(value * 10, 1000) * 0.055 + least(user_id, 200) * 0.16 + CASE WHEN user_id % 2 > 0 THEN 8 ELSE 0 END + CASE WHEN length(props) > 20 THEN 6 ELSE 0 END)::DOUBLE + 0.5) AS BIGINT) AS strength FROM events
+    SELECT event_id, CAST(floor(round(least(100.0, least(value * 10, 1000) * 0.055 + least(user_id, 200) * 0.16 + CASE WHEN user_id % 2 > 0 THEN 8 ELSE 0 END + CASE WHEN length(props) > 20 THEN 6 ELSE 0 END)::DOUBLE, 9) + 0.5) AS BIGINT) AS strength FROM events
 """)
 def launch_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

@@ -129,14 +129,13 @@ def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id")
     links = F.concat(F.lit('<a href="/in/p-'), p % 7, F.lit('/">a</a><a href="/in/q%20'), p, F.lit('">b</a><a href="/in/p-'), p % 7, F.lit('/">c</a>'))
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), p).alias("node"), F.when(p % 9 == 0, F.concat(F.lit("Please VERIFY "), "html")).otherwise(F.concat("html", links)).alias("html"))
-    edges = R.also_viewed(pages.withColumn("node", F.col("node"))).groupBy("node").agg(F.collect_list("neighbour").alias("n"))
-    # A page's edges come from one row, so their order holds.
+    edges = R.also_viewed(pages).groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "neighbour"))), lambda x: x["neighbour"]).alias("n"))
     return R.profile_pages(pages).join(edges, "node", "left").select("node", F.sha2("raw_text", 256).alias("text_sha256"), F.coalesce(F.array_join("n", ","), F.lit("")).alias("neighbours"))
 
 
 @query("""
-    WITH e AS (SELECT event_id, user_id, CAST(value * 10 AS BIGINT) AS votes, user_id % 300 AS comments, user_id % 3 AS makers FROM events),
-    s AS (SELECT *, CAST(floor(least(100.0::DOUBLE, least(votes, 1000) * 0.055::DOUBLE + least(comments, 200) * 0.16::DOUBLE + CASE WHEN makers > 0 THEN 8 ELSE 0 END + 6) + 0.5) AS BIGINT) AS strength FROM e),
+    WITH e AS (SELECT event_id, user_id, CAST(floor(value * 10) AS BIGINT) AS votes, user_id % 300 AS comments, user_id % 3 AS makers FROM events),
+    s AS (SELECT *, CAST(floor(round(CAST(least(100.0::DOUBLE, least(votes, 1000) * 0.055::DOUBLE + least(comments, 200) * 0.16::DOUBLE + CASE WHEN makers > 0 THEN 8 ELSE 0 END + 6) AS DOUBLE), 9) + 0.5) AS BIGINT) AS strength FROM e),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, event_id) AS place FROM s)
     SELECT 'q' || user_id AS node, place, 'Launch ' || event_id AS name, strength FROM r WHERE place <= 5
 """)
@@ -146,7 +145,7 @@ def launch_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = F.col("event_id")
     makers = F.slice(F.array(F.struct(F.lit("a").alias("username")), F.struct(F.lit("b").alias("username"))), F.lit(1), (F.col("user_id") % 3).cast("int"))
-    node = F.struct(F.concat(F.lit("Launch "), e).alias("name"), F.lit("A tagline of more than twenty").alias("tagline"), F.lit("https://x").alias("url"), (F.col("value") * 10).cast("long").alias("votesCount"), (F.col("user_id") % 300).alias("commentsCount"), makers.alias("makers"), e.cast("string").alias("createdAt"))
+    node = F.struct(F.concat(F.lit("Launch "), e).alias("name"), F.lit("A tagline of more than twenty").alias("tagline"), F.lit("https://x").alias("url"), F.floor(F.col("value") * 10).alias("votesCount"), (F.col("user_id") % 300).alias("commentsCount"), makers.alias("makers"), e.cast("string").alias("createdAt"))
     body = F.struct(F.struct(F.struct(F.array(F.struct(node.alias("node"))).alias("edges")).alias("posts")).alias("data"))
     found = R.launches(answers(table(spark, sf_dir, "events"), F.concat(F.lit("q"), "user_id"), body))
     scored = found.select("node", "name", F.col("created_at").cast("long").alias("e"), S.launch_strength(F.col("votes"), F.col("comments"), F.col("makers"), F.col("tagline")).alias("strength"))

@@ -147,9 +147,9 @@ def profile_pages(pages: DataFrame, most: int = 8000) -> DataFrame:
 
 
 def also_viewed(pages: DataFrame, most: int = 8) -> DataFrame:
-    """The first distinct profiles that a page links to."""
+    """The first distinct profiles that a page links to, and their order."""
     slugs = F.array_distinct(F.regexp_extract_all("html", F.lit(r'/in/([A-Za-z0-9\-%]{3,80})/?"'), 1))
-    return pages.where(~looks_blocked(F.col("html"))).select(F.lit("linkedin").alias("source"), "node", F.explode(F.slice(slugs, 1, most)).alias("neighbour"))
+    return pages.where(~looks_blocked(F.col("html"))).select(F.lit("linkedin").alias("source"), "node", F.posexplode(F.slice(slugs, 1, most)).alias("at", "neighbour"))
 
 
 def launches(answers: DataFrame) -> DataFrame:
