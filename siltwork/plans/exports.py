@@ -9,6 +9,7 @@ from siltwork.functions import profiles as P
 from siltwork.functions import quant as Q
 from siltwork.functions import text as T
 from siltwork.operators import exports as X
+from siltwork.operators.ranking import ensure_checkpoint_dir
 from siltwork.plans.frames import table
 from siltwork.plans.profiles import scored
 from siltwork.plans.ranking import PENALTIES_SQL
@@ -56,7 +57,10 @@ def deal_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the tables that nested deals come apart into."""
     d = deals(spark, sf_dir)
     evidence = F.transform("quotes", lambda e, i: F.struct(i.cast("string").alias("id"), e["field"].alias("field"), e["quote"].alias("quote")))
-    parts = X.tables_of(d.withColumn("evidence", evidence))
+    ensure_checkpoint_dir(spark)
+    # Scored once and stored: each of the tables would score all profiles again.
+    stored = d.select("deal_id", "name", "headline", "company", "website", "stage", "total", "recommendation", "dimensions", "signals", evidence.alias("evidence")).checkpoint()
+    parts = X.tables_of(stored)
     out = None
     for name in ("people", "companies", "evidence", "scorecard"):
         one = parts[name].agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("deal_id").alias("deals")).select(F.lit(name).alias("export"), "rows", "deals")
