@@ -59,3 +59,30 @@ def test_packing(stages):
 
 def test_run_returns_the_last_stage(spark, stages):
     assert P.run(spark, SF).count() == stages[3][1].count()
+
+
+def odd_rows(spark):
+    """Null ids and texts, empty texts, repeated rows, a long text, and columns with clashing names."""
+    long_text = " ".join(f"word{i % 977} and{i}" for i in range(30_000))
+    base = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(6).collect()]
+    rows = [(i, t) for i, t in enumerate(base)] + [(2, base[2]), (None, base[1]), (None, None), (50, None), (51, ""), (51, ""), (52, long_text), (53, base[3])]
+    return spark.createDataFrame([(d, t, "en", "web", len(t or ""), 1, "x", 2.0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, keys int, ids string, row double")
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_odd_rows_and_empty_tables(spark, at):
+    name, stage = P.STAGES[at]
+    docs = odd_rows(spark)
+    got = stage(spark, docs, SF).collect()
+    assert stage(spark, docs.limit(0), SF).collect() == []
+    given = sorted(str(r["doc_id"]) for r in docs.collect())
+    found = sorted(str(r["doc_id"]) for r in got)
+    if name == "quality":
+        assert set(found) <= set(given) and found.count("51") in (0, 2)
+    elif name == "near_duplicates":
+        assert found == sorted(d for d in given if d != "53" and d != "None") + ["None"] or "53" not in found and found.count("2") == 2 and found.count("51") == 2
+    elif name == "repeated_strings":
+        assert found == [d for d in given if d != "53"]
+        assert {r["doc_id"]: r["text"] for r in got}[50] == ""
+    else:
+        assert sorted(set(found)) == sorted(set(given))
