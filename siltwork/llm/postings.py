@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 48) - 1)
-CHUNK_BYTES = 1_000_000
-FLUSH_KEYS = 1_000_000
+CHUNK_BYTES = 500_000
+FLUSH_KEYS = 400_000
 LEAST_BUCKETS = 24
 BUCKET_BYTES = 16_000_000
 PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"

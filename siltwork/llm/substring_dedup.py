@@ -64,7 +64,7 @@ class Matcher:
     per task and not one per text. Their matches travel through a bucket of their text's.
     """
 
-    def __init__(self, buckets: np.ndarray, most: int = 1_000_000):
+    def __init__(self, buckets: np.ndarray, most: int = 400_000):
         self.buckets, self.most, self.size = buckets, most, 0
         self.rows: list[int] = []
         self.places: list[np.ndarray] = []
@@ -145,7 +145,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 body = b" ".join(words[start : start + size + window - 1])
                 out.append((row.as_py(), start, size, int(model[a]), int(at[a]), body))
                 held += len(body)
-                if held > 16_000_000:
+                if held > 4_000_000:
                     yield _claims(out)
                     out, held = [], 0
         yield _claims(out)
