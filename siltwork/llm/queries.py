@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from siltwork.llm.ann import op10_nearest
 from siltwork.llm.bpe import op4_bpe
 from siltwork.llm.chat_format import OP3_SQL, op3_chat
@@ -29,7 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_nearest": op10_nearest,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
