@@ -25,7 +25,7 @@ WINDOW = 50
 INNER = 16
 SHARD_BYTES = 4_000_000
 FLUSH_BYTES = 8_000_000
-SHARDS = "bucket int, rows binary, docs binary, starts binary, sizes binary, bytes binary"
+SHARDS = "bucket int, rows binary, docs binary, starts binary, sizes binary, keys binary, bytes binary"
 PLACES = "part int, owner binary, first binary, last binary"
 
 
@@ -83,68 +83,74 @@ class Dealer:
 
     def __init__(self, shards: np.ndarray, window: int):
         self.shards, self.window, self.size = shards, window, 0
-        self.held: dict[bytes, list[tuple[int, int, int, int]]] = {}
-
-    def add(self, shard: int, row: int, doc: int, start: int, piece: bytes) -> Iterator[pa.RecordBatch]:
-        copies = self.held.get(piece)
-        if copies is None:
-            self.held[piece] = [(doc, row, start, shard)]
-            self.size += len(piece)
-        else:
-            copies.append((doc, row, start, shard))
-            self.size += 24
+        self.held: dict[bytes, list[tuple[int, int, int, int, int]]] = {}
+
+    def add(self, row: int, doc: int, body: bytes, first: list[int], last: list[int], shard: list[int], keys: list[int]) -> Iterator[pa.RecordBatch]:
+        held, window = self.held, self.window
+        for a, b, s, k in zip(first, last, shard, keys):
+            held.setdefault(body[a : b + window], []).append((doc, row, a, s, k))
+        self.size += len(body)
         if self.size >= FLUSH_BYTES:
             yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
         rows: dict[int, list] = {}
-
-        def put(shard: int, row: int, doc: int, start: int, size: int, piece: bytes) -> None:
-            for values, value in zip(rows.setdefault(shard, [[], [], [], [], []]), (row, doc, start, size, piece)):
-                values.append(value)
-
+        gone: list[tuple[int, int, int, int]] = []
         for piece, copies in self.held.items():
-            earliest = min(copies)[0]
-            for doc, row, start, shard in copies:
+            earliest = min(copies)[0] if len(copies) > 1 else copies[0][0]
+            for doc, row, start, shard, key in copies:
                 if doc == earliest:
-                    put(shard, row, doc, start, len(piece), piece)
+                    if (held := rows.get(shard)) is None:
+                        held = rows[shard] = [[], [], [], [], [], []]
+                    for values, value in zip(held, (row, doc, start, len(piece), key, piece)):
+                        values.append(value)
                 else:
-                    own = int(self.shards[int(bucket_of(mix(np.array([row], np.uint64)), len(self.shards))[0])])
-                    put(own, row, doc, start, -len(piece), b"")
+                    gone.append((row, doc, start, -len(piece)))
+        if gone:
+            row, doc, start, size = np.array(gone, np.int64).T
+            own = self.shards[bucket_of(mix(row.astype(np.uint64)), len(self.shards))]
+            for s in np.unique(own).tolist():
+                at = own == s
+                held = rows.setdefault(s, [[], [], [], [], [], []])
+                for values, value in zip(held, (row[at], doc[at], start[at], size[at], np.zeros(int(at.sum()), np.int64))):
+                    values.extend(value.tolist())
         columns = [pa.array(list(rows), pa.int32())]
-        for k, kind in enumerate((np.int64, np.int64, "<u4", "<i4")):
-            columns.append(pa.array([np.array(r[k], kind).tobytes() for r in rows.values()], pa.binary()))
-        columns.append(pa.array([b"".join(r[4]) for r in rows.values()], pa.binary()))
+        for k, kind in enumerate((np.int64, np.int64, "<u4", "<i4", "<u4")):
+            columns.append(pa.array([np.array(r[k], np.int64).astype(kind).tobytes() for r in rows.values()], pa.binary()))
+        columns.append(pa.array([b"".join(r[5]) for r in rows.values()], pa.binary()))
         self.held, self.size = {}, 0
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "docs", "starts", "sizes", "bytes"])
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "docs", "starts", "sizes", "keys", "bytes"])
 
 
 def first_copies(table: pa.Table) -> tuple[list[tuple], list[tuple]]:
     """Regions to be sorted (row, doc, start, bytes), and those decided: (row, start, size).
 
-    Of equal regions the earliest document's stays to be sorted; those of later documents go.
+    Of equal regions the earliest document's stays and those of later documents go. What stays
+    need be sorted only where one minimizer has several contents, of several documents.
     """
     seen: dict[bytes, list[tuple]] = {}
     gone: list[tuple] = []
-    for batch in table.to_batches():
-        for r in range(batch.num_rows):
-            row, doc = (np.frombuffer(batch.column(c)[r].as_py(), np.int64).tolist() for c in ("rows", "docs"))
-            start, size = (np.frombuffer(batch.column(c)[r].as_py(), kind).tolist() for c, kind in (("starts", "<u4"), ("sizes", "<i4")))
-            body, at = batch.column("bytes")[r].as_py(), 0
-            for k, n in enumerate(size):
-                if n < 0:
-                    gone.append((row[k], start[k], -n))
-                    continue
-                seen.setdefault(body[at : at + n], []).append((doc[k], row[k], start[k]))
+    for r in table.to_pylist():
+        row, doc = (np.frombuffer(r[c], np.int64).tolist() for c in ("rows", "docs"))
+        start, size, key = (np.frombuffer(r[c], kind).tolist() for c, kind in (("starts", "<u4"), ("sizes", "<i4"), ("keys", "<u4")))
+        body, at = r["bytes"], 0
+        for k, n in enumerate(size):
+            if n < 0:
+                gone.append((row[k], start[k], -n))
+            else:
+                seen.setdefault(body[at : at + n], []).append((doc[k], row[k], start[k], key[k]))
                 at += n
-    kept = []
+    groups: dict[int, list[bytes]] = {}
     for piece, copies in seen.items():
-        earliest = min(copies)[0]
-        for doc, row, start in copies:
-            if doc == earliest:
-                kept.append((row, doc, start, piece))
-            else:
-                gone.append((row, start, len(piece)))
+        groups.setdefault(copies[0][3], []).append(piece)
+        if len(copies) > 1:
+            earliest = min(copies)[0]
+            gone += [(row, start, len(piece)) for doc, row, start, _ in copies if doc > earliest]
+            seen[piece] = [c for c in copies if c[0] == earliest]
+    kept = []
+    for pieces in groups.values():
+        if len(pieces) > 1 and len({seen[p][0][0] for p in pieces}) > 1:
+            kept += [(row, doc, start, p) for p in pieces for doc, row, start, _ in seen[p]]
     return kept, gone
 
 
@@ -225,9 +231,10 @@ def remove_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 for i, body in enumerate(texts):
                     first, last, keys = regions(body, window)
                     ask = np.isin(keys & LOW, np.frombuffer(parts[start + i], np.uint64))
-                    shard = shards[bucket_of(keys[ask], len(shards))].tolist()
-                    for a, b, s in zip(first[ask].tolist(), last[ask].tolist(), shard):
-                        yield from dealer.add(s, rows[start + i], ids[start + i], a, body[a : b + window])
+                    keys = keys[ask]
+                    shard = shards[bucket_of(keys, len(shards))]
+                    low = keys & np.uint64(0xFFFFFFFF)
+                    yield from dealer.add(rows[start + i], ids[start + i], body, first[ask].tolist(), last[ask].tolist(), shard.tolist(), low.tolist())
         if dealer.held:
             yield dealer.flush()
 
