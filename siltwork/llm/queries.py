@@ -10,6 +10,7 @@ from siltwork.llm.ann import op10_nearest
 from siltwork.llm.bpe import op4_bpe
 from siltwork.llm.chat_format import OP3_SQL, op3_chat
 from siltwork.llm.embed_dedup import op9_embed_dedup
+from siltwork.llm.fill_middle import OP12_SQL, op12_fill_middle
 from siltwork.llm.html_extract import op5_html
 from siltwork.llm.ngram_join import op1_ngram_join
 from siltwork.llm.packing import op7_packing
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_nearest": op10_nearest,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat": OP3_SQL,
+    "op12_fill_middle": OP12_SQL,
 }
