@@ -5,32 +5,34 @@
 2. With shingles ordered by how many sets hold them, two similar sets share one of their
    first ``n - ceil(t n) + 1``. Sets with the same size and the same prefix form a group.
 3. Groups that share a prefix shingle form a run. Each run's pivot is paired with the run's
-   other groups of fitting size; group pairs are expanded to members and verified exactly.
+   other groups of fitting size; group pairs are expanded to members and verified by the
+   shingles themselves, taken from the texts.
 4. Runs whose members are not yet known to be one component are compared completely, in
    blocks of bounded size, by bitmaps that bound the overlap from above. Of the pairs that
    pass, a spanning forest leaves a task and is verified exactly. A run comes again, and
    sends more, as long as one of its pairs was rejected.
 
 So hot shingles and large groups of copies never become pairs of rows, and no link between
-two different sets is lost.
+two different sets is lost. Hashes propose; texts decide every link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import PACKED, Packer, bucket_of, buckets_for, by_bucket, hash_words, long, mix, prefix, runs_hash, short, sorted_runs, text_chunks, unpack, windows
-from siltwork.llm.shared import Steps, connected_components
+from siltwork.llm.postings import PACKED, Packer, bucket_of, buckets_for, by_bucket, hash_words, long, mix, short, sorted_runs, text_chunks, unpack, windows
+from siltwork.llm.shared import Steps, connected_components, expand, squeeze
 
 SHINGLE = 5
 BLOCK_SETS = 4096
+BLOCK_BYTES = 8_000_000
 LEAST_BITS = 256
-SEEN_SETS = 500_000
 
 
 def similar(shared: int, a: int, b: int) -> bool:
@@ -42,21 +44,25 @@ def prefix_length(n: np.ndarray | int):
     return n - (4 * n + 4) // 5 + 1
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
-    """Of each text its sorted distinct shingles and a name of the set."""
+def shingle_keys(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Of each text the sorted hashes of its distinct shingles."""
     hashes, at = hash_words(texts, fold=True)
     all_windows = windows(hashes, SHINGLE)
-    for i in range(len(texts)):
-        a, b = int(at[i]), int(at[i + 1])
-        if b - a >= SHINGLE:
-            keys = np.sort(all_windows[a : b - SHINGLE + 1])
-            keys = keys[np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0]
-        elif b > a:
-            keys = runs_hash(prefix(hashes[a:b]), np.array([0]), np.array([b - a]))
-        else:
-            keys = np.zeros(0, np.uint64)
-        name = int(mix(np.array([mix(keys).sum(dtype=np.uint64) + np.uint64(len(keys))]))[0].astype(np.int64)) if len(keys) else 0
-        yield keys, name
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        keys = np.sort(all_windows[a : b - SHINGLE + 1] if b - a >= SHINGLE else windows(hashes[a:b], max(b - a, 1)))
+        yield keys[np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0]
+
+
+def shingles_of(text: bytes) -> set[bytes]:
+    """The distinct shingles of a text, word by word."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))} if words else set()
+
+
+def names_of(text: bytes, bits: int) -> tuple[int, int]:
+    """Two independent names of a text's sequence of words, A-Z as a-z: of so many bits, and of 64."""
+    digest = blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True) >> 64 - bits, int.from_bytes(digest[8:], "little", signed=True)
 
 
 REPLIES = "part int, bucket int, sets binary, sizes binary, runs binary, codes binary, counts binary"
@@ -124,23 +130,23 @@ def _prefixes(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["set", "n", "grp", "prefix", "codes"])
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.sort(np.concatenate([x, y]))
-    return int((both[1:] == both[:-1]).sum())
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, mine = None, set()
     for batch in batches:
-        fine = [similar(_shared(x, y), m, n) for x, y, m, n in zip(*[batch.column(c).to_pylist() for c in ("codes", "codes2", "n", "n2")])]
+        fine = []
+        for u, ours, theirs in zip(batch.column("u").to_pylist(), batch.column("text"), batch.column("text2")):
+            if u != last:
+                last, mine = u, shingles_of(expand(ours.as_py()))
+            other = shingles_of(expand(theirs.as_py()))
+            fine.append(similar(len(mine & other), len(mine), len(other)))
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(fine, pa.bool_())], names=["u", "v", "linked"])
 
 
-def _checked(pairs: DataFrame, shared: DataFrame, steps: Steps, name: str) -> DataFrame:
-    """u, v, linked: the exact decision about each pair."""
-    left = shared.select(F.col("set").alias("u"), "n", "codes")
-    right = shared.select(F.col("set").alias("v"), F.col("n").alias("n2"), F.col("codes").alias("codes2"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "n", "n2", "codes", "codes2")
+def _checked(pairs: DataFrame, bodies: DataFrame, steps: Steps, name: str) -> DataFrame:
+    """u, v, linked: the decision about each pair, by the shingles of their texts."""
+    left = bodies.select(F.col("set").alias("u"), "text")
+    right = bodies.select(F.col("set").alias("v"), F.col("text").alias("text2"))
+    both = pairs.join(right, "v").join(left, "u").select("u", "v", "text", "text2")
     return steps.keep(both.mapInArrow(_verify, "u long, v long, linked boolean"), name)
 
 
@@ -220,7 +226,7 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"run": pa.array([run] * size, pa.int64()), "i": pa.array([i_] * size, pa.int32()), "j": pa.array([j_] * size, pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _links(shared: DataFrame, steps: Steps) -> DataFrame:
+def _links(shared: DataFrame, bodies: DataFrame, steps: Steps) -> DataFrame:
     """u, v: links between sets that connect all that are linked."""
     groups = shared.groupBy("grp").agg(F.min("set").alias("rep"), F.min("n").alias("n"), F.min_by("prefix", "set").alias("prefix"))
     postings = groups.select("grp", "rep", "n", F.explode("prefix").alias("code"))
@@ -228,21 +234,23 @@ def _links(shared: DataFrame, steps: Steps) -> DataFrame:
     run_pairs = postings.join(pivots, "code").where("grp != pivot.grp AND 5 * least(n, pivot.n) >= 4 * greatest(n, pivot.n)")
     group_pairs = run_pairs.select(F.col("pivot.rep").alias("u"), "grp").unionByName(groups.select(F.col("rep").alias("u"), "grp")).distinct()
     pairs = group_pairs.join(shared.select("grp", F.col("set").alias("v")), "grp").where("u != v").select("u", "v")
-    links = _checked(pairs, shared, steps, "pairs").where("linked").select("u", "v")
+    links = _checked(pairs, bodies, steps, "pairs").where("linked").select("u", "v")
 
     labels = links.groupBy(F.col("v").alias("set")).agg(F.min("u").alias("label"))
     labelled = shared.select("set", "n", "grp", "prefix").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    members = labelled.select("set", "label", F.explode(F.array_append("prefix", F.col("grp"))).alias("run"))
+    members = labelled.select("set", "n", "label", F.explode(F.array_append("prefix", F.col("grp"))).alias("run"))
     runs = members.groupBy("run").agg(
-        F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("set")).alias("x"), F.min("set").alias("a"), F.max("set").alias("b")
+        F.count(F.lit(1)).alias("c"), F.sum(F.greatest("n", F.lit(LEAST_BITS // 8)).cast("long")).alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("set")).alias("x"), F.min("set").alias("a"), F.max("set").alias("b")
     )
     # Runs of the same sets are one; a run of two sets was its pivot's pair.
-    open_runs = runs.where("c > 2 AND low != high").groupBy("c", "x", "a", "b").agg(F.min("run").alias("run"))
-    blocks = open_runs.select("run", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks"))
+    open_runs = runs.where("c > 2 AND low != high").groupBy("c", "bytes", "x", "a", "b").agg(F.min("run").alias("run"))
+    blocks = open_runs.select("run", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "run").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = dealt.select("run", "set", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select("run", "set", "label", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"))
     dealt = steps.keep(dealt, "dealt")
+    if dealt.isEmpty():
+        return links
     bitmaps = shared.select("set", "n", "codes").mapInArrow(_bitmaps, "set long, n int, held int, bits binary")
 
     decided, turn = None, 0
@@ -256,7 +264,7 @@ def _links(shared: DataFrame, steps: Steps) -> DataFrame:
             known = full.join(lists, "set", "left")
         found = known.withColumn("round", F.lit(turn)).groupBy("run", "i", "j").applyInArrow(_forest, "run long, i int, j int, u long, v long")
         found = steps.keep(found, f"found{turn}")
-        checked = _checked(found.select("u", "v").distinct(), shared, steps, f"checked{turn}")
+        checked = _checked(found.select("u", "v").distinct(), bodies, steps, f"checked{turn}")
         links = links.unionByName(checked.where("linked").select("u", "v"))
         refused = checked.where("NOT linked").select("u", "v")
         again = found.join(refused, ["u", "v"], "left_semi").select("run", "i", "j").distinct()
@@ -266,51 +274,57 @@ def _links(shared: DataFrame, steps: Steps) -> DataFrame:
         dealt, turn = steps.keep(dealt.join(again, ["run", "i", "j"], "left_semi"), f"dealt{turn}"), turn + 1
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", name_bits: int = 64) -> DataFrame:
     """key, n_shingles, component_id: of each document the smallest id reachable by links.
 
     A document's set: the distinct runs of five words (A-Z as a-z, words without ASCII white
     space); with fewer words the whole sequence; without words or text nothing, and then it
     links with nothing. Two documents link from a Jaccard similarity of 0.8. Rows of one id
     stay rows; a null id is passed over as a component's name while another is there. Other
-    columns are ignored. An empty table gives an empty result. Sets are compared by 64-bit
-    hashes of shingles, of which shuffled ones keep 48 bits and their bucket.
+    columns are ignored. An empty table gives an empty result. Texts of one sequence of words
+    are one set, told apart by BLAKE2b: by its second 64 bits where the first ``name_bits`` are
+    equal, so the result is the same for any number. Links between sets are decided by the
+    shingles of their texts; hashes of 48 bits and a bucket only propose them.
     """
     steps = Steps(docs.sparkSession)
-    given = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_chunks(batch):
-                found = [(len(keys), name) for keys, name in shingle_sets(texts)]
-                sizes, names = [n for n, _ in found], [name if n else None for n, name in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array([len(t) for t in texts], pa.int64())], names=["doc", "n_shingles", "set", "n_bytes"])
+                sizes = [len(keys) for keys in shingle_keys(texts)]
+                names = [names_of(t, name_bits) if n else (None, None) for n, t in zip(sizes, texts)]
+                columns = [pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary())]
+                rows = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), pa.array(sizes, pa.int64()), *columns], names=["row", "doc", "n_shingles", "name", "name2", "n_bytes", "text"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(buckets), set()
+        packer = Packer(buckets)
         for batch in batches:
-            for _, texts in text_chunks(batch):
-                for keys, name in shingle_sets(texts):
-                    if len(keys) and name not in seen:
-                        seen.add(name)
-                        yield from packer.add(name, keys, len(keys))
-                if len(seen) > SEEN_SETS:
-                    seen.clear()
+            names = batch.column("set").to_pylist()
+            for start, texts in text_chunks(batch, read=expand):
+                for name, keys in zip(names[start:], shingle_keys(texts)):
+                    yield from packer.add(name, keys, len(keys))
         yield from packer.flush()
 
-    members = steps.keep(given.mapInArrow(measure, "doc long, n_shingles long, set long, n_bytes long"), "members")
-    buckets = buckets_for(members)
+    members = steps.keep(given.mapInArrow(measure, "row long, doc long, n_shingles long, name long, name2 long, n_bytes long, text binary"), "members")
+    firsts = members.where("name IS NOT NULL").groupBy("name", "name2").agg(F.min("row").alias("row"), F.min("doc").alias("first"))
+    low = firsts.groupBy("name").agg(F.min("name2").alias("low"))
+    # Of sequences that share one name, all but one take their other name.
+    sets = steps.keep(firsts.join(low, "name").select("name", "name2", F.when(F.col("name2") == F.col("low"), F.col("name")).otherwise(F.col("name2")).alias("set"), "row", "first"), "sets")
+    bodies = steps.keep(sets.select("set", "row").join(members.select("row", "text", "n_bytes"), "row").select("set", "text", "n_bytes"), "bodies")
+    buckets = buckets_for(bodies)
     n = len(buckets)
-    replies = by_bucket(given.mapInArrow(post, PACKED), n).applyInArrow(lambda t: _repeated(t, buckets), REPLIES)
+    replies = by_bucket(bodies.select("set", "text").mapInArrow(post, PACKED), n).applyInArrow(lambda t: _repeated(t, buckets), REPLIES)
     whole = replies.repartition(n, "part").groupBy("part").applyInArrow(_prefixes, "set long, n int, grp long, prefix array<long>, codes binary")
     shared = steps.keep(whole, "shared")
-    components = connected_components(_links(shared, steps))
-    steps.drop("shared", "dealt")
-    firsts = members.where("set IS NOT NULL").groupBy("set").agg(F.min("doc").alias("first"))
-    placed = firsts.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    components = connected_components(_links(shared, bodies, steps))
+    steps.drop("shared", "dealt", "bodies")
+    placed = sets.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "component").select("set", "component_id")
-    return members.join(named, "set", "left").select(F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    named = placed.join(least, "component").select(F.col("name").alias("__name"), F.col("name2").alias("__name2"), "component_id")
+    same = (F.col("name") == F.col("__name")) & (F.col("name2") == F.col("__name2"))
+    return members.select("doc", "n_shingles", "name", "name2").join(named, same, "left").select(F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

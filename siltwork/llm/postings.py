@@ -1,13 +1,16 @@
 """Compact shuffles of hashed keys: packed rows per bucket instead of a row per key.
 
-Words and windows are hashed with numpy over whole batches: each byte (or word) has a random
-64-bit value, a run's hash is its polynomial in an odd base modulo 2^64, taken from prefix
-sums, then mixed. Keys travel as their low 48 bits; the bucket comes from the high 16.
+Words are hashed by keyed BLAKE2b, each distinct word of a batch once. A window's hash joins
+those of its halves, again and again, by a product, a sum and a mix, so no pair of windows
+collides by its structure. Runs of bytes have a cheaper hash, a polynomial modulo 2^64 from
+prefix sums, which only picks places. Keys travel as their low 48 bits; the bucket comes from
+the high 16.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,10 @@ CHUNK_BYTES = 500_000
 FLUSH_KEYS = 400_000
 LEAST_BUCKETS = 24
 BUCKET_BYTES = 16_000_000
+WORD_KEY = b"siltwork words"
 PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"
 
 _RANDOM = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _RANDOM.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _RANDOM[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -70,13 +72,11 @@ def hash_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.n
 
     Words are runs without ASCII white space; ``fold`` takes A-Z as a-z.
     """
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[joined]
-    edges = np.flatnonzero(np.diff(space, prepend=True))
-    start, end = edges[::2], edges[1::2]
-    hashes = runs_hash(prefix((_FOLDED if fold else _RANDOM)[joined]), start, end)
-    at = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(start, at)
+    joined = b"\n".join(texts) + b"\n"
+    words = pa.array((joined.lower() if fold else joined).split(), pa.binary()).dictionary_encode()
+    distinct = b"".join([blake2b(w, digest_size=8, key=WORD_KEY).digest() for w in words.dictionary.to_pylist()])
+    hashes = np.frombuffer(distinct, "<u8")[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    return hashes, np.concatenate([[0], np.cumsum(word_counts(texts))])
 
 
 def word_counts(texts: list[bytes]) -> np.ndarray:
@@ -91,12 +91,22 @@ def byte_prefix(text: bytes) -> np.ndarray:
 
 
 def windows(values: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` consecutive values."""
+    """Hashes of all runs of ``width`` consecutive values, joined from runs of 1, 2, 4, ... values."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    start = np.arange(n)
-    return runs_hash(prefix(values), start, start + width)
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = min(len(a), len(b))
+        return mix(a[:size] * np.uint64(BASE) + b[:size])
+
+    out, done, power, size = None, 0, values, 1
+    while True:
+        if width & size:
+            out, done = power if out is None else join(out, power[done:]), done + size
+        if done == width:
+            return mix(out[:n] + np.uint64(width))
+        power, size = join(power, power[size:]), 2 * size
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES, read: Callable[[bytes], bytes] = bytes) -> Iterator[tuple[int, list[bytes]]]:

@@ -8,12 +8,16 @@ extend it to the full windows around it.
 
 Hashes only propose. Of full windows with one hash, each is matched with one of them, its
 model; neighbouring matches with one model text make a claim, which carries its words to that
-text, where they are compared. Windows whose words differ are matched anew among themselves.
+text, where they are compared. Where words differ, the window and its model's are both matched
+anew, by a hash of their bytes that has nothing to do with the first. A window's equals are
+then among the reopened ones, or equal to one of them that is: the first window of a key in a
+task stands for all of the task that equal it, and the first of these in the bucket for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -185,7 +189,8 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             same = wrong[window:] == wrong[:-window]
             for a, n in _runs(same):
                 out += [(row, start + a, n, True), (model, at + a, n, True)]
-            out += [(row, start + a, n, False) for a, n in _runs(~same)]
+            for a, n in _runs(~same):
+                out += [(row, start + a, n, False), (model, at + a, n, False)]
         columns = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["row", "start", "size", "same"])
 
@@ -198,8 +203,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     anywhere else in the input, the same text included. Null and empty texts have no words;
     texts shorter than a window stay whole. Rows of one id are separate texts that count as
     copies of each other, and so are rows without one. Other columns are ignored. An empty
-    table gives an empty result. ``hash_bits`` sets how much of a hash is used; the result is
-    the same for any number, as words are compared before a window goes.
+    table gives an empty result. ``hash_bits`` sets how much of the first round's hash is used;
+    the result is the same for any number, as words decide, and needs no more rounds.
     """
     if window < PERIOD + 4:
         raise ValueError(f"a window needs {PERIOD + 4} words at least")
@@ -207,9 +212,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     given = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     used = np.uint64((1 << 64) - (1 << 64 - hash_bits))
 
-    def keys_of(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-        found = windows(hashes, size)
-        return (mix(found + np.uint64(seed)) if seed else found) & used
+    def keys_of(hashes: np.ndarray, size: int) -> np.ndarray:
+        return windows(hashes, size) & used
+
+    def byte_keys(text: bytes, places: np.ndarray, turn: int) -> np.ndarray:
+        words, salt = text.split(), turn.to_bytes(8, "little")
+        return np.frombuffer(b"".join([blake2b(b" ".join(words[p : p + window]), digest_size=8, key=salt).digest() for p in places.tolist()]), "<u8")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,15 +252,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     candidates.append(near.astype("<u4").tobytes() if len(near) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("row", "text")] + [pa.array(candidates, pa.binary())], names=["row", "text", "candidates"])
 
-    def second(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    def second(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(buckets)
         for batch in batches:
             rows, spots = batch.column("row").to_pylist(), batch.column("candidates").to_pylist()
             for start, texts in text_chunks(batch, read=expand):
-                hashes, at = hash_words(texts)
+                hashes, at = hash_words(texts) if not turn else (None, None)
                 for i in range(len(texts)):
                     places = np.frombuffer(spots[start + i], "<u4")
-                    yield from matcher.add(rows[start + i], places, keys_of(hashes[at[i] : at[i + 1]], window, seed)[places])
+                    keys = byte_keys(texts[i], places, turn) if turn else keys_of(hashes[at[i] : at[i + 1]], window)[places]
+                    yield from matcher.add(rows[start + i], places, keys)
         yield from matcher.flush()
 
     def spots(runs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +296,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     opened = steps.keep(opened, "open0")
     verdicts, turn = None, 0
     while True:
-        matched = by_bucket(opened.mapInArrow(lambda b, seed=turn: second(b, seed), PACKED), n).applyInArrow(lambda t: _matched(t, buckets), "part int, owner binary, places binary, models binary, at binary")
+        matched = by_bucket(opened.mapInArrow(lambda b, turn=turn: second(b, turn), PACKED), n).applyInArrow(lambda t: _matched(t, buckets), "part int, owner binary, places binary, models binary, at binary")
         listed = by_part(matched, n).applyInArrow(_listed, MATCHES)
         claims = opened.select("row", "text").join(listed, "row").mapInArrow(lambda b: _pieces(b, window), CLAIMS)
         models = opened.select(F.col("row").alias("model"), "text")

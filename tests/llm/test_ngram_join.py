@@ -77,5 +77,35 @@ def test_odd_rows(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
 
+def opposite_words(size):
+    """Two words of ``a`` and ``b`` that differ everywhere; sums of powers of an odd base modulo 2^64 are equal."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_structured_words(spark, size):
+    w, x = opposite_words(size)
+    rows = [(1, w), (2, x), (3, "other"), (4, f"{w} a b c d e"), (5, f"{x} a b c d e"), (6, f"{w}\n{w}"), (7, w.upper())]
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("slices", [1, 5, 40])
+@pytest.mark.parametrize("bits", [64, 3])
+def test_names_and_layouts(spark, slices, bits):
+    rows = corpus(9, 90)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string")
+    assert sorted((tuple(r) for r in similar_documents(docs, name_bits=bits).collect()), key=str) == brute(rows)
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    """Long sets make small blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 200)
+    rows = corpus(11, 60, base=2)
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []

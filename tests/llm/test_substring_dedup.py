@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from siltwork.llm.substring_dedup import COVER, PERIOD, remove_repeats
 
 
@@ -50,5 +52,17 @@ def test_weak_hashes_only_cost_time(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("slices", [1, 4, 8, 32])
+@pytest.mark.parametrize("bits", [64, 6])
+def test_every_layout(spark, slices, bits):
+    """Equal windows in different tasks, between windows that only their hash has in common."""
+    common, (w, x) = [f"c{i}" for i in range(34)], ("".join("ab"[(bin(i).count("1") + j) % 2] for i in range(1024)) for j in (0, 1))
+    rows = [(i, " ".join([*common, w if i in (0, 31) else x])) for i in range(32)]
+    rows += [(100 + i, " ".join([f"p{i % 11}q{j}" for j in range(40)])) for i in range(32)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string")
+    got = remove_repeats(docs, hash_bits=bits)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
