@@ -32,7 +32,7 @@ GROUP_QUERIES = 65_536
 BLOCK_QUERIES = 2_048
 LEAST_CELLS = 12
 MOST_TASKS = 4096
-PAGE = 256
+PAGE = 512
 FANOUT = 16
 SLACK = 1e-9
 NONE = np.iinfo(np.int64).min
@@ -68,9 +68,12 @@ class Best:
         self.scores = np.full((len(ids), k), NONE, np.int64)
         self.found = np.full((len(ids), k), LAST, np.int64)
 
-    def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of rows ``ids`` (columns) for queries ``q`` (rows)."""
-        at, column = np.nonzero(scores >= self.scores[q, -1][:, None])
+    def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: int) -> None:
+        """Scores of rows ``ids`` (columns) for queries ``q`` (rows); at most ``own`` of them have a query's id."""
+        least, place = self.scores[q, -1], scores.shape[1] - self.k - own
+        if place > 0:
+            least = np.maximum(least, np.partition(scores, place, axis=1)[:, place])
+        at, column = np.nonzero(scores >= least[:, None])
         other = ids[column] != self.ids[q[at]]
         at, column = at[other], column[other]
         if not len(at):
@@ -99,6 +102,7 @@ class MetricTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE, fanout: int = FANOUT, seed: int = 1):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], vectors[order]
+        self.repeats = int(np.unique(self.ids, return_counts=True)[1].max(initial=1))
         squares = np.einsum("ij,ij->i", self.x, self.x)
         self.most = float(squares.max(initial=0.0))
         self.points = np.column_stack([self.x, np.sqrt(np.maximum(self.most - squares, 0))])
@@ -118,7 +122,8 @@ class MetricTree:
         if len(rows) <= self.page:
             self.pages[number] = Page(rows, self._to_parent(rows, parent))
             return number
-        seeds = self.random.choice(rows, min(self.fanout, len(rows)), replace=False)
+        # No more children than fill their pages.
+        seeds = self.random.choice(rows, max(2, min(self.fanout, -(-3 * len(rows) // (2 * self.page)))), replace=False)
         distance = self._distances(rows, seeds)
         nearest = distance.argmin(1)
         if np.bincount(nearest, minlength=len(seeds)).max() > 0.9 * len(rows):  # many equal rows
@@ -178,7 +183,7 @@ class MetricTree:
         q, objects = q[rows], page.rows[columns]
         score = dots(x[q], self.x[objects])
         if page.radius is None:
-            best.offer(block[q], self.ids[objects], score)
+            best.offer(block[q], self.ids[objects], score, self.repeats)
             return
         distance = np.sqrt(np.maximum(self.most + squares[q][:, None] - 2 * score.astype(np.float64), 0))
         least = np.maximum(distance - page.radius[columns][None, :], 0)

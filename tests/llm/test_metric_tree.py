@@ -70,6 +70,7 @@ def test_search(spark, monkeypatch, shard, piece, group, block, page):
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(clustered(5, 300, 8))]
     rows += [(300 + i, rows[7][1]) for i in range(60)]
     rows += [(1000, None), (1020, [0.0] * 8), (1002, [None] + [1.0] * 7), (1003, [NAN] * 8), (1040, [INF] + [0.0] * 7), (1060, [1.0]), (1080, []), (1081, []), (1061, [-2.0]), (None, [1.0] * 8), (20, [0.5] * 8)]
+    rows += [(40, [float(9 + i)] * 8) for i in range(30)]
     asked = [r for r in rows if r[0] is not None and r[0] % 20 == 0]
     got = exact_top_k(frame(spark, rows), frame(spark, asked), k=15)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, asked, 15)
