@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from siltwork.operators.ranking import Stored
 from siltwork.operators.tables import first_by
 
 MAX_DEPTH, MAX_VISITS = 3, 50
@@ -97,3 +98,58 @@ def expand_round(nodes: DataFrame, visits: DataFrame, edges: DataFrame, most_vis
     fresh = led.join(nodes.select("source", "node"), ["source", "node"], "left_anti")
     found = fresh.groupBy("source", "node").agg(F.min("depth").alias("depth"), F.min_by("parent", F.struct("depth", "parent")).alias("parent"))
     return done, found
+
+
+def run_frontier(nodes: DataFrame, visits: DataFrame, edges: DataFrame, budget: int, most_visits: int = MAX_VISITS, most_depth: int = MAX_DEPTH) -> tuple[DataFrame, list[dict[str, int]]]:
+    """Rounds of visits until each source has spent its budget or has no node left to visit.
+
+    ``nodes`` has source, node, kind, depth, active, exhausted, seen, hits, last_visited and
+    parent; ``visits`` (source, node, seen, hits, exhausted) says what a visit yields, ``edges``
+    (source, node, neighbour) where it leads. A round visits, per source, the first
+    ``most_visits`` pending nodes that this run has not visited: never visited first, then
+    shallow, then long ago, then by name. A node that the gate lets expand, by its counters
+    before the visit, adds its unknown neighbours one deeper; of several parents the one
+    visited first counts. A node without a visit yields and leads to nothing and costs its
+    visit, as a failed one does.
+
+    Returns the nodes, with ``turn`` (the round of the visit, from 1, or null), and per round
+    its statistics: visited, candidates, hits, discovered. These are observed while the round
+    is written; the next round reads what was written, so lineage stays short.
+    """
+    tables, stats, turn = Stored(nodes.sparkSession), [], 0
+    columns = ["source", "node", "kind", "depth", "active", "exhausted", "seen", "hits", "last_visited", "parent", "turn"]
+    state = tables.keep(nodes.withColumn("turn", F.lit(None).cast("int")).select(*columns), "0")
+    order = Window.partitionBy("source").orderBy(F.col("last_visited").isNotNull(), "depth", "last_visited", "node")
+    yields = visits.select("source", "node", F.col("seen").alias("new_seen"), F.col("hits").alias("new_hits"), F.col("exhausted").alias("now_exhausted"))
+    while True:
+        turn += 1
+        able = state.where((F.col("active") == 1) & (F.col("exhausted") == 0) & (F.col("depth") <= most_depth) & F.col("turn").isNull())
+        spent = state.where("turn IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("spent"))
+        first = able.withColumn("place", F.row_number().over(order)).where(F.col("place") <= min(most_visits, budget))
+        taken = first.join(spent, "source", "left").where(F.col("place") + F.coalesce("spent", F.lit(0)) <= budget).drop("spent")
+        seen = Observation(f"visits {turn}")
+        done = taken.join(yields, ["source", "node"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("new_seen", "new_hits")})
+        done = done.observe(seen, F.count(F.lit(1)).alias("visited"), F.coalesce(F.sum("new_seen"), F.lit(0)).alias("candidates"), F.coalesce(F.sum("new_hits"), F.lit(0)).alias("hits"))
+        done = tables.keep(done, f"visits{turn}")
+        counted = seen.get
+        if not counted["visited"]:
+            return state, stats
+        leading = done.where("now_exhausted IS NOT NULL").where(worth_expanding(F.col("kind"), F.col("seen"), F.col("hits")) & (F.col("depth") < most_depth))
+        led = leading.select("source", F.col("node").alias("parent"), "depth", "place").join(edges.select("source", F.col("node").alias("parent"), F.col("neighbour").alias("node")), ["source", "parent"])
+        found = led.groupBy("source", "node").agg(F.min_by(F.struct((F.col("depth") + 1).alias("depth"), "parent"), "place").alias("by"))
+        fresh = found.join(state.select("source", "node"), ["source", "node"], "left_anti").select(
+            "source", "node", F.lit("discovered").alias("kind"), F.col("by.depth").alias("depth"), F.lit(1).alias("active"), F.lit(0).alias("exhausted"),
+            F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("hits"), F.lit(None).cast(state.schema["last_visited"].dataType).alias("last_visited"), F.col("by.parent").alias("parent"), F.lit(None).cast("int").alias("turn"),
+        )
+        new = Observation(f"nodes {turn}")
+        fresh = fresh.observe(new, F.count(F.lit(1)).alias("discovered"))
+        marks = done.select("source", "node", "new_seen", "new_hits", "now_exhausted", F.lit(True).alias("now"))
+        after = state.join(marks, ["source", "node"], "left").withColumns({
+            "seen": F.col("seen") + F.coalesce("new_seen", F.lit(0)),
+            "hits": F.col("hits") + F.coalesce("new_hits", F.lit(0)),
+            "exhausted": F.coalesce("now_exhausted", "exhausted"),
+            "turn": F.when(F.col("now"), F.lit(turn)).otherwise(F.col("turn")),
+        })
+        state = tables.keep(after.select(*columns).unionByName(fresh), str(turn))
+        tables.drop(str(turn - 1), f"visits{turn}")
+        stats.append({**counted, **new.get})

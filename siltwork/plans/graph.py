@@ -140,3 +140,27 @@ def frontier_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = found.groupBy("source").agg(F.count(F.lit(1)).alias("discovered"))
     stats = done.groupBy("source").agg(F.count(F.lit(1)).alias("visited"), F.sum("new_seen").alias("candidates"), F.sum("new_hits").alias("hits"))
     return stats.join(new, "source", "left").na.fill(0, ["discovered"])
+
+
+def linked_customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as nodes of five sources, what a visit of each yields, and where its orders lead."""
+    n_sources = 5
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % n_sources).cast("string").alias("source"), F.col("o_custkey").alias("node"), "o_orderkey", "o_totalprice")
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") % n_sources).cast("string").alias("source"), F.col("c_custkey").alias("node"))
+    seeds = customers.where(F.expr("node div 5") % 40 == 0).select(
+        "source", "node", F.lit("seed").alias("kind"), F.lit(0).alias("depth"), F.lit(1).alias("active"), F.lit(0).alias("exhausted"),
+        F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("hits"), F.lit(None).cast("long").alias("last_visited"), F.lit(None).cast("long").alias("parent"),
+    )
+    count = customers.agg(F.count(F.lit(1)).alias("n"))
+    yielded = orders.groupBy("source", "node").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("o_totalprice") > 150_000).alias("hits"))
+    visits = yielded.withColumn("exhausted", (F.col("node") % 11 == 0).cast("int"))
+    # An order leads to a customer of the same source.
+    edges = orders.crossJoin(F.broadcast(count)).select("source", "node", ((F.col("o_orderkey") * 5 + F.col("source").cast("long")) % (F.expr("n div 5") * 5)).alias("neighbour")).distinct()
+    return seeds, visits, edges
+
+
+@query()
+def frontier_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes that five sources reach within a budget of visits each; rounds are beyond SQL."""
+    found, _ = G.run_frontier(*linked_customers(spark, sf_dir), budget=400, most_visits=150)
+    return found.select("source", "node", "kind", "depth", "exhausted", "seen", "hits", "parent", "turn")

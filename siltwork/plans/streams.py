@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from siltwork.operators.ranking import ensure_checkpoint_dir
 from siltwork.plans.frames import table
-from siltwork.plans.registry import query
+from siltwork.plans.graph import entity_resolution, mentions
+from siltwork.plans.registry import ORACLES, query
 from siltwork.streaming import ingest as I
+from siltwork.streaming.entities import resolve_arriving
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -41,3 +43,20 @@ def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each provider per calendar day, while they arrive."""
     rows = stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("provider"))
     return I.daily_budget(rows, "ts", ["provider"], folder(spark, "budget"))
+
+
+@query(ORACLES[entity_resolution.__name__])
+def entity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors and hosts that arrive in three runs, by the thirds of their range, with entities kept between."""
+    where = folder(spark, "entities")
+    key = F.split("key", ":", 2)
+    rows = mentions(spark, sf_dir).select(
+        "arrival", "kind", "name", "norm", *[F.when(key[0] == k, key[1]).alias(k) for k in ("domain", "github", "linkedin", "handle")], "source", "candidate"
+    )
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    found = None
+    for turn in range(3):
+        part = F.floor((F.col("arrival") - low) * 3 / (high - low + 1))
+        rows.where(part == turn).write.mode("append").parquet(f"{where}/arrived")
+        found = resolve_arriving(spark.readStream.schema(rows.schema).parquet(f"{where}/arrived"), f"{where}/state")
+    return found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -21,7 +21,7 @@ def arriving(spark: SparkSession, folder: str, schema, pattern: str, files_at_on
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
-def _run(stream: DataFrame, work, folder: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, work, folder: str, mode: str = "append") -> None:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(work).start()
     query.awaitTermination()
 
@@ -36,12 +36,12 @@ def ingest(rows: DataFrame, key: str, folder: str) -> DataFrame:
 
     def store(batch: DataFrame, number: int) -> None:
         new = batch.dropDuplicates([key])
-        if _exists(spark, table):
+        if exists(spark, table):
             known = spark.read.parquet(table).where(F.col("batch") != number).select(key)
             new = new.join(known, key, "left_anti")
         new.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    _run(rows, store, folder)
+    run_available(rows, store, folder)
     return spark.read.parquet(table).drop("batch")
 
 
@@ -54,7 +54,7 @@ def count_by_key(rows: DataFrame, keys: list[str], hit, folder: str) -> DataFram
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    _run(counted, store, folder, "update")
+    run_available(counted, store, folder, "update")
     last = spark.read.parquet(table).groupBy(*keys).agg(F.max_by(F.struct("seen", "hits"), "at").alias("c"))
     return last.select(*keys, "c.*")
 
@@ -71,6 +71,6 @@ def daily_budget(calls: DataFrame, at: str, keys: list[str], folder: str, late:
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    _run(daily, store, folder, "update")
+    run_available(daily, store, folder, "update")
     last = spark.read.parquet(table).groupBy("day", *keys).agg(F.max_by("calls", "at").alias("calls"))
     return last.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), *keys, "calls")
