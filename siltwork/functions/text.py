@@ -65,9 +65,9 @@ def is_lead(text: Column, hints: Sequence[str] = LEAD_HINTS) -> Column:
 
 def scrub(text: Column) -> Column:
     """Addresses, numbers and handles replaced, in this order, then white space runs of two or more."""
-    for pattern, mark in ((EMAIL, "[email]"), (PHONE, "[phone]"), (HANDLE, "[handle]"), (r"\s{2,}", " ")):
-        text = F.regexp_replace(text, pattern, mark)
-    return strip(text)
+    masked = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[email]")).otherwise(text)
+    masked = F.regexp_replace(F.regexp_replace(masked, PHONE, "[phone]"), HANDLE, "[handle]")
+    return strip(F.regexp_replace(masked, r"\s{2,}", " "))
 
 
 def fragment(text: Column, hints: Sequence[str] = LEAD_HINTS, names: Sequence[str] = (), most: int = 400) -> Column:
@@ -139,29 +139,15 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
-
-
-def shingles(word_list: Column, k: int = 3) -> Column:
-    """Runs of k words; with fewer words one run of all.
-
-    Takes a column that holds the words already: ``words(text)`` in its place would be worked
-    out again for every run.
-    """
-    n = F.size(word_list)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(word_list, i, F.lit(k)), " "))
-    return F.when(n < k, F.array(F.array_join(word_list, " "))).otherwise(runs)
-
-
 def truncate_middle(text: Column, most: int) -> Column:
     left, right = (most - 3 + 1) // 2, (most - 3) // 2
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, left), F.lit("..."), F.right(text, F.lit(right))))
 
 
 def fnv32(text: Column) -> Column:
-    """FNV-1a of 32 bits over the characters, as hexadecimal of eight digits."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    """FNV-1a of 32 bits over the units of UTF-16, as hexadecimal of eight digits."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), 1)
+    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("long"))
     value = F.aggregate(codes, F.lit(2166136261), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(4294967295))
     return F.lpad(F.lower(F.hex(value)), 8, "0")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import scores as S
 from siltwork.functions import text as T
+from siltwork.operators.ranking import rank_within
 
 #: What kind of path a shared place of each source is, and how strong.
 PATH_KINDS = {"whatsapp": "whatsapp_group", "reddit": "same_subreddit", "substack": "same_publication", "github": "github_org"}
@@ -27,8 +28,7 @@ def evidence_of(bridge: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates of each entity, with their ``worth`` (score, else similarity) and place by it."""
     joined = bridge.join(candidates, "candidate")
     worth = F.coalesce("score", "similarity")
-    w = Window.partitionBy("entity").orderBy(worth.desc_nulls_last(), "candidate")
-    return joined.withColumns({"worth": worth, "place": F.row_number().over(w)})
+    return rank_within(joined.withColumn("worth", worth), ["entity"], [F.col("worth").desc_nulls_last(), F.col("candidate")], "place", "__all").drop("__all")
 
 
 def author_of(evidence: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as T
@@ -37,9 +37,32 @@ def report_table(rows: DataFrame, report: Column, fields: Sequence[tuple[str, st
     return rows.select(F.when(F.col("score").isNull(), "").otherwise(score).alias("Score"), F.coalesce("source", F.lit("")).alias("Source"), F.coalesce("source_url", F.lit("")).alias("Link"), *cells)
 
 
+HEADER = "00000-header.csv"
+
+
 def append_report(table: DataFrame, path: str) -> None:
-    """Adds rows to a fund's folder of CSV files; what is there is never rewritten."""
-    table.write.mode("append").option("header", "true").option("quoteAll", "true").csv(path)
+    """Adds rows to a fund's folder of CSV files; what is there is never rewritten.
+
+    The header is a file of its own that sorts first and is written once, so the files one after
+    the other, by name, are one table however often rows were added.
+    """
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{HEADER}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        out = files.create(where)
+        try:
+            out.write(bytearray((",".join('"' + c.replace('"', '""') + '"' for c in table.columns) + "\n").encode()))
+        finally:
+            out.close()
+    table.write.mode("append").option("header", "false").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A fund's table as text columns, named by its header."""
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    names = spark.read.options(**options).option("header", "true").csv(f"{path}/{HEADER}").columns
+    return spark.read.options(**options).schema(", ".join(f"`{n}` string" for n in names)).csv(f"{path}/part-*")
 
 
 def tables_of(deals: DataFrame) -> dict[str, DataFrame]:

@@ -31,14 +31,20 @@ def reject(text: Column, posted_s: Column, now_s: int, rules: Mapping[str, str]
 
 def rejection(text: Column, posted_s: Column, now_s: int, rules: Mapping[str, str] = RULES) -> Column:
     """struct(filter, reason) of the first rule that rejects a candidate, with what it found; or null."""
-    name = reject(text, posted_s, now_s, rules)
     days = F.floor((F.lit(now_s) - posted_s) / 86400)
     length = F.coalesce(F.length(T.strip(text)), F.lit(0))
-    reason = (
-        F.when(name == "too_short", F.concat(length, F.lit(f" chars, under {MIN_CHARS}")))
-        .when(name == "promo", F.concat(F.lit("promotional: "), F.regexp_extract(text, rules["promo"], 0)))
-        .when(name == "job_ad", F.concat(F.lit("reads as a vacancy: "), F.regexp_extract(text, rules["job_ad"], 0)))
-        .when(name == "question", "opens as a question with no sign of building")
-        .when(name == "too_old", F.concat(days, F.lit(f" days old, over {MAX_AGE_DAYS}")))
-    )
-    return F.when(name.isNotNull(), F.struct(name.alias("filter"), reason.alias("reason")))
+
+    def found(name: Column) -> Column:
+        return F.when(name.isNotNull(), F.struct(name.alias("filter"), reason(name).alias("reason")))
+
+    def reason(name: Column) -> Column:
+        return (
+            F.when(name == "too_short", F.concat(length, F.lit(f" chars, under {MIN_CHARS}")))
+            .when(name == "promo", F.concat(F.lit("promotional: "), F.regexp_extract(text, rules["promo"], 0)))
+            .when(name == "job_ad", F.concat(F.lit("reads as a vacancy: "), F.regexp_extract(text, rules["job_ad"], 0)))
+            .when(name == "question", "opens as a question with no sign of building")
+            .when(name == "too_old", F.concat(days, F.lit(f" days old, over {MAX_AGE_DAYS}")))
+        )
+
+    # Through a list of one, so that the rules run once and not once per mention of their name.
+    return F.get(F.transform(F.array(reject(text, posted_s, now_s, rules)), found), F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import scores as S
 from siltwork.functions import text as T
+from siltwork.operators.ranking import global_rank
 
 PRIVATE = ("extension_private", "whatsapp")
 TEXT_CHARS, LOCAL_BATCH, HOSTED_BATCH = 4000, 8, 64
@@ -113,30 +114,32 @@ def missing_terms(text: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: ~low.contains(F.lower(t)))
 
 
-def triage(rows: DataFrame, key: str, judge: Callable[[str, str], str], capacity: int | None = None) -> DataFrame:
+def triage(rows: DataFrame, key: str, judge: Callable[[str, str], str], capacity: int | None = None, order: Sequence[Column] = ()) -> DataFrame:
     """key, answer, error of asking ``judge`` (text, thesis) for each row inside the tasks.
 
-    A task stops asking after ``capacity`` answers, if given; rows that were not asked have
-    neither answer nor error. Answers that hold no JSON object are errors and are not repeated.
+    With a ``capacity`` only so many rows are asked, the first in ``order``, ties by key; rows
+    that were not asked have neither answer nor error. Answers that hold no JSON object are
+    errors and are not repeated.
     """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = 0
         for batch in batches:
             answers, errors = [], []
-            for text, thesis in zip(batch.column("text").to_pylist(), batch.column("thesis").to_pylist()):
-                if capacity is not None and asked >= capacity:
+            for text, thesis, asked in zip(*[batch.column(c).to_pylist() for c in ("text", "thesis", "asked")]):
+                if not asked:
                     answers.append(None)
                     errors.append(None)
                     continue
-                asked += 1
                 found = balanced_object(judge(text or "", thesis or ""))
                 answers.append(found)
                 errors.append(None if found else "no object in the answer")
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[key, "answer", "error"])
 
-    return rows.select(key, "text", "thesis").mapInArrow(run, f"{key} {kind}, answer string, error string")
+    turn = F.lit(True)
+    if capacity is not None:
+        rows, turn = global_rank(rows, [*order, F.col(key)], "__turn"), F.col("__turn") <= capacity
+    return rows.select(key, "text", "thesis", turn.alias("asked")).mapInArrow(run, f"{key} {kind}, answer string, error string")
 
 
 def balanced_object(text: str) -> str | None:

@@ -11,7 +11,7 @@ from siltwork.functions import text as T
 from siltwork.operators import exports as X
 from siltwork.operators.ranking import ensure_checkpoint_dir
 from siltwork.plans.frames import table
-from siltwork.plans.profiles import scored
+from siltwork.plans.profiles import PROFILES_SQL, STAGE_SQL, scored
 from siltwork.plans.ranking import PENALTIES_SQL
 from siltwork.plans.registry import query
 
@@ -48,22 +48,35 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"deal_id": F.concat(F.lit("deal"), "doc_id"), "quotes": ev, "dimensions": dimensions, "stage": P.stage()["stage"], "summary": P.summary()})
 
 
-@query("""
-    WITH d AS (SELECT doc_id, 'deal' || doc_id AS deal_id, CASE WHEN doc_id % 3 <> 0 THEN 'Co' || (doc_id % 50) ELSE '' END AS company, CASE WHEN doc_id % 5 = 0 THEN 'https://co' || doc_id || '.io' ELSE '' END AS website, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 60, 300) END AS about FROM documents)
-    SELECT 'people' AS export, count(*) AS rows, count(DISTINCT deal_id) AS deals FROM d UNION ALL SELECT 'companies', count(*), count(DISTINCT deal_id) FROM d WHERE company <> '' OR website <> ''
-    UNION ALL SELECT 'evidence', CAST(sum(2 + CAST(about <> '' AS INT) + CAST(company <> '' AS INT)) AS BIGINT), count(DISTINCT deal_id) FROM d UNION ALL SELECT 'scorecard', count(*) * 11, count(DISTINCT deal_id) FROM d
+@query(f"""
+    WITH {PROFILES_SQL}, {STAGE_SQL}, dl AS (SELECT 'deal' || u.doc_id AS deal_id, u.*, k.stage AS deal_stage FROM u JOIN k USING (doc_id)),
+    ev AS (SELECT deal_id, unnest(list_filter([{{'f': 'name', 'q': name}}, {{'f': 'headline', 'q': headline}}, {{'f': 'about', 'q': about}}, {{'f': 'company', 'q': company}}], lambda e: e.q <> '')) AS e, generate_subscripts(list_filter([name, headline, about, company], lambda q: q <> ''), 1) - 1 AS id FROM dl),
+    sg AS (SELECT deal_id, unnest(signals) AS s FROM dl)
+    SELECT 'people' AS export, deal_id, '' AS part, sha256(concat_ws('|', name, headline, company, recommendation, total)) AS value_sha256 FROM dl
+    UNION ALL SELECT 'companies', deal_id, '', sha256(concat_ws('|', company, website, deal_stage)) FROM dl WHERE company <> '' OR website <> ''
+    UNION ALL SELECT 'evidence', deal_id, CAST(id AS VARCHAR), sha256(e.f || '|' || e.q) FROM ev
+    UNION ALL SELECT 'signals', deal_id, string_split(s, '|')[1], sha256(string_split(s, '|')[2]) FROM sg
+    UNION ALL SELECT 'scorecard', deal_id, dimension, sha256(CAST(score AS VARCHAR)) FROM (UNPIVOT (SELECT deal_id, founder_likelihood, collaborative_edge, structural_demand, mutual_value, technical_credibility, market_pain, market_timing, investor_fit, outreach_urgency, red_flag_risk, data_quality FROM dl) ON COLUMNS(* EXCLUDE deal_id) INTO NAME dimension VALUE score)
 """)
 def deal_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the tables that nested deals come apart into."""
+    """The tables that nested deals come apart into, each row with a digest of its values."""
     d = deals(spark, sf_dir)
     evidence = F.transform("quotes", lambda e, i: F.struct(i.cast("string").alias("id"), e["field"].alias("field"), e["quote"].alias("quote")))
     ensure_checkpoint_dir(spark)
     # Scored once and stored: each of the tables would score all profiles again.
     stored = d.select("deal_id", "name", "headline", "company", "website", "stage", "total", "recommendation", "dimensions", "signals", evidence.alias("evidence")).checkpoint()
-    parts = X.tables_of(stored)
+    shown = {
+        "people": ("", ("name", "headline", "company", "recommendation", "total")),
+        "companies": ("", ("company", "website", "stage")),
+        "evidence": ("id", ("field", "quote")),
+        "signals": ("label", ("words",)),
+        "scorecard": ("dimension", ("score",)),
+    }
     out = None
-    for name in ("people", "companies", "evidence", "scorecard"):
-        one = parts[name].agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("deal_id").alias("deals")).select(F.lit(name).alias("export"), "rows", "deals")
+    for name, rows in X.tables_of(stored).items():
+        part, values = shown[name]
+        digest = F.sha2(F.concat_ws("|", *[F.col(v).cast("string") for v in values]), 256)
+        one = rows.select(F.lit(name).alias("export"), "deal_id", (F.col(part) if part else F.lit("")).alias("part"), digest.alias("value_sha256"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -44,6 +44,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables below so many bytes are dealt over the cores before heavy work on their rows.
+SMALL_BYTES = 1 << 30
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A small table dealt over as many tasks as a shuffle has, by key; a large one as it is.
+
+    A file of one row group is read by one task. Large tables have row groups for all cores, and
+    dealing them would shuffle their texts.
+    """
+    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_BYTES:
+        return rows
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(

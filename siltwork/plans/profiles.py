@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.functions import profiles as P
-from siltwork.plans.frames import table
+from siltwork.plans.frames import dealt, table
 from siltwork.plans.registry import query
 
 HEADS = (" founder building an AI agent for compliance", " student exploring ideas", " stealth", " software engineer, we raised pre-seed", " show hn: our launched API, hiring", "")
@@ -75,6 +75,13 @@ u AS (SELECT *, CASE WHEN total >= 80 AND confidence >= 0.65 AND red_flag_risk <
     CASE WHEN founder_likelihood >= 80 THEN 'confirmed_founder' WHEN founder_likelihood >= 60 THEN 'very_likely_founder' WHEN founder_likelihood >= 40 THEN 'possible_founder' WHEN founder_likelihood >= 20 THEN 'weak_signal' ELSE 'not_enough_evidence' END AS founder_label FROM t)"""
 
 
+STAGE_SQL = """
+w AS (SELECT doc_id, lower(concat_ws(' ', headline, about, raw, array_to_string(posts, ' '), array_to_string(experience, ' '))) AS t FROM p),
+    k AS (SELECT doc_id, CASE WHEN contains(t, 'series a') OR contains(t, 'series b') OR contains(t, 'series c') OR contains(t, 'growth round') THEN 'series_a_plus' WHEN contains(t, ' seed ') OR contains(t, 'seed round') OR contains(t, 'seed-stage') THEN 'seed'
+        WHEN contains(t, 'pre-seed') OR contains(t, 'preseed') OR contains(t, 'angel round') THEN 'pre_seed' WHEN contains(t, 'beta') OR contains(t, 'pilot') OR contains(t, 'demo') OR contains(t, 'launched') OR contains(t, 'public product') THEN 'mvp_beta'
+        WHEN contains(t, 'waitlist') OR contains(t, 'coming soon') OR contains(t, 'landing page') THEN 'pre_product' WHEN contains(t, 'stealth') OR contains(t, 'building') OR contains(t, 'exploring') THEN 'idea_stealth' ELSE 'unknown' END AS stage FROM w)"""
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile of each document; what it lacks depends on its number."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,7 +93,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     job, post = F.substring(text, 361, 40), F.substring(text, 401, 50)
     github = F.array(F.concat(F.lit("https://github.com/u"), n))
     own = F.array(F.lit("https://www.linkedin.com/in/p"), F.concat(F.lit("https://p"), n, F.lit(".dev")))
-    return d.select(
+    made = d.select(
         "doc_id",
         F.concat(F.lit("Person "), n).alias("name"),
         F.concat(F.substring(text, 1, 60), one_of(HEADS)).alias("headline"),
@@ -109,6 +116,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 11 == 0, "official_api").otherwise("").alias("source_type"),
         F.when(n % 2 == 0, "manual_paste").otherwise("visible_page").alias("mode"),
     )
+    return dealt(made, "doc_id")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +180,7 @@ def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {PROFILES_SQL}, w AS (SELECT doc_id, lower(concat_ws(' ', headline, about, raw, array_to_string(posts, ' '), array_to_string(experience, ' '))) AS t FROM p),
-    k AS (SELECT doc_id, CASE WHEN contains(t, 'series a') OR contains(t, 'series b') OR contains(t, 'series c') OR contains(t, 'growth round') THEN 'series_a_plus' WHEN contains(t, ' seed ') OR contains(t, 'seed round') OR contains(t, 'seed-stage') THEN 'seed'
-        WHEN contains(t, 'pre-seed') OR contains(t, 'preseed') OR contains(t, 'angel round') THEN 'pre_seed' WHEN contains(t, 'beta') OR contains(t, 'pilot') OR contains(t, 'demo') OR contains(t, 'launched') OR contains(t, 'public product') THEN 'mvp_beta'
-        WHEN contains(t, 'waitlist') OR contains(t, 'coming soon') OR contains(t, 'landing page') THEN 'pre_product' WHEN contains(t, 'stealth') OR contains(t, 'building') OR contains(t, 'exploring') THEN 'idea_stealth' ELSE 'unknown' END AS stage FROM w)
+    WITH {PROFILES_SQL}, {STAGE_SQL}
     SELECT doc_id, stage, CASE stage WHEN 'series_a_plus' THEN 0.75 WHEN 'seed' THEN 0.72 WHEN 'pre_seed' THEN 0.7 WHEN 'mvp_beta' THEN 0.68 WHEN 'pre_product' THEN 0.58 WHEN 'idea_stealth' THEN 0.5 ELSE 0.35 END::DOUBLE AS confidence,
         CASE stage WHEN 'series_a_plus' THEN 1 WHEN 'mvp_beta' THEN 1 WHEN 'unknown' THEN 4 ELSE 2 END::BIGINT AS n_missing FROM k
 """)
@@ -192,8 +197,8 @@ def profile_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes into two of the dimensions."""
     s = scored(spark, sf_dir)
-    inputs = s.select("doc_id", F.explode(F.create_map(*[c for d in ("market_timing", "red_flag_risk") for c in (F.lit(d), P.explanation(d))])).alias("dimension", "inputs"))
-    return inputs.select("doc_id", "dimension", F.explode("inputs").alias("r")).select("doc_id", "dimension", "r.*")
+    inputs = s.select("doc_id", F.explode_outer(F.create_map(*[c for d in ("market_timing", "red_flag_risk") for c in (F.lit(d), P.explanation(d))])).alias("dimension", "inputs"))
+    return inputs.select("doc_id", "dimension", F.explode_outer("inputs").alias("r")).select("doc_id", "dimension", "r.*")
 
 
 @query(f"""
@@ -206,7 +211,8 @@ def deal_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     deal = F.concat(F.lit("deal"), F.col("doc_id"))
     status = F.when(F.col("total") >= 72, "partner-review").when(F.col("recommendation") == "monitor", "watch").otherwise("new")
-    rows = s.select(deal.alias("deal_id"), status.alias("deal_status"), F.explode("signals").alias("s"))
+    # The outer form: the other one asks below all projections whether there are signals, which repeats every lexicon there.
+    rows = s.select(deal.alias("deal_id"), status.alias("deal_status"), F.explode_outer("signals").alias("s")).where("s IS NOT NULL")
     return rows.select(
         "deal_id",
         F.substring(F.sha2(F.concat_ws("|", "deal_id", "s.label"), 256), 1, 32).alias("claim_id"),
@@ -228,7 +234,7 @@ def deal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = P.with_features(profiles(spark, sf_dir))
     lists = ("experience", "posts", "links")
     parts = [F.struct(F.lit(c).alias("field"), (F.array_join(c, "\n") if c in lists else F.col(c)).alias("text"), (F.coalesce(F.get(c, F.lit(0)), F.lit("")) if c in lists else F.col(c)).alias("quote")) for c in P.EVIDENCE_FIELDS]
-    rows = f.select(F.concat(F.lit("deal"), F.col("doc_id")).alias("deal_id"), F.explode(F.array(*parts)).alias("r")).select("deal_id", "r.*").where("trim(text) <> ''")
+    rows = f.select(F.concat(F.lit("deal"), F.col("doc_id")).alias("deal_id"), F.explode_outer(F.array(*parts)).alias("r")).select("deal_id", "r.*").where("trim(text) <> ''")
     quote = F.when(F.col("quote") != "", F.col("quote")).otherwise(F.col("text"))
     return rows.select("deal_id", "field", F.sha2(F.substring("text", 1, 4000), 256).alias("text_sha256"), F.sha2(F.substring(quote, 1, 500), 256).alias("quote_sha256"))
 

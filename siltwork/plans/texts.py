@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import text as T
 from siltwork.operators.filters import RULES, reject, rejection
-from siltwork.plans.frames import CANDIDATES_SQL, DAY, NOW_SECONDS, candidates, table
+from siltwork.plans.frames import CANDIDATES_SQL, DAY, NOW_SECONDS, candidates, dealt, table
 from siltwork.plans.registry import query
 
 #: The tables' prose is made of invented words, so the word lists come from it.
 TERMS = ("trash", "clown", "worthless", "loser", "!!", "***")
 PATTERNS = RULES | {"promo": r"[!]{2}", "job_ad": r"[&]{3}", "question": r"^(The|De|La|Die) ", "builder": r" (and|und|et|con) "}
 NAMES = ("Mozilla", "thorn")
-E = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+"
 
 
 @query(f"""
@@ -39,7 +38,7 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule that rejects each candidate and what it found, by the shipped English rules."""
     tails = F.array(*map(F.lit, (" now hiring, apply now", " Use this COUPON", " nothing", " my startup")))
-    c = candidates(spark, sf_dir).withColumn("x", F.concat("text", F.element_at(tails, (F.col("doc_id") % 4 + 1).cast("int"))))
+    c = dealt(candidates(spark, sf_dir).select("doc_id", "text", "posted_s"), "doc_id").withColumn("x", F.concat("text", F.element_at(tails, (F.col("doc_id") % 4 + 1).cast("int"))))
     return c.select("doc_id", rejection(F.col("x"), F.col("posted_s"), NOW_SECONDS).alias("r")).select("doc_id", "r.filter", "r.reason")
 
 
@@ -68,26 +67,24 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.any_term(F.col("text"), TERMS[:2]).alias("excluded"), F.size(hits).cast("long").alias("hits"), F.array_join(hits, ",").alias("terms"))
 
 
-@query("""
-    SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]+')) AS addresses, len(regexp_extract_all(text, '[+(]?\\d[\\d\\s().-]{6,}\\d')) AS numbers,
-           sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]+', '[email]', 'g'), '[+(]?\\d[\\d\\s().-]{6,}\\d', '[phone]', 'g'), '\\s+', ' ', 'g'))) AS masked_sha256
+SENTENCES_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')"
+LEAD_SQL = "(regexp_matches(x, 'https?://\\S+') OR contains(lower(x), 'trash') OR contains(lower(x), 'clown') OR contains(lower(x), 'worthless') OR contains(lower(x), 'loser') OR contains(lower(x), '!!') OR contains(lower(x), '***'))"
+SCRUB_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[A-Za-z0-9_]([A-Za-z0-9_.+-]*)@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]*[A-Za-z0-9_]', '[email]', 'g'), '[+(]?\d[\d\s().-]{{6,}}\d', '[phone]', 'g'), '[@~][A-Za-z0-9_][A-Za-z0-9_.-]*', '[handle]', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+', ''), '\s+$', '')"
+
+
+MAIL_SQL, PHONE_SQL, HANDLE_SQL = r"[A-Za-z0-9_]([A-Za-z0-9_.+-]*)@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]*[A-Za-z0-9_]", r"[+(]?\d[\d\s().-]{6,}\d", r"[@~][A-Za-z0-9_][A-Za-z0-9_.-]*"
+
+
+@query(f"""
+    SELECT doc_id, len(regexp_extract_all(text, '{MAIL_SQL}')) AS addresses, len(regexp_extract_all(text, '{PHONE_SQL}')) AS numbers, len(regexp_extract_all(text, '{HANDLE_SQL}')) AS handles,
+           sha256({SCRUB_SQL.format('text')}) AS masked_sha256
     FROM documents
 """)
 def redact_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses and numbers found and masked, white space in runs made one space."""
+    """Addresses, numbers and handles found, and all of them masked."""
     text = F.col("text")
-    masked = T.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, E, "[email]"), T.PHONE, "[phone]"), r"\s+", " "))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.regexp_count(text, F.lit(E)).cast("long").alias("addresses"),
-        F.regexp_count(text, F.lit(T.PHONE)).cast("long").alias("numbers"),
-        F.sha2(masked, 256).alias("masked_sha256"),
-    )
-
-
-SENTENCES_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')"
-LEAD_SQL = "(regexp_matches(x, 'https?://\\S+') OR contains(lower(x), 'trash') OR contains(lower(x), 'clown') OR contains(lower(x), 'worthless') OR contains(lower(x), 'loser') OR contains(lower(x), '!!') OR contains(lower(x), '***'))"
-SCRUB_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[A-Za-z0-9_]([A-Za-z0-9_.+-]*)@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]*[A-Za-z0-9_]', '[email]', 'g'), '[+(]?\d[\d\s().-]{{6,}}\d', '[phone]', 'g'), '[@~][A-Za-z0-9_][A-Za-z0-9_.-]*', '[handle]', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+', ''), '\s+$', '')"
+    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(c) for c, p in (("addresses", T.EMAIL), ("numbers", T.PHONE), ("handles", T.HANDLE))]
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", *counts, F.sha2(T.scrub(text), 256).alias("masked_sha256"))
 
 
 @query(f"""
