@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.operators.ranking import ensure_checkpoint_dir
+from siltwork.operators.ranking import ensure_checkpoint_dir, rank_within
 from siltwork.plans.frames import table
 from siltwork.plans.graph import entity_resolution, mentions
 from siltwork.plans.registry import ORACLES, query
+from siltwork.sources.paged import arriving_pages, store_pages, stored_pages
 from siltwork.streaming import ingest as I
 from siltwork.streaming.entities import resolve_arriving
 
@@ -60,3 +61,38 @@ def entity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(part == turn).write.mode("append").parquet(f"{where}/arrived")
         found = resolve_arriving(spark.readStream.schema(rows.schema).parquet(f"{where}/arrived"), f"{where}/state")
     return found
+
+
+PAGES_SQL = "SELECT source AS node, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 AS page, CAST(doc_id AS VARCHAR) AS id, lang AS author, sha256(coalesce(text, '')) AS body_sha256 FROM documents"
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts, fifty to a page of their source."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("node"), "doc_id", F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("author"), F.lit("t").alias("title"), F.col("text").alias("body"))
+    placed = rank_within(rows, ["node"], [F.col("doc_id")], "place", "all")
+    return placed.withColumn("page", ((F.col("place") - 1) / 50).cast("int"))
+
+
+def shown(read: DataFrame) -> DataFrame:
+    return read.select("node", "page", "id", "author", F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_sha256"))
+
+
+@query(PAGES_SQL)
+def paged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts read back from stored pages, one task per node, until its short page."""
+    where = folder(spark, "pages")
+    store_pages(posts(spark, sf_dir), where)
+    return shown(stored_pages(spark, where, 50))
+
+
+@query(PAGES_SQL)
+def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream that stops and goes on when later pages have come."""
+    where, out = folder(spark, "pages"), folder(spark, "read")
+    placed = posts(spark, sf_dir).checkpoint()
+    half = F.col("all") / 100
+    for part in (F.col("page") < half, F.col("page") >= half):
+        store_pages(placed.where(part), where)
+        stream = arriving_pages(spark, where).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/progress")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return shown(spark.read.parquet(f"{out}/table"))
