@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm.postings import PACKED, Packer, bucket_of, buckets_for, by_bucket, hash_words, long, mix, short, sorted_runs, text_chunks, unpack, windows
+from siltwork.llm.postings import PACKED, Packer, bucket_of, buckets_for, by_bucket, from_planes, from_steps, hash_words, long, mix, planes, short, sorted_runs, steps_of, text_chunks, unpack, windows
 from siltwork.llm.shared import Steps, connected_components, expand, squeeze
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def _repeated(table: pa.Table, buckets: np.ndarray) -> pa.Table:
     for a, b in zip(cut[:-1], cut[1:]):
         begins = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
         who = owner[a:b][begins]
-        rows.append((int(buckets[part[a]]), bucket, who.tobytes(), size[a:b][begins].astype("<i4").tobytes(), np.diff(np.r_[begins, b - a]).astype("<i4").tobytes(), short(key[a:b]), count[a:b].tobytes()))
+        rows.append((int(buckets[part[a]]), bucket, steps_of(who), planes(size[a:b][begins].astype(np.int32)), planes(np.diff(np.r_[begins, b - a]).astype(np.int32)), short(key[a:b]), count[a:b].tobytes()))
     columns = list(zip(*rows)) or [()] * 7
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["part", "bucket", "sets", "sizes", "runs", "codes", "counts"])
@@ -106,9 +106,9 @@ def _prefixes(table: pa.Table) -> pa.Table:
     """Sets whose prefix holds a shared shingle: group, prefix, and all shared shingles sorted."""
     names, sizes, codes, counts = [], [], [], []
     for r in table.to_pylist():
-        runs = np.frombuffer(r["runs"], "<i4")
-        names.append(np.repeat(np.frombuffer(r["sets"], np.int64), runs))
-        sizes.append(np.repeat(np.frombuffer(r["sizes"], "<i4"), runs))
+        runs = from_planes(r["runs"], np.int32)
+        names.append(np.repeat(from_steps(r["sets"]), runs))
+        sizes.append(np.repeat(from_planes(r["sizes"], np.int32), runs))
         codes.append(long(r["codes"]) ^ (np.uint64(r["bucket"]) << np.uint64(48)))
         counts.append(np.frombuffer(r["counts"], np.uint8))
     name, size, code, count = (np.concatenate(v) for v in (names, sizes, codes, counts))
@@ -282,9 +282,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links with nothing. Two documents link from a Jaccard similarity of 0.8. Rows of one id
     stay rows; a null id is passed over as a component's name while another is there. Other
     columns are ignored. An empty table gives an empty result. Texts of one sequence of words
-    are one set, told apart by BLAKE2b: by its second 64 bits where the first ``name_bits`` are
-    equal, so the result is the same for any number. Links between sets are decided by the
-    shingles of their texts; hashes of 48 bits and a bucket only propose them.
+    are one set, told apart by 64 bits of BLAKE2b and ``name_bits`` more. Links between sets are
+    decided by the shingles of their texts; hashes of 48 bits and a bucket only propose them.
     """
     steps = Steps(docs.sparkSession)
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -307,12 +306,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     yield from packer.add(name, keys, len(keys))
         yield from packer.flush()
 
-    members = steps.keep(given.mapInArrow(measure, "row long, doc long, n_shingles long, name long, name2 long, n_bytes long, text binary"), "members")
-    firsts = members.where("name IS NOT NULL").groupBy("name", "name2").agg(F.min("row").alias("row"), F.min("doc").alias("first"))
-    low = firsts.groupBy("name").agg(F.min("name2").alias("low"))
-    # Of sequences that share one name, all but one take their other name.
-    sets = steps.keep(firsts.join(low, "name").select("name", "name2", F.when(F.col("name2") == F.col("low"), F.col("name")).otherwise(F.col("name2")).alias("set"), "row", "first"), "sets")
-    bodies = steps.keep(sets.select("set", "row").join(members.select("row", "text", "n_bytes"), "row").select("set", "text", "n_bytes"), "bodies")
+    measured = steps.keep(given.mapInArrow(measure, "row long, doc long, n_shingles long, name long, name2 long, n_bytes long, text binary"), "measured")
+    members = steps.keep(measured.select("doc", "n_shingles", "name", "name2"), "members")
+    firsts = measured.where("name IS NOT NULL").groupBy("name", "name2").agg(F.min("row").alias("set"), F.min("doc").alias("first"))
+    sets = steps.keep(firsts, "sets")
+    bodies = steps.keep(sets.select(F.col("set").alias("row")).join(measured.select("row", "text", "n_bytes"), "row").select(F.col("row").alias("set"), "text", "n_bytes"), "bodies")
+    steps.drop("measured")
     buckets = buckets_for(bodies)
     n = len(buckets)
     replies = by_bucket(bodies.select("set", "text").mapInArrow(post, PACKED), n).applyInArrow(lambda t: _repeated(t, buckets), REPLIES)

@@ -164,6 +164,25 @@ def long(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: planes of zeros cost nothing once compressed."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+
+
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def steps_of(values: np.ndarray) -> bytes:
+    """64-bit numbers, ascending or nearly so, as the planes of their differences."""
+    return planes(np.diff(values.astype(np.int64), prepend=np.int64(0)))
+
+
+def from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw, np.int64), dtype=np.int64)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Which of so many buckets each key falls into, by its high bits."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 65536 else np.uint32)
@@ -205,7 +224,7 @@ class Packer:
         for a, b in zip(cut[:-1], cut[1:]):
             begins = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
             who = owner[a:b][begins]
-            for column, value in zip(rows, (int(self.buckets[bucket[a]]), docs[who].tobytes(), np.diff(begins, append=b - a).astype(np.int32).tobytes(), extra[who].tobytes(), short(keys[a:b]), b"" if more is None else short(more[a:b]))):
+            for column, value in zip(rows, (int(self.buckets[bucket[a]]), steps_of(docs[who]), planes(np.diff(begins, append=b - a).astype(np.int32)), planes(extra[who]), short(keys[a:b]), b"" if more is None else short(more[a:b]))):
                 column.append(value)
         self.keys, self.more, self.docs, self.extra, self.size = [], [], [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "docs", "counts", "extra", "keys", "more"])
@@ -216,9 +235,9 @@ def unpack(table: pa.Table, more: bool = False) -> tuple[np.ndarray, ...]:
     docs, counts, extra, keys, values = [], [], [], [], []
     for batch in table.to_batches():
         for r in range(batch.num_rows):
-            docs.append(np.frombuffer(batch.column("docs")[r].as_py(), np.int64))
-            counts.append(np.frombuffer(batch.column("counts")[r].as_py(), np.int32))
-            extra.append(np.frombuffer(batch.column("extra")[r].as_py(), np.int32))
+            docs.append(from_steps(batch.column("docs")[r].as_py()))
+            counts.append(from_planes(batch.column("counts")[r].as_py(), np.int32))
+            extra.append(from_planes(batch.column("extra")[r].as_py(), np.int32))
             keys.append(long(batch.column("keys")[r].as_py()))
             if more:
                 values.append(long(batch.column("more")[r].as_py()))
