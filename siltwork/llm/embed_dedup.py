@@ -2,9 +2,11 @@
 
 Equal vectors form one class. Unit vectors are turned to principal axes, sorted by their
 grid cells (cell width epsilon) on the leading axes, and cut into intervals of bounded size.
-Interval pairs whose boxes are farther apart than epsilon are skipped; the rest are halved
-recursively, skipping distant halves, down to small blocks whose cosines are computed.
-A task returns link counts and a spanning forest of its links, never all pairs.
+Neighbouring intervals are groups, and each pair of groups within epsilon is one task's cell:
+one group is held, the other streams past it, so a vector travels once per group and not once
+per interval. Interval pairs whose boxes are farther apart than epsilon are skipped; the rest
+are halved recursively, skipping distant halves, down to small blocks whose cosines are
+computed. A task returns link counts and a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.llm.postings import even_numbers
 from siltwork.llm.shared import Steps, connected_components, lengths_of, local_components, matrix, pair_dot, partition_sums, usable_vectors
 
 COSINE = 0.9
@@ -23,6 +26,9 @@ GRID_AXES = 6
 BOX_AXES = 24
 INTERVAL_ROWS = 16_384
 LEAST_INTERVALS = 12
+#: A group holds so many bytes of vectors; few vectors make so many groups at least.
+GROUP_BYTES = 256_000_000
+LEAST_GROUPS = 5
 LEAF = 512
 SLACK = 1e-9
 MOST_TASKS = 4096
@@ -110,7 +116,7 @@ def join_intervals(a: Interval, b: Interval, cosine: float, epsilon: float) -> t
 
 
 def _near_intervals(intervals: DataFrame, epsilon: float, size: int) -> DataFrame:
-    """interval, with: pairs of intervals whose boxes lie within epsilon of each other.
+    """interval, with: pairs of intervals, or of groups of them, whose boxes lie within epsilon of each other.
 
     Boxes meet in cells of the leading axes: a box is listed under the cells it touches, the
     other one under these and their neighbours. Unit vectors have few cells, so a box has a
@@ -134,7 +140,7 @@ def _near_intervals(intervals: DataFrame, epsilon: float, size: int) -> DataFram
 
 def _found_links(classes: DataFrame, n_classes: int, size: int, cosine: float, steps: Steps) -> DataFrame:
     """u, v, n among vectors of one length: with u = v the links of a class to others, else edges."""
-    epsilon = float(np.sqrt(2 - 2 * cosine))
+    spark, epsilon = classes.sparkSession, float(np.sqrt(2 - 2 * cosine))
     axes = principal_axes(classes, size)
     parts = max(LEAST_INTERVALS, -(-n_classes // INTERVAL_ROWS))
 
@@ -160,23 +166,43 @@ def _found_links(classes: DataFrame, n_classes: int, size: int, cosine: float, s
 
     ordered = celled.repartitionByRange(parts, *grid, "class")
     intervals = steps.keep(ordered.mapInArrow(to_interval, "interval long, ids binary, sizes binary, vectors binary, low array<double>, high array<double>"), f"intervals{size}")
-    pairs = _near_intervals(intervals, epsilon, size)
-    right = intervals.select(F.col("interval").alias("with"), *[F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "vectors")])
-    work = pairs.join(intervals.select("interval", "ids", "sizes", "vectors"), "interval").join(right, "with").repartition(min(MOST_TASKS, parts * (parts + 1) // 2), "interval", "with")
+    per_group = max(1, GROUP_BYTES // (8 * size * INTERVAL_ROWS))
+    groups = max(-(-parts // per_group), min(parts, LEAST_GROUPS))
+    grouped = intervals.withColumn("group", F.floor(F.col("interval") * groups / parts).cast("int"))
+    corner = lambda c, edge: F.array(*[edge(F.col(c)[k]) for k in range(min(BOX_AXES, size))]).alias(c)
+    boxes = grouped.groupBy("group").agg(corner("low", F.min), corner("high", F.max))
+    cells = _near_intervals(boxes.withColumnRenamed("group", "interval"), epsilon, size).select(F.col("interval").alias("i"), F.col("with").alias("j"))
+    number = F.col("i") * groups + F.col("j")
+    if groups * groups <= MOST_TASKS:  # a partition of its own for each cell
+        number = F.get(F.array(*[F.lit(int(n)) for n in even_numbers(spark, groups * groups)]), number)
+    cells = cells.withColumn("cell", number)
+    held = cells.join(grouped, F.col("i") == F.col("group")).withColumn("side", F.lit(0))
+    streamed = cells.where("i != j").join(grouped, F.col("j") == F.col("group")).withColumn("side", F.lit(1))
+    work = held.unionByName(streamed).drop("group").repartition(min(MOST_TASKS, groups * groups), "cell").sortWithinPartitions("i", "j", "side", "interval")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def interval(batch: pa.RecordBatch, r: int, suffix: str) -> Interval:
-            get = lambda c, t: np.frombuffer(batch.column(c + suffix)[r].as_py(), t)
-            ids = get("ids", np.int64)
-            return Interval(ids, get("sizes", np.int64), get("vectors", np.float64).reshape(len(ids), -1), axes, epsilon)
+        def made(raw: dict) -> Interval:
+            ids = np.frombuffer(raw["ids"], np.int64)
+            return Interval(ids, np.frombuffer(raw["sizes"], np.int64), np.frombuffer(raw["vectors"], np.float64).reshape(len(ids), -1), axes, epsilon)
 
+        cell, kept = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                a = interval(batch, r, "")
-                b = a if batch.column("interval")[r] == batch.column("with")[r] else interval(batch, r, "2")
-                counts, ids, u, v = join_intervals(a, b, cosine, epsilon)
-                linked = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[linked], u])), pa.array(np.concatenate([ids[linked], v])), pa.array(np.concatenate([counts[linked], np.zeros(len(u), np.int64)]))], names=["u", "v", "n"])
+                raw = {c: batch.column(c)[r].as_py() for c in ("i", "j", "side", "ids", "sizes", "vectors", "low", "high")}
+                if (raw["i"], raw["j"]) != cell:
+                    cell, kept = (raw["i"], raw["j"]), []
+                raw["box"] = tuple(np.array(raw[c][:BOX_AXES]) for c in ("low", "high"))
+                if not raw["side"] and cell[0] != cell[1]:
+                    kept.append(raw)
+                    continue
+                new = made(raw)
+                partners = [p for p in kept if not distant(p["box"], raw["box"], epsilon)]
+                for a in [*map(made, partners), *([new] if cell[0] == cell[1] else [])]:
+                    counts, ids, u, v = join_intervals(a, new, cosine, epsilon)
+                    linked = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[linked], u])), pa.array(np.concatenate([ids[linked], v])), pa.array(np.concatenate([counts[linked], np.zeros(len(u), np.int64)]))], names=["u", "v", "n"])
+                if not raw["side"]:
+                    kept.append(raw)
 
     return work.mapInArrow(run, "u long, v long, n long")
 

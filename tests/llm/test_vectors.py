@@ -25,8 +25,12 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 3, "k") for i, v in rows], "vec_id long, embedding array<float>, id int, vector string")
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("rows_each,group_bytes,least", [(16_384, 256_000_000, 5), (20, 64 * 60, 1), (1_000_000, 1, 3)])
+def test_near_duplicates(spark, monkeypatch, rows_each, group_bytes, least):
     monkeypatch.setattr(embed_dedup, "LEAF", 16)
+    monkeypatch.setattr(embed_dedup, "INTERVAL_ROWS", rows_each)
+    monkeypatch.setattr(embed_dedup, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(embed_dedup, "LEAST_GROUPS", least)
     rows, bad = vectors()
     x = np.array([v for _, v in rows], np.float64)
     u = x / np.linalg.norm(x, axis=1)[:, None]
