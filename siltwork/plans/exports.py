@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from siltwork.functions import profiles as P
 from siltwork.functions import quant as Q
 from siltwork.functions import text as T
 from siltwork.operators import exports as X
+from siltwork.operators import workbook as W
 from siltwork.operators.ranking import ensure_checkpoint_dir
 from siltwork.plans.frames import table
 from siltwork.plans.profiles import PROFILES_SQL, STAGE_SQL, scored
@@ -239,3 +241,28 @@ def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array_distinct(F.concat(F.array(F.lit("lead"), "source"), F.array("lang", F.lit("lead"))))
     own = F.from_json(F.when(F.col("doc_id") % 3 != 0, F.to_json(F.struct((F.col("doc_id") % 10 / 10).alias("threshold")))), "threshold double")
     return d.select("doc_id", tags.isNotNull().alias("tagged"), F.size(tags).cast("long").alias("n"), F.coalesce(own["threshold"], F.lit(0.35)).alias("threshold"))
+
+
+@query(f"""
+    WITH {PROFILES_SQL}, dl AS (SELECT *, CAST(floor(confidence * 100 + 0.5) / 100.0 AS DOUBLE) AS sure, row_number() OVER (PARTITION BY recommendation ORDER BY total DESC, doc_id) AS place FROM u),
+    rw AS (SELECT recommendation AS fund, 'Summary' AS sheet, place, name || '|' || CAST(total AS DOUBLE) || '|' || sure || '|' || CAST(red_flag_risk AS DOUBLE) || '|' || replace(recommendation, '_', ' ') AS line FROM dl
+        UNION ALL SELECT recommendation, 'Summary', 1000000000, 'Averages|' || floor(avg(total) * 100 + 0.5) / 100 || '|' || floor(avg(sure) * 100 + 0.5) / 100 || '|' || floor(avg(red_flag_risk) * 100 + 0.5) / 100 || '|' FROM dl GROUP BY recommendation
+        UNION ALL SELECT recommendation, 'People', doc_id, 'deal' || doc_id || '|' || name || '|' || company FROM dl WHERE company <> '')
+    SELECT fund, sheet, count(*) AS rows, sha256(string_agg(line, chr(10) ORDER BY place)) AS cells_sha256 FROM rw GROUP BY fund, sheet
+""")
+def deal_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per tier, written and read back in tasks: a summary with averages, and people."""
+    ensure_checkpoint_dir(spark)
+    s = scored(spark, sf_dir).select("doc_id", "name", "company", "total", "red_flag_risk", "recommendation", (F.floor(F.col("confidence") * 100 + 0.5) / 100).alias("sure")).checkpoint()
+    summary = W.sheet(s, "recommendation", [F.desc("total"), F.col("doc_id")], [W.text_cell(F.col("name")), W.number_cell(F.col("total"), W.SCORE_COLOURS), W.number_cell(F.col("sure")), W.number_cell(F.col("red_flag_risk"), W.RISK_COLOURS), W.text_cell(F.replace("recommendation", F.lit("_"), F.lit(" ")))])
+    people = W.sheet(s.where("company != ''"), "recommendation", [F.col("doc_id")], [W.text_cell(F.concat(F.lit("deal"), "doc_id")), W.text_cell(F.col("name")), W.text_cell(F.col("company"))])
+    books = W.workbooks([("Summary", ("Founder", "Total", "Confidence", "Risk", "Recommendation"), W.with_averages(summary, (1, 2, 3))), ("People", ("Deal", "Name", "Company"), people)])
+
+    def read(batches):
+        for batch in batches:
+            found = [(fund, sheet, "\n".join("|".join(map(str, row)) for row in rows[1:]), len(rows) - 1) for fund, book in zip(batch.column("fund").to_pylist(), batch.column("workbook").to_pylist()) for sheet, rows in W.read_workbook(book).items()]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["fund", "sheet", "cells", "rows"])
+
+    lines = books.mapInArrow(read, "fund string, sheet string, cells string, rows long")
+    return lines.select("fund", "sheet", "rows", F.sha2("cells", 256).alias("cells_sha256")).where("rows > 0")
