@@ -108,6 +108,13 @@ def survivors(candidates: DataFrame, threshold: float, most: int) -> DataFrame:
     return candidates.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(most)
 
 
+def shortlist(candidates: DataFrame, thesis=None, confidence: float = 0.0, most: int = 50) -> DataFrame:
+    """The best scored startups, of one thesis if named, sure enough if asked, ties by id."""
+    able = candidates.where("score IS NOT NULL AND is_startup = 1")
+    able = able if thesis is None else able.where(F.col("thesis") == thesis)
+    return (able.where(F.col("confidence") >= confidence) if confidence else able).orderBy(F.desc("score"), "id").limit(most)
+
+
 def missing_terms(text: Column, terms: Column) -> Column:
     """Terms of a list that a text lacks."""
     low = F.lower(F.coalesce(text, F.lit("")))

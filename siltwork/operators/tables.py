@@ -26,10 +26,33 @@ def upsert_last(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-def fill_missing(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Coalescing update: stored values stay, nulls are filled; unknown keys are added."""
-    new = incoming.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    return stored.join(new, key, "full_outer").select(key, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
+def fill_missing(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequence[str], sets: Sequence[str] = ()) -> DataFrame:
+    """Coalescing update: stored values stay, nulls are filled; unknown keys are added.
+
+    Of ``sets`` (arrays) both sides' values count, each once and in order.
+    """
+    new = incoming.select(key, *[F.col(c).alias(f"__{c}") for c in (*columns, *sets)])
+    empty = F.array().cast("array<string>")
+    both = [F.array_sort(F.array_union(F.coalesce(c, empty), F.coalesce(f"__{c}", empty))).alias(c) for c in sets]
+    return stored.join(new, key, "full_outer").select(key, *[F.coalesce(c, f"__{c}").alias(c) for c in columns], *both)
+
+
+def refresh_captures(stored: DataFrame, captured: DataFrame, key: str, owner: str, own: Sequence[str], fresh: Sequence[str], derived: Sequence[str]) -> DataFrame:
+    """Stored rows after pages were captured again: new text, and nothing that describes the old one.
+
+    A row that belongs to one of the ``own`` sources takes the ``fresh`` columns of the capture
+    (one per key), and its ``derived`` columns become null; all others, such as a reviewer's
+    labels, stay. A row that another source owns stays as it is. Unknown keys are added.
+    """
+    new = captured.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in fresh], F.lit(True).alias("__new"))
+    taken = F.coalesce(F.col("__new"), F.lit(False)) & (F.col(owner).isNull() | F.col(owner).isin(*own))
+
+    def value(c: str) -> Column:
+        if c in fresh:
+            return F.when(taken, F.col(f"__{c}")).otherwise(F.col(c))
+        return F.when(~taken, F.col(c)) if c in derived else F.col(c)
+
+    return stored.join(new, key, "full_outer").select(*[F.col(c) if c == key else value(c).alias(c) for c in stored.columns])
 
 
 def top_share(rows: DataFrame, group: str, value: str, tie: str, share: float, floor: float) -> DataFrame:

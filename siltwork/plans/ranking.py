@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.functions import quant as Q
 from siltwork.functions import scores as S
 from siltwork.operators import calibration as K
 from siltwork.operators.ranking import global_rank
+from siltwork.operators.stages import active_weights, shortlist
 from siltwork.plans.frames import CANDIDATES_SQL, DAY, NOW_SECONDS, SIMILARITY_SQL, VERDICTS_SQL, candidates, table, verdicts
 from siltwork.plans.registry import query
 from siltwork.plans.relational import best_theses
@@ -298,3 +300,38 @@ def topk_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def launch_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", S.launch_strength(F.col("value") * 10, F.col("user_id"), F.col("user_id") % 2, F.col("props")).alias("strength"))
+
+
+@query(f"""
+    WITH {CANDIDATES_SQL}, {VERDICTS_SQL}, {SIMILARITY_SQL}, {RANKED_SQL}, k AS (SELECT r.doc_id, r.id, r.score, doc_id * 17 % 101 / 100.0::DOUBLE AS confidence FROM r WHERE thesis = 2)
+    SELECT doc_id, score, confidence FROM k WHERE confidence >= 0.3 ORDER BY score DESC, id LIMIT 25
+""")
+def fund_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 best of one thesis that are sure enough."""
+    rows = ranked(spark, sf_dir).withColumns({"is_startup": F.lit(1), "confidence": F.col("doc_id") * 17 % 101 / 100})
+    return shortlist(rows, 2, 0.3, 25).select("doc_id", "score", "confidence")
+
+
+#: Weights as a fit of labels would leave them.
+FITTED = {"similarity": 0.45, "thesis_match": 0.35, "recency": 0.2}
+
+
+@query(f"""
+    WITH {CANDIDATES_SQL}, {VERDICTS_SQL}, {SIMILARITY_SQL}, w AS (SELECT CASE WHEN count(*) >= 40 THEN [0.45, 0.35, 0.2] ELSE [0.3, 0.5, 0.2] END AS w FROM labels)
+    SELECT c.doc_id, round(w[1] * coalesce(s.similarity, 0) + w[2] * v.thesis_fit + w[3] * pow(0.5, ((1789171200 - c.posted_s) // 86400) / 90.0), 9) AS score FROM c JOIN v USING (doc_id) LEFT JOIN s USING (doc_id), w
+""")
+def rank_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by fitted weights where enough labels of this corpus's model stand behind them, else by the defaults."""
+    weights = active_weights({"labels": table(spark, sf_dir, "labels").count(), "model": "m", "weights": FITTED}, "m")
+    age = F.expr(f"({NOW_SECONDS} - posted_s) div {DAY}")
+    rows = candidates(spark, sf_dir).join(verdicts(spark, sf_dir), "doc_id").join(best_theses(spark, sf_dir), "doc_id", "left")
+    return rows.select("doc_id", F.round(S.rank_score(F.col("similarity"), F.col("thesis_fit"), S.recency(age), weights), 9).alias("score"))
+
+
+@query(f"""
+    WITH {CANDIDATES_SQL} SELECT doc_id, channel, round(greatest(0.0, doc_id * 7 % 101 / 100.0::DOUBLE - CASE channel {' '.join(f"WHEN '{c}' THEN {v!r}::DOUBLE" for c, v in Q.selection_by_channel().items() if c)} ELSE {Q.selection_by_channel()['']!r}::DOUBLE END), 9) AS score FROM c
+""")
+def adjusted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores less what the selection of each channel takes off."""
+    score = F.col("doc_id") * 7 % 101 / 100
+    return candidates(spark, sf_dir).select("doc_id", "channel", F.round(Q.adjusted(score, F.col("channel"), Q.selection_by_channel()), 9).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions.scores import recency
 from siltwork.operators.stages import cosines
-from siltwork.operators.tables import fill_missing, first_by, nearest_rank, new_rows, purge, top_share, upsert_last
+from siltwork.operators.tables import fill_missing, first_by, nearest_rank, new_rows, purge, refresh_captures, top_share, upsert_last
 from siltwork.plans.frames import CANDIDATES_SQL, DAY, NOW_SECONDS, SIMILARITY_SQL, candidates, table, thesis_vectors
 from siltwork.plans.registry import query
 
@@ -253,3 +253,66 @@ def author_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).withColumn("fresh", recency((F.lit(NOW_SECONDS) - F.col("posted_s")) / DAY))
     latest = first_by(c, ["author"], F.desc("posted_s"), "doc_id").select("author", F.col("doc_id").alias("latest"))
     return c.groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("fresh"), 9).alias("freshest")).join(latest, "author")
+
+
+@query(f"""
+    WITH {SIMILARITY_SQL}, j AS (SELECT d.source, s.thesis, s.similarity FROM documents d JOIN s USING (doc_id)),
+    a AS (SELECT 'ALL' AS scope, similarity FROM j UNION ALL SELECT 'source: ' || source, similarity FROM j UNION ALL SELECT 'thesis: ' || thesis, similarity FROM j WHERE thesis IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY similarity) - 1 AS pos, count(*) OVER (PARTITION BY scope) AS n FROM a)
+    SELECT scope, max(n) AS n, {', '.join(f"max(similarity) FILTER (WHERE pos = least(n * {p} // 100, n - 1)) AS p{p}" for p in (5, 25, 50, 75, 90, 95, 99))} FROM r GROUP BY scope
+""")
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where similarities lie: overall, per source and per thesis."""
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source").join(best_theses(spark, sf_dir), "doc_id")
+    scopes = F.array(F.lit("ALL"), F.concat(F.lit("source: "), "source"), F.concat(F.lit("thesis: "), "thesis"))
+    scoped = joined.select(F.explode(scopes).alias("scope"), "similarity").where("scope IS NOT NULL AND similarity IS NOT NULL")
+    counts = scoped.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    return nearest_rank(scoped, ["scope"], "similarity", (5, 25, 50, 75, 90, 95, 99)).join(counts, "scope")
+
+
+@query("""
+    SELECT count(*) AS candidates, count(vec_id) AS scored, count(quality) AS reviewed_by_model, count(*) FILTER (WHERE toxic = 0) AS reviewed_by_you, count(DISTINCT source) AS sources, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS n_chars
+    FROM documents LEFT JOIN embeddings ON vec_id = documents.doc_id LEFT JOIN labels ON labels.doc_id = documents.doc_id
+""")
+def status_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far all candidates came, in one row and one pass."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "vec_id")
+    joined = docs.join(embedded, "doc_id", "left").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.count("vec_id").alias("scored"),
+        F.count("quality").alias("reviewed_by_model"),
+        F.count_if(F.col("toxic") == 0).alias("reviewed_by_you"),
+        F.count_distinct("source").alias("sources"),
+        F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("n_chars"),
+    )
+
+
+@query("""
+    WITH old AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'extension' WHEN 1 THEN 'extension_private' ELSE source END AS source, text, doc_id % 101 / 100.0::DOUBLE AS score, 't' || (doc_id % 5) AS thesis, doc_id % 2 AS reviewed FROM documents),
+    new AS (SELECT page_id * 2 AS id, CASE WHEN page_id % 2 = 0 THEN 'extension' ELSE 'extension_private' END AS source, html AS text FROM pages),
+    m AS (SELECT coalesce(old.id, new.id) AS id, new.id IS NOT NULL AND (old.id IS NULL OR old.source IN ('extension', 'extension_private')) AS taken, old.source AS os, old.text AS ot, old.score, old.thesis, old.reviewed, new.source AS ns, new.text AS nt FROM old FULL JOIN new ON old.id = new.id)
+    SELECT id, CASE WHEN taken THEN ns ELSE os END AS source, sha256(coalesce(CASE WHEN taken THEN nt ELSE ot END, '')) AS text_sha256, CASE WHEN NOT taken THEN score END AS score, CASE WHEN NOT taken THEN thesis END AS thesis, reviewed FROM m
+""")
+def capture_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages captured again: what was derived from the old text goes, reviews and other sources' rows stay."""
+    n = F.col("doc_id")
+    owner = F.when(n % 3 == 0, "extension").when(n % 3 == 1, "extension_private").otherwise(F.col("source"))
+    stored = table(spark, sf_dir, "documents").select(n.alias("id"), owner.alias("source"), "text", (n % 101 / 100).alias("score"), F.concat(F.lit("t"), n % 5).alias("thesis"), (n % 2).alias("reviewed"))
+    p = F.col("page_id")
+    captured = table(spark, sf_dir, "pages").select((p * 2).alias("id"), F.when(p % 2 == 0, "extension").otherwise("extension_private").alias("source"), F.col("html").alias("text"))
+    done = refresh_captures(stored, captured, "id", "source", ("extension", "extension_private"), ("source", "text"), ("score", "thesis"))
+    return done.select("id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "score", "thesis", "reviewed")
+
+
+@query("""
+    WITH old AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, [source] AS sources FROM documents), new AS (SELECT doc_id + 7 AS id, lang, [source, 'again'] AS sources FROM documents)
+    SELECT coalesce(old.id, new.id) AS id, coalesce(old.lang, new.lang) AS lang, array_to_string(list_sort(list_distinct(list_concat(coalesce(old.sources, []), coalesce(new.sources, [])))), ',') AS sources FROM old FULL JOIN new ON old.id = new.id
+""")
+def fill_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coalescing update that gathers the sources of both sides."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(F.col("doc_id").alias("id"), F.expr("CASE WHEN doc_id % 2 = 0 THEN lang END").alias("lang"), F.array("source").alias("sources"))
+    new = docs.select((F.col("doc_id") + 7).alias("id"), "lang", F.array(F.col("source"), F.lit("again")).alias("sources"))
+    return fill_missing(old, new, "id", ["lang"], ["sources"]).select("id", "lang", F.array_join("sources", ",").alias("sources"))
