@@ -14,6 +14,7 @@ from siltwork.plans.registry import ORACLES, query
 from siltwork.sources.paged import arriving_pages, store_pages, stored_pages
 from siltwork.streaming import ingest as I
 from siltwork.streaming.entities import resolve_arriving
+from siltwork.streaming.retention import expirations
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -96,3 +97,17 @@ def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = arriving_pages(spark, where).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/progress")
         stream.trigger(availableNow=True).start().awaitTermination()
     return shown(spark.read.parquet(f"{out}/table"))
+
+
+@query("""
+    WITH k AS (SELECT event_type || '-' || user_id AS key, max(epoch_ms(ts)) + 259200000 AS until FROM events GROUP BY 1)
+    SELECT key, until FROM k WHERE until < (SELECT max(epoch_ms(ts)) FROM events)
+""")
+def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of events that nothing kept for three days more, told by timers of a stream."""
+    where = folder(spark, "retention")
+    at = F.col("ts").cast("timestamp")
+    rows = stream(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", "user_id").alias("id"), at.alias("at"), (at + F.expr("INTERVAL 3 DAYS")).alias("until"))
+    told = expirations(rows, "id", "at", "until")
+    told.writeStream.format("parquet").option("path", f"{where}/table").option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{where}/table")
