@@ -166,9 +166,9 @@ def _found_links(classes: DataFrame, n_classes: int, size: int, cosine: float, s
 
     ordered = celled.repartitionByRange(parts, *grid, "class")
     intervals = steps.keep(ordered.mapInArrow(to_interval, "interval long, ids binary, sizes binary, vectors binary, low array<double>, high array<double>"), f"intervals{size}")
-    per_group = max(1, GROUP_BYTES // (8 * size * INTERVAL_ROWS))
-    groups = max(-(-parts // per_group), min(parts, LEAST_GROUPS))
-    grouped = intervals.withColumn("group", F.floor(F.col("interval") * groups / parts).cast("int"))
+    per_group, many = max(1, GROUP_BYTES // (8 * size * INTERVAL_ROWS)), (intervals.agg(F.max("interval")).first()[0] or 0) + 1
+    groups = max(-(-many // per_group), min(many, LEAST_GROUPS))
+    grouped = intervals.withColumn("group", F.floor(F.col("interval") * groups / many).cast("int"))
     corner = lambda c, edge: F.array(*[edge(F.col(c)[k]) for k in range(min(BOX_AXES, size))]).alias(c)
     boxes = grouped.groupBy("group").agg(corner("low", F.min), corner("high", F.max))
     cells = _near_intervals(boxes.withColumnRenamed("group", "interval"), epsilon, size).select(F.col("interval").alias("i"), F.col("with").alias("j"))
