@@ -16,9 +16,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def arriving(spark: SparkSession, folder: str, schema, pattern: str, files_at_once: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream, some per step."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
+
+
+def arriving(spark: SparkSession, folder: str, schema, name: str, files_at_once: int | None = 100) -> DataFrame:
+    """A table of a folder as a stream: a Parquet file, all that match a pattern, or a folder of parts.
+
+    Some files per step; None takes all that are there at once.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    if is_folder(spark, f"{folder}/{name}"):
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_available(stream: DataFrame, work, folder: str, mode: str = "append") -> None:
