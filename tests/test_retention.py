@@ -31,3 +31,10 @@ def test_timers(spark, tmp_path):
     assert run(spark, folder) == [("c", millis(2))]
     put([("c", day(6), day(8)), ("f", day(10), day(40))])  # c came back; by day ten a, b and c are over
     assert run(spark, folder) == [("a", millis(6)), ("b", millis(9)), ("c", millis(2)), ("c", millis(8))]
+
+
+def test_microseconds_are_rounded(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [("a", day(0), day(3) + dt.timedelta(microseconds=499)), ("b", day(0), day(3) + dt.timedelta(microseconds=500)), ("c", day(9), day(30))]
+    spark.createDataFrame(rows, "id string, at timestamp, until timestamp").coalesce(1).write.parquet(f"{folder}/in")
+    assert run(spark, folder) == [("a", millis(3)), ("b", millis(3) + 1)]
