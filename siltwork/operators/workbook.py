@@ -6,6 +6,7 @@ a fund of more rows gets further files, and no task holds more than one file's r
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -169,3 +170,55 @@ def workbooks(sheets: Sequence[tuple[str, Sequence[str], DataFrame]], most: int
 
     dealt = rows.repartition(parts, "fund", "part").sortWithinPartitions("fund", "part", "sheet", "place")
     return dealt.select("fund", "part", "sheet", "cells").mapInArrow(write, f"fund {kind}, part int, workbook binary")
+
+
+LINES = 100
+
+
+def sheet_digests(books: DataFrame) -> DataFrame:
+    """fund, sheet, rows, cells_sha256 of files as of ``workbooks``, read back in tasks.
+
+    The digest is that of a sheet's rows in all parts of its fund, one after the other: cells
+    joined by a bar, rows by a line break. A sheet's lines stream past it in their order, some at
+    a time, so no task holds a sheet. Sheets without rows give none.
+    """
+    fund = books.schema["fund"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, book in enumerate(batch.column("workbook")):
+                for sheet_name, rows in read_workbook(book.as_py()).items():
+                    lines = ["|".join(map(str, row)) for row in rows[1:]]
+                    pieces = ["\n".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)]
+                    n = len(pieces)
+                    sizes = [min(LINES, len(lines) - i) for i in range(0, len(lines), LINES)]
+                    same = pa.array([k] * n, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("fund").take(same), pa.array([sheet_name] * n, pa.string()), batch.column("part").take(same), pa.array(range(n), pa.int32()), pa.array(pieces, pa.string()), pa.array(sizes, pa.int64())],
+                        names=["fund", "sheet", "part", "at", "lines", "rows"],
+                    )
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fund_type, count, state = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]).cast(fund_type), pa.array([now[1]], pa.string()), pa.array([count], pa.int64()), pa.array([state.hexdigest()], pa.string())], names=["fund", "sheet", "rows", "cells_sha256"])
+
+        for batch in batches:
+            fund_type = batch.column("fund").type
+            for one, name, lines, n in zip(*[batch.column(c).to_pylist() for c in ("fund", "sheet", "lines", "rows")]):
+                if now != (one, name):
+                    if state:
+                        yield done()
+                    now, count, state = (one, name), 0, hashlib.sha256()
+                elif count:
+                    state.update(b"\n")
+                state.update(lines.encode())
+                count += n
+        if state:
+            yield done()
+
+    parts = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = books.mapInArrow(read, f"fund {fund}, sheet string, part int, at int, lines string, rows long")
+    ordered = lines.repartition(parts, "fund", "sheet").sortWithinPartitions("fund", "sheet", "part", "at")
+    return ordered.select("fund", "sheet", "lines", "rows").mapInArrow(digest, f"fund {fund}, sheet string, rows long, cells_sha256 string")

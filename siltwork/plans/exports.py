@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,12 +256,4 @@ def deal_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = W.sheet(s, "recommendation", [F.desc("total"), F.col("doc_id")], [W.text_cell(F.col("name")), W.number_cell(F.col("total"), W.SCORE_COLOURS), W.number_cell(F.col("sure")), W.number_cell(F.col("red_flag_risk"), W.RISK_COLOURS), W.text_cell(F.replace("recommendation", F.lit("_"), F.lit(" ")))])
     people = W.sheet(s.where("company != ''"), "recommendation", [F.col("doc_id")], [W.text_cell(F.concat(F.lit("deal"), "doc_id")), W.text_cell(F.col("name")), W.text_cell(F.col("company"))])
     books = W.workbooks([("Summary", ("Founder", "Total", "Confidence", "Risk", "Recommendation"), W.with_averages(summary, (1, 2, 3))), ("People", ("Deal", "Name", "Company"), people)])
-
-    def read(batches):
-        for batch in batches:
-            found = [(fund, sheet, "\n".join("|".join(map(str, row)) for row in rows[1:]), len(rows) - 1) for fund, book in zip(batch.column("fund").to_pylist(), batch.column("workbook").to_pylist()) for sheet, rows in W.read_workbook(book).items()]
-            columns = list(zip(*found)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["fund", "sheet", "cells", "rows"])
-
-    lines = books.mapInArrow(read, "fund string, sheet string, cells string, rows long")
-    return lines.select("fund", "sheet", "rows", F.sha2("cells", 256).alias("cells_sha256")).where("rows > 0")
+    return W.sheet_digests(books)

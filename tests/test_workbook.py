@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siltwork.operators import workbook as W
+from siltwork.plans import catalogue
 
 
 def test_rows_read_back(spark):
@@ -25,3 +26,10 @@ def test_colours_and_no_rows(spark):
     assert [r[0] for r in made.select(W.number_cell(F.col("v"), W.SCORE_COLOURS)["colour"]).collect()] == ["D4EDD8", "E8F2DD", "E8F2DD", "FFF6D6", "FFE9CC", "FFE0E0"]
     none = spark.createDataFrame([], "fund string, n int")
     assert W.workbooks([("S", ("N",), W.sheet(none, "fund", [F.col("n")], [W.number_cell(F.col("n"))]))]).collect() == []
+
+
+def test_sheets_of_several_files_have_one_digest(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, catalogue.QUERIES["deal_workbooks"](spark, data).collect()))
+    monkeypatch.setattr(W, "ROWS_PER_FILE", 7)
+    assert sorted(map(tuple, catalogue.QUERIES["deal_workbooks"](spark, data).collect())) == whole
