@@ -122,7 +122,7 @@ def with_features(profiles: DataFrame) -> DataFrame:
     lists = ("current_roles", "past_roles", "experience", "education", "skills", "posts", "links", "github_names", "hn_names")
     filled = profiles.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
     corpus = with_corpus(filled)
-    found = corpus.withColumns({f"hits_{name}": T.term_hits(F.col("corpus"), terms) for name, terms in LEXICONS.items()})
+    found = corpus.withColumns({f"hits_{name}": T.term_hits(F.col("corpus"), terms, lowered=True) for name, terms in LEXICONS.items()})
     low = F.col("corpus")
 
     def flag(condition: Column) -> Column:
@@ -159,7 +159,7 @@ def with_features(profiles: DataFrame) -> DataFrame:
         "f_no_company": 1 - F.col("f_has_company"),
         "f_no_site": 1 - F.col("f_has_site"),
     }
-    more |= {f"f_{name}": flag(T.any_term(low, terms)) for name, terms in MENTIONS.items()}
+    more |= {f"f_{name}": flag(T.any_term(low, terms, lowered=True)) for name, terms in MENTIONS.items()}
     more |= {f"f_{name}": share(F.size(f"hits_{name}"), full) for name, full in HITS_IN_FULL.items()}
     return base.withColumns(more)
 
@@ -270,7 +270,7 @@ def stage() -> Column:
 
     out = found(*NO_STAGE)
     for name, terms, sure, missing in reversed(STAGES):
-        out = F.when(T.any_term(low, terms), found(name, sure, missing)).otherwise(out)
+        out = F.when(T.any_term(low, terms, lowered=True), found(name, sure, missing)).otherwise(out)
     return out
 
 

@@ -44,19 +44,23 @@ def squash(text: Column) -> Column:
     return strip(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def any_term(text: Column, terms: Sequence[str]) -> Column:
-    """Whether a lower-cased text contains one of some terms."""
-    low = F.lower(text)
+def any_term(text: Column, terms: Sequence[str], lowered: bool = False) -> Column:
+    """Whether a text, lower-cased unless it is so already, contains one of some terms; null if it is null."""
+    low = text if lowered else F.lower(text)
     out = F.lit(False)
     for term in terms:
         out = out | low.contains(term.lower())
     return out
 
 
-def term_hits(text: Column, terms: Sequence[str]) -> Column:
-    """The terms that a lower-cased text contains, in the order of the list."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms]))
+def term_hits(text: Column, terms: Sequence[str], lowered: bool = False) -> Column:
+    """The terms that a text, lower-cased unless it is so already, contains, in the order of the list.
+
+    The text is lower-cased once: a condition for each term would do so again for each.
+    """
+    named = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
+    hits = lambda low: F.transform(F.filter(named, lambda t: low.contains(t["low"])), lambda t: t["term"])
+    return hits(text) if lowered else F.flatten(F.transform(F.array(F.lower(text)), hits))
 
 
 def is_lead(text: Column, hints: Sequence[str] = LEAD_HINTS) -> Column:
