@@ -157,3 +157,20 @@ def test_queries(spark):
             want = plain(texts[r["doc_id"]])
             for f in P.FIELDS:
                 assert (r[f] == want[f]) if f in r.asDict() else (r[f"{f}_sha256"] == digest(want[f])), (r["doc_id"], f)
+
+
+def test_every_kind_of_noise_has_its_letters():
+    samples = ("Show all 9 posts", "1,234+ connections", "12 followers", "Mutual connection x", "Send InMail now", "More action", "· Full-time", "Follow")
+    for letters, pattern, sample in zip(P.NOISE_LETTERS, P.NOISE, samples, strict=True):
+        assert letters in sample and re.search(pattern, sample)
+
+
+def test_labels_one_behind_the_other(spark):
+    """A label counts only behind what is no white space and not the label found last, as if that character were taken too."""
+    texts = ["xAboutAbout yAbout Z", "AboutAboutAboutAbout A", "😀SkillsSkillsSQL", "aPostsbPosts Posts Posts\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    taken, found = F.col("t"), rows.withColumn("__plain", F.col("t"))
+    for label in P.LABELS:
+        taken = F.regexp_replace(taken, rf"(\S)\Q{label}\E(?=[A-Z]|\s)", f"$1\n{label}\n")
+        found = P.labelled(found, label)
+    assert [r[0] for r in found.select("__plain").collect()] == [r[0] for r in rows.select(taken).collect()]
