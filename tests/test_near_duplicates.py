@@ -53,3 +53,9 @@ def test_map_is_the_reference_map(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: (r.duplicate_of, r.similarity) for r in catalogue.QUERIES["near_duplicate_map"](spark, str(tmp_path)).collect()}
     assert found == find_duplicates(texts)
+
+
+def test_hashes_at_once_fit_a_cores_cache():
+    from siltwork.operators import similarity
+
+    assert similarity.RUNS_AT_ONCE * similarity.PERMUTATIONS * 8 <= 1 << 20
