@@ -234,7 +234,7 @@ def tfidf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against topics by cosine of weighted terms; tokens of no topic weigh 1."""
     from siltwork.operators.similarity import topic_scores
 
-    return topic_scores(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
+    return topic_scores(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
 
 
 @query("""
