@@ -51,3 +51,31 @@ def test_long_and_short_merges_agree():
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, None).collect() == []
+
+
+def test_capitals_that_lower_to_a_special_token_are_none(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["<|ENDOFTEXT|> a", "b<|endoftext|>C", "<|EndOfText|><|endoftext|>"]
+    found = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, None).collect()
+    for r in found:
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
+def test_words_are_merged_together(monkeypatch):
+    """Pieces that no earlier chunk held are encoded without a merge of single words."""
+    texts = ["Übermut, o'clock's naïve! <|startoftext|>x'll", "anshor zzz " + "ab" * 24 + " " + "c" * 49, "", "the thenued ŉ ſ ÿ.,; a1b2 ½", "." * 47 + "é"]
+    tokenizer = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(bpe.Merger, "_short", lambda *_: 1 / 0)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = bpe.Encoder(bpe.Merger(json.load(f)), None)
+    packed, shown = encoder.encode(texts)
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed.to_pylist()] == wanted
+    assert shown.to_pylist() == [tokenizer.decode(i, skip_special_tokens=False) for i in wanted]
+
+
+def test_frequent_words(spark):
+    docs = spark.createDataFrame([("The cat, the CAT 1 the",), (None,), ("É cat",), ("",)], "text string")
+    for rows in (docs, docs.coalesce(1), docs.repartition(9)):  # some of the nine are empty
+        assert bpe.frequent_words(rows, most=3) == ["cat", "the", "é"]
+    assert bpe.frequent_words(docs.limit(0)) == []
