@@ -174,3 +174,21 @@ def test_labels_one_behind_the_other(spark):
         taken = F.regexp_replace(taken, rf"(\S)\Q{label}\E(?=[A-Z]|\s)", f"$1\n{label}\n")
         found = P.labelled(found, label)
     assert [r[0] for r in found.select("__plain").collect()] == [r[0] for r in rows.select(taken).collect()]
+
+
+def test_whole_pastes(spark):
+    """Nothing is left out of a text of any length: what comes late, many entries and links, long posts, about and raw in full."""
+    body = "".join(f"word{i} " for i in range(20_000))
+    jobs, schools, skills, tongues, posts = ([f"{w} number {i}" for i in range(40)] for w in ("Engineer", "University", "Skill", "Tongue", "Post of ours"))
+    posts[0] = "long " * 300 + "end"
+    sites = [f"https://p{i}.dev" for i in range(90)]
+    made = ["Ada· 1stCofounder of Engine", "About", body, "Experience", *jobs, "Education", *schools, "Skills", *skills, "Languages", *tongues, "Posts", *posts, "see github.com/late and " + " ".join(sites)]
+    text = "\n".join([*made, "https://www.linkedin.com/company/engine", "More profiles for you", "Bob"])
+    row = P.pasted_profiles(spark.createDataFrame([(text,), (None,)], "text string"), whole="full").orderBy(F.col("text").isNull()).collect()
+    got, full = row[0]["profile"], row[0]["full"]
+    assert len(body) > 150_000 and full["about"] == clean(body) and full["raw"] == text[: text.index("More profiles")]
+    assert got["about"] == full["about"][:1500] and got["raw"] == full["raw"][:8000]
+    assert (got["experience"], got["education"], got["skills"], got["languages"]) == (jobs, schools, skills, tongues)
+    assert got["current_roles"] + got["past_roles"] == jobs and got["posts"][:40] == posts
+    assert got["links"] == [*sites, "https://www.linkedin.com/company/engine"] and got["company_url"] == got["links"][-1] and got["github_names"] == ["late"]
+    assert row[1]["full"].asDict() == {"about": "", "raw": ""} and row[1]["profile"]["links"] == []
