@@ -2,9 +2,8 @@
 
 Words are hashed eight bytes at a time, each mixed into the state before, and words of over 64
 bytes by keyed BLAKE2b. A window's hash joins those of its halves, again and again, by a
-product, a sum and a mix, so no pair of words or windows collides by its structure. Runs of bytes have a cheaper hash, a polynomial modulo 2^64 from
-prefix sums, which only picks places. Keys travel as their low 48 bits; the bucket comes from
-the high 16.
+product, a sum and a mix, so no pair of words or windows collides by its structure. Keys travel
+as their low 48 bits; the bucket comes from the high 16.
 """
 
 from __future__ import annotations
@@ -26,48 +25,17 @@ BUCKET_BYTES = 16_000_000
 WORD_KEY, LONG_WORD = b"siltwork words", 64
 PACKED = "bucket int, docs binary, counts binary, extra binary, keys binary, more binary"
 
-_RANDOM = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2^64, grown when needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up), 1 << 16)
-            for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(size, factor, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.cumprod(steps, dtype=np.uint64))
-        return cls.up, cls.down
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Sums of values times powers, with a leading zero."""
-    up, _ = Powers.of(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=out[1:])
-    return out
-
-
-def runs_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs [start, end) of the values that ``prefix`` summed."""
-    _, down = Powers.of(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
 def hash_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and where each text's words begin (one more than texts).
 
@@ -98,10 +66,6 @@ def word_counts(texts: list[bytes]) -> np.ndarray:
     return np.diff(np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts])))
 
 
-def byte_prefix(text: bytes) -> np.ndarray:
-    return prefix(_RANDOM[np.frombuffer(text, np.uint8)])
-
-
 def windows(values: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` consecutive values, joined from runs of 1, 2, 4, ... values."""
     n = len(values) - width + 1

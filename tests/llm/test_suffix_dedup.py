@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from siltwork.llm import suffix_sort
-from siltwork.llm.suffix_dedup import remove_earlier
+from siltwork.llm.suffix_dedup import regions, remove_earlier
 from siltwork.llm.suffix_sort import Scratch, common_prefixes, suffix_order
 
 
@@ -64,3 +64,51 @@ def test_matches_plain_comparison(spark):
 
 def test_empty_table(spark):
     assert remove_earlier(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def asked_for(texts, window=50):
+    """Of each text the windows by place: (minimizer, keys of its region)."""
+    text, first, last, minimizer, keys, region = regions(texts, window)
+    of = [set() for _ in text]
+    for k, i in zip(keys.tolist(), region.tolist()):
+        of[i].add(k)
+    out = [{} for _ in texts]
+    for t, a, b, m, k in zip(text.tolist(), first.tolist(), last.tolist(), minimizer.tolist(), of):
+        for place in range(a, b + 1):
+            assert place not in out[t]
+            out[t][place] = (m, k)
+    return out
+
+
+@pytest.mark.parametrize("window", [16, 17, 33, 50])
+def test_equal_windows_have_a_key_in_common(window):
+    r = random.Random(window)
+    passages = [bytes(r.choice(b"abc ") for _ in range(n)) for n in (window, window + 1, 90, 200)] + [b"-" * 130, b"ab" * 80]
+    for _ in range(30):
+        texts = [b"".join(r.choice((bytes(r.choice(b"abc ") for _ in range(r.randint(0, 70))), r.choice(passages))) for _ in range(r.randint(0, 4))) for _ in range(8)]
+        windows = {}
+        for body, found in zip(texts, asked_for(texts, window)):
+            assert sorted(found) == list(range(len(body) - window + 1))
+            for place, (minimizer, keys) in found.items():
+                windows.setdefault(body[place : place + window], []).append((minimizer, keys))
+        for (minimizer, keys), *others in windows.values():
+            assert keys and all(m == minimizer and k & keys for m, k in others)
+
+
+def test_short_strings_in_common_are_not_asked_for():
+    """Strings as long as a minimizer recur by chance in a large input; their regions must not travel."""
+    r = random.Random(3)
+    odd = lambda n: bytes(r.randrange(256) for _ in range(n))
+    common = [odd(32) for _ in range(200)]
+    one, two = (asked_for([b"".join(odd(40) + c for c in common)])[0].values() for _ in range(2))
+    assert len({m for m, _ in one} & {m for m, _ in two}) > 50
+    assert not set().union(*(k for _, k in one)) & set().union(*(k for _, k in two))
+
+
+@pytest.mark.parametrize("window", [16, 31])
+def test_other_windows(spark, window):
+    r = random.Random(window)
+    passages = ["".join(r.choice("abé ") for _ in range(n)) for n in (window, 40, 90)]
+    rows = [(i, "".join("".join(r.choice("abé ") for _ in range(r.randint(0, 30))) + r.choice(passages) for _ in range(r.randint(0, 3)))) for i in range(40)]
+    got = remove_earlier(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
+    assert sorted(((*x[:4], bytes(x[4])) for x in got), key=str) == brute(rows, window)
